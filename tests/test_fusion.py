@@ -2,6 +2,7 @@ import random
 from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 
 from hostweave.config import FuseConfig
 from hostweave.operators.merge import fused_campaigns
@@ -13,9 +14,13 @@ def key_of(row):
     return (row["campaign_id"], tuple(row["host_ids"]), stages, round(row["score"], 9))
 
 
-def fuse(spark, specs, **cfg):
-    rows = fused_campaigns(frame(spark, specs), FuseConfig(**cfg), with_evidence=False).collect()
-    return {key_of(r) for r in rows}
+def fuse_packs(spark, packs, **cfg):
+    """Campaign keys per pack, from one job over all packs."""
+    events = reduce(DataFrame.union, [frame(spark, specs, name) for name, specs in packs.items()])
+    out = {name: set() for name in packs}
+    for r in fused_campaigns(events, FuseConfig(**cfg), ["pack_id"], with_evidence=False).collect():
+        out[r["pack_id"]].add(key_of(r))
+    return out
 
 
 A, B, C, D, E = (f"host-{x}" for x in "abcde")
@@ -50,9 +55,17 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_case_matches_model(spark, name):
-    assert fuse(spark, CASES[name]) == set(campaigns(CASES[name]))
+@pytest.mark.parametrize("fold_limit", [20_000, 0])
+def test_cases_match_model(spark, fold_limit):
+    assert fuse_packs(spark, CASES, fold_limit=fold_limit) == {n: set(campaigns(c)) for n, c in CASES.items()}
+
+
+def test_one_run_without_packs(spark):
+    rows = fused_campaigns(frame(spark, CASES["hub"]), FuseConfig(), with_evidence=True).collect()
+    assert {key_of(r) for r in rows} == set(campaigns(CASES["hub"]))
+    for r in rows:
+        assert {e["host_id"] for e in r["evidence"]} <= set(r["host_ids"])
+        assert any(e["kind"] == "lateral_auth" for e in r["evidence"])
 
 
 def host_sets(specs):
@@ -89,10 +102,15 @@ def random_specs(rng, n, hosts, span):
     return out
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_random_events_match_model(spark, seed):
-    rng = random.Random(seed)
-    specs = random_specs(rng, rng.choice([60, 120, 200]), rng.choice([5, 8, 14]), rng.choice([3000, 20_000, 60_000]))
-    recon = rng.choice([3, 4, 5, 99])
-    got = fuse(spark, specs, recon_min_distinct=recon)
-    assert got == set(campaigns(specs, recon_min=recon))
+def test_random_events_match_model(spark):
+    """Every random pack gives the brute-force result, in one group and in linked groups."""
+    for recon, window in ((4, 600),):
+        rng = random.Random(recon)
+        packs = {
+            f"p{i}": random_specs(rng, rng.choice([60, 120, 200]), rng.choice([5, 8, 14]), rng.choice([3000, 20_000, 60_000]))
+            for i in range(10)
+        }
+        want = {n: set(campaigns(s, window=window, recon_min=recon)) for n, s in packs.items()}
+        for limit in (20_000, 0):
+            got = fuse_packs(spark, packs, recon_min_distinct=recon, window_seconds=window, fold_limit=limit)
+            assert got == want, limit
