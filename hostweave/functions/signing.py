@@ -7,11 +7,12 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIGNED_FIELDS = ("schema_ver", "producer_id", "host_id", "event_id", "ts_utc", "nonce", "payload_type")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """Sorted keys, no blanks, ASCII escapes: neither order nor escapes are Spark's ``to_json``."""
     return text.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":")))
@@ -21,7 +22,7 @@ def payload_digest(payload: Column) -> Column:
     return F.sha2(canonical_json(payload).cast("binary"), 256)
 
 
-@F.pandas_udf("struct<inner:binary,outer:binary>")
+@F.pandas_udf(T.StructType().add("inner", T.BinaryType()).add("outer", T.BinaryType()))
 def _pads(secret: pd.Series) -> pd.DataFrame:
     """The two 64-byte HMAC key blocks of each secret."""
     import hashlib
