@@ -106,9 +106,27 @@ def allowed(df: DataFrame, allowlist: DataFrame, channels: Sequence[str] | None,
     return rows.withColumn("allowed", ok).drop("_on", "_any", "_named")
 
 
-def _fields(**cols: Column) -> list[Column]:
-    types = {"dst_port": "int", "bytes": "bigint", "egress": "boolean", "blocked": "boolean", "pid": "int"}
-    return [cols.get(n, F.lit(None)).cast(types.get(n, "string")).alias(n) for n in PAYLOAD_COLUMNS]
+TYPES = {"dst_port": "int", "bytes": "bigint", "egress": "boolean", "blocked": "boolean", "pid": "int"}
+
+
+def _mapping_columns(cases: list[tuple[Column, str, dict[str, Column]]]) -> dict[str, Column]:
+    """``payload_type``, ``adapted`` and one column per payload field from the first case that holds.
+
+    Every field gets its own short CASE over the cases that set it, so the generated code stays small.
+    """
+    out = {}
+    for name in ("payload_type", *[c for c in PAYLOAD_COLUMNS if c not in ("event_kind", "channel")]):
+        col = None
+        for cond, ptype, fields in cases:
+            value = F.lit(ptype) if name == "payload_type" else fields.get(name)
+            if value is not None:
+                value = value.cast(TYPES.get(name, "string"))
+                col = F.when(cond, value) if col is None else col.when(cond, value)
+        out[name] = (F.lit(None) if col is None else col).cast(TYPES.get(name, "string"))
+    hit = F.lit(False)
+    for cond, _, _ in cases:
+        hit = hit | F.coalesce(cond, F.lit(False))
+    return {**out, "adapted": hit}
 
 
 # --- Windows -------------------------------------------------------------------------------------
@@ -127,58 +145,50 @@ def parse_windows(records: DataFrame, ingest_ts: str, default_host: str = "host-
     )
 
 
-def windows_payload() -> Column:
-    """(payload_type, payload fields) of a parsed Windows record; NULL for ids without a mapping."""
-    rec, ed, eid, ch = F.col("rec"), F.col("ed"), F.col("event_kind"), F.col("channel")
+def windows_mapping() -> dict[str, Column]:
+    """Payload columns of a parsed Windows record that passed the allowlist."""
+    rec, ed, eid, ch, on = F.col("rec"), F.col("ed"), F.col("event_kind"), F.col("channel"), F.col("allowed")
     user = windows_user(rec, ed)
     either = lambda *n: F.coalesce(*[x for k in n for x in (not_blank(ed[k]), not_blank(rec[k]))])
-    shared = {"event_kind": eid, "channel": ch}
-
-    def made(kind: str, **cols: Column) -> Column:
-        return F.struct(F.lit(kind).alias("payload_type"), *_fields(**shared, **cols))
-
-    security = made("auth", user=user, result=F.when(eid == "4625", "failure").otherwise("success"), src=windows_source(rec, ed))
-    process = made(
-        "process",
-        image=F.coalesce(either("Image"), F.lit("unknown")),
-        command_line=F.substring(F.coalesce(either("CommandLine"), F.lit("")), 1, 240),
-        user=F.coalesce(either("User"), user),
-    )
-    conn = made(
-        "net_conn",
-        dst_ip=F.coalesce(either("DestinationIp"), F.lit("0.0.0.0")),
-        dst_port=number(ed["DestinationPort"], rec["DestinationPort"]),
-        bytes=number(ed["bytes"], rec["bytes"], default=1200),
-        egress=F.lit(True),
-    )
-    dns = made(
-        "dns", query=F.coalesce(either("QueryName"), F.lit("unknown")), qtype=F.coalesce(either("QueryType"), F.lit("A"))
-    )
-    wall = made(
-        "net_conn",
-        dst_ip=F.coalesce(first_of(ed, "DestAddress", "DestinationIp"), not_blank(rec["DestAddress"]), F.lit("0.0.0.0")),
-        dst_port=number(ed["DestPort"], ed["DestinationPort"], rec["DestPort"]),
-        bytes=number(ed["bytes"], default=800),
-        egress=F.lit(True),
-        blocked=eid.isin("5157", "2004") | F.lower(F.coalesce(ed["Action"], F.lit(""))).isin("block", "deny"),
-    )
     body = F.coalesce(not_blank(ed["ScriptBlockText"]), not_blank(rec["ScriptBlockText"]), not_blank(ed["Payload"]), F.lit(""))
     digest = F.substring(F.sha2(body.cast("binary"), 256), 1, 16)
     prefix = F.translate(F.substring(body, 1, 80), "\n", " ")
-    shell = made(
-        "process",
-        image=F.lit("powershell"),
-        command_line=F.concat(F.lit("script_sha256="), digest, F.when(prefix != "", F.concat(F.lit(" prefix="), prefix)).otherwise("")),
-        user=F.coalesce(not_blank(ed["UserId"]), not_blank(rec["UserId"]), user),
-        script_sha256_16=digest,
-    )
-    return (
-        F.when(ch == "security", security)
-        .when((ch == "sysmon") & (eid == "1"), process)
-        .when((ch == "sysmon") & (eid == "3"), conn)
-        .when((ch == "sysmon") & (eid == "22"), dns)
-        .when(ch == "firewall", wall)
-        .when(ch == "powershell", shell)
+    security = {"user": user, "result": F.when(eid == "4625", "failure").otherwise("success"), "src": windows_source(rec, ed)}
+    process = {
+        "image": F.coalesce(either("Image"), F.lit("unknown")),
+        "command_line": F.substring(F.coalesce(either("CommandLine"), F.lit("")), 1, 240),
+        "user": F.coalesce(either("User"), user),
+    }
+    conn = {
+        "dst_ip": F.coalesce(either("DestinationIp"), F.lit("0.0.0.0")),
+        "dst_port": number(ed["DestinationPort"], rec["DestinationPort"]),
+        "bytes": number(ed["bytes"], rec["bytes"], default=1200),
+        "egress": F.lit(True),
+    }
+    dns = {"query": F.coalesce(either("QueryName"), F.lit("unknown")), "qtype": F.coalesce(either("QueryType"), F.lit("A"))}
+    wall = {
+        "dst_ip": F.coalesce(first_of(ed, "DestAddress", "DestinationIp"), not_blank(rec["DestAddress"]), F.lit("0.0.0.0")),
+        "dst_port": number(ed["DestPort"], ed["DestinationPort"], rec["DestPort"]),
+        "bytes": number(ed["bytes"], default=800),
+        "egress": F.lit(True),
+        "blocked": eid.isin("5157", "2004") | F.lower(F.coalesce(ed["Action"], F.lit(""))).isin("block", "deny"),
+    }
+    shell = {
+        "image": F.lit("powershell"),
+        "command_line": F.concat(F.lit("script_sha256="), digest, F.when(prefix != "", F.concat(F.lit(" prefix="), prefix)).otherwise("")),
+        "user": F.coalesce(not_blank(ed["UserId"]), not_blank(rec["UserId"]), user),
+        "script_sha256_16": digest,
+    }
+    sysmon = on & (ch == "sysmon")
+    return _mapping_columns(
+        [
+            (on & (ch == "security"), "auth", security),
+            (sysmon & (eid == "1"), "process", process),
+            (sysmon & (eid == "3"), "net_conn", conn),
+            (sysmon & (eid == "22"), "dns", dns),
+            (on & (ch == "firewall"), "net_conn", wall),
+            (on & (ch == "powershell"), "process", shell),
+        ]
     )
 
 
@@ -212,11 +222,9 @@ def map_windows(
     """Mapped rows with ``adapted``; rows that are filtered or unmapped stay, with NULL payload."""
     rows = allowed(parse_windows(records, ingest_ts, default_host), allowlist, channels)
     rows = map_hosts(rows, "host_id", host_map)
-    rows = rows.withColumn("m", F.when(F.col("allowed"), windows_payload()))
-    picked = ["payload_type", *[c for c in PAYLOAD_COLUMNS if c not in ("event_kind", "channel")]]
+    mapping = windows_mapping()
     return rows.select(
-        "source", "pos", "channel", "event_kind", "host_id", "ts_utc", F.col("m").isNotNull().alias("adapted"),
-        *[F.col(f"m.{c}").alias(c) for c in picked],
+        "source", "pos", "channel", "event_kind", "host_id", "ts_utc", *[col.alias(name) for name, col in mapping.items()]
     )
 
 
@@ -321,18 +329,14 @@ def map_macos(
         rows = rows.withColumn("_short", F.regexp_extract("_raw", r"^(.*)\.local$", 1)).join(short, "_short", "left")
         rows = rows.withColumn("host_id", F.when(F.col("host_id") == F.col("_raw"), F.coalesce("_m3", "host_id")).otherwise(F.col("host_id")))
         rows = rows.drop("_raw", "_short", "_m3")
-    kind, ch = F.col("event_kind"), F.col("channel")
-
-    def made(ptype: str, **cols: Column) -> Column:
-        return F.struct(F.lit(ptype).alias("payload_type"), *_fields(event_kind=kind, channel=ch, **cols))
-
+    kind, ch, on = F.col("event_kind"), F.col("channel"), F.col("allowed")
     failed = kind.isin("ssh_fail", "login_fail") | F.lower(F.coalesce(rec["result"], F.lit(""))).isin("failure", "fail", "denied")
-    auth = made(
-        "auth", user=F.coalesce(first_of(rec, "user", "User"), F.lit("unknown")), result=F.when(failed, "failure").otherwise("success"),
-        src=first_of(rec, "src", "src_ip", "IpAddress"),
-    )
+    auth = {
+        "user": F.coalesce(first_of(rec, "user", "User"), F.lit("unknown")), "result": F.when(failed, "failure").otherwise("success"),
+        "src": first_of(rec, "src", "src_ip", "IpAddress"),
+    }
     dst = first_of(rec, "dst_ip", "DestinationIp", "foreign_ip")
-    net_cols = {
+    net = {
         "dst_ip": dst,
         "dst_port": number(rec["dst_port"], rec["DestinationPort"], rec["foreign_port"]),
         "bytes": number(rec["bytes"], default=1200),
@@ -342,27 +346,27 @@ def map_macos(
     }
     net_ok = dst.isNotNull() & ~dst.isin("*", "0.0.0.0", "::")
     query = not_blank(F.trim(first_of(rec, "query", "QueryName")))
-    dns = made("dns", query=query, qtype=F.coalesce(first_of(rec, "qtype", "QueryType"), F.lit("A")))
+    dns = {"query": query, "qtype": F.coalesce(first_of(rec, "qtype", "QueryType"), F.lit("A"))}
     script = not_blank(rec["script"])
-    process = made(
-        "process", image=F.coalesce(first_of(rec, "image", "command", "comm"), F.lit("unknown")),
-        command_line=F.substring(F.coalesce(first_of(rec, "command_line", "args"), F.lit("")), 1, 240),
-        user=F.coalesce(first_of(rec, "user"), F.lit("unknown")),
-        script_sha256_16=F.substring(F.sha2(script.cast("binary"), 256), 1, 16),
-    )
+    process = {
+        "image": F.coalesce(first_of(rec, "image", "command", "comm"), F.lit("unknown")),
+        "command_line": F.substring(F.coalesce(first_of(rec, "command_line", "args"), F.lit("")), 1, 240),
+        "user": F.coalesce(first_of(rec, "user"), F.lit("unknown")),
+        "script_sha256_16": F.substring(F.sha2(script.cast("binary"), 256), 1, 16),
+    }
     blocked = (kind == "block") | (F.lower(F.coalesce(rec["action"], F.lit(""))) == "block")
-    mapped = (
-        F.when(ch == "auth", auth)
-        .when((ch == "net") & net_ok, made("net_conn", **net_cols))
-        .when((ch == "dns") & query.isNotNull(), dns)
-        .when(ch == "process", process)
-        .when((ch == "pf") & net_ok, made("net_conn", blocked=blocked, **net_cols))
+    mapping = _mapping_columns(
+        [
+            (on & (ch == "auth"), "auth", auth),
+            (on & (ch == "net") & net_ok, "net_conn", net),
+            (on & (ch == "dns") & query.isNotNull(), "dns", dns),
+            (on & (ch == "process"), "process", process),
+            (on & (ch == "pf") & net_ok, "net_conn", {**net, "blocked": blocked}),
+        ]
     )
-    rows = rows.withColumn("m", F.when(F.col("allowed"), mapped))
-    picked = ["payload_type", *[c for c in PAYLOAD_COLUMNS if c not in ("event_kind", "channel")]]
     return rows.select(
         "source", "pos", "channel", "event_kind", "host_id", "ts_utc", rec["event_id"].alias("given_id"),
-        F.col("m").isNotNull().alias("adapted"), *[F.col(f"m.{c}").alias(c) for c in picked],
+        *[col.alias(name) for name, col in mapping.items()],
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Default allowlists and channel aliases of the two platforms.
@@ -39,36 +39,43 @@ def allowlist_frame(spark: SparkSession, allow: dict[str, list[str]]) -> DataFra
     return spark.createDataFrame(rows, "channel string, event_kind string")
 
 
+def parse_allowlist(docs: DataFrame, defaults: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """(channel, event_kind) of JSON documents (``value``); channels they do not name keep ``defaults``."""
+    doc = docs.select(F.from_json("value", "map<string,string>").alias("m"))
+    whole = F.from_json(F.to_json(F.map_filter("m", lambda k, v: k != "max_per_sec")), "map<string,string>")
+    body = F.coalesce(F.from_json(F.col("m")["allowlist"], "map<string,string>"), whole)
+    rows = doc.select(F.explode(body).alias("ch", "ids")).select("ch", F.explode(F.from_json("ids", "array<string>")).alias("id"))
+    named = rows.select(alias_channel(F.col("ch"), aliases).alias("channel"), normal_kind(F.col("id")).alias("event_kind")).distinct()
+    return named.unionByName(defaults.join(named.select("channel").distinct(), "channel", "left_anti"))
+
+
 def load_allowlist(spark: SparkSession, path: str | None, defaults: dict[str, list[str]], aliases: dict[str, str]) -> DataFrame:
-    """(channel, event_kind) of a JSON allowlist; channels it does not name keep their defaults."""
     base = allowlist_frame(spark, defaults)
-    if path is None:
-        return base
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
-    body = F.coalesce(F.from_json(F.col("m")["allowlist"], "map<string,array<string>>"), F.from_json(F.to_json("m"), "map<string,array<string>>"))
-    rows = doc.select(F.explode(body).alias("ch", "ids")).select("ch", F.explode("ids").alias("id"))
-    named = rows.select(alias_channel(F.col("ch"), aliases).alias("channel"), normal_kind(F.col("id")).alias("event_kind")).distinct()
-    return named.unionByName(base.join(named.select("channel").distinct(), "channel", "left_anti"))
+    return base if path is None else parse_allowlist(spark.read.text(path, wholetext=True), base, aliases)
 
 
-def alias_channel(raw: F.Column, aliases: dict[str, str]) -> F.Column:
+def alias_channel(raw: Column, aliases: dict[str, str]) -> Column:
     key = F.lower(F.trim(raw))
     table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
     return F.coalesce(table[key], key)
 
 
-def normal_kind(raw: F.Column) -> F.Column:
+def normal_kind(raw: Column) -> Column:
     """Event id text: ``4624.0`` becomes ``4624``, other text is kept."""
     return F.when(raw.rlike(r"^[0-9]+\.?[0-9]*$|^\.[0-9]+$"), raw.try_cast("double").cast("bigint").cast("string")).otherwise(raw)
 
 
-def load_host_map(spark: SparkSession, path: str) -> DataFrame:
-    """(raw_host, host_id) with both the exact key and its lower-case form; an exact key wins."""
-    doc = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "host_id"))
+def parse_host_map(docs: DataFrame) -> DataFrame:
+    """(raw_host, host_id) of JSON documents, with the exact and the lower-case key; an exact key wins."""
+    doc = docs.select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "host_id"))
     both = doc.select(F.col("k").alias("raw_host"), "host_id", F.lit(0).alias("p")).union(
         doc.select(F.lower("k").alias("raw_host"), "host_id", F.lit(1).alias("p"))
     )
-    return both.groupBy("raw_host").agg(F.min_by("host_id", "p").alias("host_id"))
+    return both.groupBy("raw_host").agg(F.min_by("host_id", F.struct("p", "host_id")).alias("host_id"))
+
+
+def load_host_map(spark: SparkSession, path: str) -> DataFrame:
+    return parse_host_map(spark.read.text(path, wholetext=True))
 
 
 def map_hosts(df: DataFrame, column: str, host_map: DataFrame | None) -> DataFrame:

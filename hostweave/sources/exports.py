@@ -31,14 +31,14 @@ def read_lines(spark: SparkSession, paths: Paths) -> DataFrame:
 def split_documents(docs: DataFrame) -> DataFrame:
     """(source, pos, raw) from (source, text): array, ``Events``/``events`` wrapper, one record, or lines."""
     text = F.trim("text")
-    obj = F.from_json(text, "map<string,string>")
-    wrapped = F.coalesce(obj["Events"], obj["events"])
-    listed = F.from_json(wrapped, "array<string>")
     lines = F.filter(F.transform(F.split(text, "\\r?\\n"), lambda x: F.trim(x)), lambda x: x != "")
-    whole = F.try_parse_json(text).isNotNull()
+    # A record per line is told from one record over many lines by its first line being complete.
+    by_line = (F.size(lines) > 1) & F.try_parse_json(F.get(lines, 0)).isNotNull()
+    obj = F.from_json(text, "map<string,string>")
+    listed = F.from_json(F.coalesce(obj["Events"], obj["events"]), "array<string>")
     records = (
         F.when(text.startswith("["), F.from_json(text, "array<string>"))
-        .when(text.startswith("{") & whole, F.when(listed.isNotNull(), listed).otherwise(F.array(text)))
+        .when(text.startswith("{") & ~by_line, F.when(listed.isNotNull(), listed).otherwise(F.array(text)))
         .otherwise(lines)
     )
     rows = docs.select("source", F.posexplode(records).alias("pos", "raw"))
