@@ -499,11 +499,11 @@ def _(spark, d):
     return sinks.prevention_log(ev.select(c("ingest_seq").alias("seq"), raw.alias("raw"))).select("seq", "campaign_id", joined("hosts"))
 
 
-@query("s17_imported_outcomes", f"WITH {TEL}, o AS (SELECT 'c' || k AS campaign_id, list_sort(list(DISTINCT host_id)) AS hs FROM t GROUP BY k) SELECT campaign_id, len(hs) * 2 AS n_actions FROM o WHERE campaign_id NOT IN (SELECT 'c' || k FROM t WHERE event_type = 'purchase' AND value > 480)")
+@query("s17_imported_outcomes", f"WITH {TEL}, o AS (SELECT 'c' || k AS campaign_id, list_sort(list(DISTINCT host_id)) AS hs FROM t GROUP BY k) SELECT campaign_id, len(hs) * 2 AS n_actions FROM o WHERE campaign_id NOT IN (SELECT 'c' || k FROM t WHERE event_type = 'purchase' AND value > 150)")
 def _(spark, d):
     ev = load_telemetry(spark, d).withColumn("campaign_id", S("c", c("k").cast("string")))
     out = ev.groupBy("campaign_id").agg(F.sort_array(F.collect_set("host_id")).alias("hosts"))
-    return sinks.import_prevention(ev.filter("event_type = 'purchase' and value > 480"), out).select("campaign_id", F.size("actions").alias("n_actions"))
+    return sinks.import_prevention(ev.filter("event_type = 'purchase' and value > 150"), out).select("campaign_id", F.size("actions").alias("n_actions"))
 
 
 @query("s18_safe_ids", "SELECT url, regexp_replace(url, '[^\\p{L}\\p{N}_-]', '_', 'g') AS safe_id FROM pages")

@@ -157,12 +157,12 @@ def _(spark, d):
 @query(
     "d11_run_status",
     f"""WITH {TEL} SELECT user_id, CASE WHEN n < 60 THEN 'NO_RUN' WHEN fails > n * 0.3 THEN 'REFUSE' WHEN fails > n * 0.2 THEN 'PARTIAL' WHEN nb > 0 THEN 'CAMPAIGN' ELSE 'EMPTY' END AS status
-    FROM (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE result = 'failure') AS fails, count(*) FILTER (WHERE bytes > 97000) AS nb FROM t GROUP BY 1)""",
+    FROM (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE result = 'failure') AS fails, count(*) FILTER (WHERE bytes > 50000) AS nb FROM t GROUP BY 1)""",
 )
 def _(spark, d):
     c = F.col
     runs = load_telemetry(spark, d).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_events"), F.count_if(c("result") == "failure").alias("fails"), F.count_if(c("bytes") > 97000).alias("n_campaigns")
+        F.count(F.lit(1)).alias("n_events"), F.count_if(c("result") == "failure").alias("fails"), F.count_if(c("bytes") > 50000).alias("n_campaigns")
     )
     runs = runs.withColumns(
         {
