@@ -10,10 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from hostweave.functions.sets import jaccard
-from hostweave.session import cut
+from hostweave.session import cut, with_rank
 
 # The bars of the pass decision.
 PASS_BARS = {
@@ -254,8 +253,8 @@ def thin_alerts(preds: DataFrame, truths: DataFrame) -> DataFrame:
 def ranked_campaigns(preds: DataFrame, truths: DataFrame) -> DataFrame:
     """Place of each campaign by (overlap, score), earlier ones first on ties."""
     rows = preds.join(truths.select("pack_id", "truth_hosts"), "pack_id").withColumn("jaccard", F.round(jaccard("host_ids", "truth_hosts"), 4))
-    w = W.partitionBy("pack_id").orderBy(F.desc("jaccard"), F.desc("score"), "idx")
-    return rows.select("pack_id", "campaign_id", "jaccard", "score", "idx", F.row_number().over(w).alias("place"))
+    rows = rows.select("pack_id", "campaign_id", "jaccard", "score", "idx", (-F.col("jaccard")).alias("_j"), (-F.col("score")).alias("_s"))
+    return with_rank(rows, ["_j", "_s", "idx"], "place", ["pack_id"]).drop("_j", "_s")
 
 
 def score_margin(preds: DataFrame) -> DataFrame:

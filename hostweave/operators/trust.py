@@ -182,8 +182,19 @@ def append_chain(entries: DataFrame, tip: str = GENESIS, by: Sequence[str] = ("r
 
 
 def cap_per_second(events: DataFrame, key: Sequence[str], max_per_sec: int, ts: str = "ts") -> DataFrame:
-    """Add ``dropped``: events beyond the first ``max_per_sec`` of their key in one event-time second."""
+    """Keep the first ``max_per_sec`` events of each key in every event-time second.
+
+    The bound is part of the filter, so each task sends at most that many rows of a second onwards: a
+    hot second is cut down before the shuffle.
+    """
     if max_per_sec <= 0:
-        return events.withColumn("dropped", F.lit(False))
-    w = W.partitionBy(*key, F.date_trunc("second", ts)).orderBy(ts, "event_id")
-    return events.withColumn("dropped", F.row_number().over(w) > max_per_sec)
+        return events
+    w = W.partitionBy(*key, "_sec").orderBy(ts, "event_id")
+    rows = events.withColumn("_sec", F.date_trunc("second", ts)).withColumn("_rn", F.row_number().over(w))
+    return rows.filter(F.col("_rn") <= max_per_sec).drop("_rn", "_sec")
+
+
+def dropped_by_cap(events: DataFrame, key: Sequence[str], max_per_sec: int, ts: str = "ts") -> DataFrame:
+    """(key, second, dropped) of the seconds that exceed the cap."""
+    per = events.groupBy(*key, F.date_trunc("second", ts).alias("second")).agg(F.count(F.lit(1)).alias("n"))
+    return per.filter(F.col("n") > max_per_sec).select(*key, "second", (F.col("n") - max_per_sec).alias("dropped"))

@@ -66,8 +66,7 @@ def capped_append(path: str, max_per_sec: int, key: Sequence[str] = ()) -> Calla
     """``foreachBatch`` step: keep the first events of each second, in a folder per batch (safe to repeat)."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        kept = cap_per_second(batch, key, max_per_sec).filter("not dropped").drop("dropped")
-        kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        cap_per_second(batch, key, max_per_sec).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return step
 
