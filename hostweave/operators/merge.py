@@ -449,9 +449,10 @@ def group_sizes(items: DataFrame, recon: DataFrame, cfg: FuseConfig = FuseConfig
 def campaign_hosts(merged: DataFrame, recon_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Long form (campaign_id, host_id): own hosts, plus all fan-out hosts where they were taken in."""
     own = merged.select(*by, "campaign_id", F.explode("plain").alias("host_id"))
-    holders = merged.filter("absorbs_recon").select(*by, "campaign_id", F.lit(0).alias("_one"))
-    all_recon = recon_rows.select(*by, F.col("host").alias("host_id"), F.lit(0).alias("_one"))
-    return own.unionByName(holders.join(all_recon, [*by, "_one"]).drop("_one"))
+    # The fan-out hosts of a run as one array: the same array its own cluster carries as a stage.
+    everyone = recon_rows.groupBy(*by).agg(F.collect_list("host").alias("_all"))
+    holders = attach_facts(merged.filter("absorbs_recon").select(*by, "campaign_id"), everyone, by, ["_all"])
+    return own.unionByName(holders.select(*by, "campaign_id", F.explode("_all").alias("host_id")))
 
 
 def campaign_evidence(hosts: DataFrame, signals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
