@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,20 @@ def build_session(app: str = "hostweave", cores: str | None = None, **conf: str)
         )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers of the session, wherever it was started."""
+    context = spark.sparkContext
+    if not any(f.endswith("hostweave.zip") for f in context._python_includes):
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="hostweave-")) / "hostweave.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for f in sorted((root / "hostweave").rglob("*.py")):
+                out.write(f, f.relative_to(root))
+        context.addPyFile(str(archive))
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
