@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hostweave.llm.tables import stored
 from hostweave.llm.tokens import flat, keyed, mix, pieces, same_doc, signed, split_words, window_hashes, windows_inside
 
 # Perfect difference sets (fixed values): every non-zero difference modulo the period occurs exactly once.
@@ -133,21 +134,20 @@ def _windows(window: int, types: list[pa.DataType]):
             starts[1:] = (doc[known][1:] != doc[known][:-1]) | (place[known][1:] != place[known][:-1] + 1)
             head = known[starts]
             ends = np.append(np.flatnonzero(starts)[1:], len(known)) - 1 if len(known) else np.zeros(0, np.int64)
-            until = place[known[ends]] + 1
+            until = place[known[ends]].astype(np.int64) + 1
             rows = np.concatenate([single, notices, head])
             take = pa.array(doc[rows])
             spread = _spread(place[head], doc[head])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([signed(k1)[single], signed(k1)[notices], spread])),
-                    pa.array(np.concatenate([signed(k2)[single], signed(k2)[notices], spread])),
+                    pa.array(np.concatenate([signed(k2)[single], signed(k2)[notices], until])),
                     b.column("_id").take(take).cast(types[0]),
                     b.column("_h").take(take),
                     pa.array(place[rows]),
-                    pa.array(np.concatenate([place[single] + 1, place[notices] + 1, until]).astype(np.int32)),
                     pa.array(np.repeat(np.array([SINGLE, NOTICE, KNOWN], np.int8), [len(single), len(notices), len(head)])),
                 ],
-                ["k1", "k2", "_id", "_h", "begin", "until", "kind"],
+                ["k1", "k2", "_id", "_h", "begin", "kind"],
             )
 
     return run
@@ -203,11 +203,14 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     anchors = base.mapInArrow(_anchors(window, arrow), f"key long, _id {ddl}, _h int, place int, kind tinyint")
     several = F.count("*").over(W.partitionBy("key")) > 1
     found = anchors.withColumn("_n", several).filter(f"kind = {KNOWN} OR (_n AND kind = {SINGLE})")
-    per_doc = found.groupBy("_id", "_h").agg(F.collect_list("place").alias("places"))
+    per_doc = stored(found.groupBy("_id", "_h").agg(F.collect_list("place").alias("places")))
     near = base.join(per_doc, same_doc(base, per_doc)).select(base["_id"], base["_h"], "_text", "places")
-    rows = near.mapInArrow(_windows(window, arrow), f"k1 long, k2 long, _id {ddl}, _h int, begin int, until int, kind tinyint")
+    rows = near.mapInArrow(_windows(window, arrow), f"k1 long, k2 long, _id {ddl}, _h int, begin int, kind tinyint")
     again = F.count("*").over(W.partitionBy("k1", "k2")) > 1
-    return rows.withColumn("_n", again).filter(f"kind = {KNOWN} OR (_n AND kind = {SINGLE})").select("_id", "_h", "begin", "until")
+    found = rows.withColumn("_n", again).filter(f"kind = {KNOWN} OR (_n AND kind = {SINGLE})")
+    # a range carries its end where a single window has the second half of its key
+    until = F.when(F.col("kind") == KNOWN, F.col("k2").cast("int")).otherwise(F.col("begin") + 1)
+    return found.select("_id", "_h", "begin", until.alias("until"))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
