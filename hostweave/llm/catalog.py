@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostweave.llm.decontaminate import overlaps
+from hostweave.llm.fair_mix import mixed
 from hostweave.llm.parity_join import near_duplicates
+from hostweave.llm.quality_rules import fit_rules, judged
 from hostweave.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +65,38 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT u AS doc_id, min(c) AS c FROM r G
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("_h")
+
+
+@query("op1_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judged(docs, fit_rules(docs))
+
+
+@query(
+    "op8_fair_mix",
+    r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY source),
+r AS (SELECT source, s, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
+w AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY 3.0 * s / w, place) AS k FROM w),
+l AS (SELECT *, CAST(sum(s) OVER () - coalesce(sum(3 * s) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+f AS (SELECT level FROM l WHERE CAST(3 * s AS DOUBLE) >= level * w ORDER BY k LIMIT 1),
+t AS (SELECT source, s, place, least(CAST(3 * s AS DOUBLE), f.level * w) AS target FROM l, f),
+q AS (SELECT d.*, t.s, t.place, t.target, sum(size) OVER (PARTITION BY t.place ORDER BY md5(CAST(doc_id AS VARCHAR)), size ROWS UNBOUNDED PRECEDING) AS cum
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT doc_id, size, place, (CAST(e AS BIGINT) * s + cum) / target AS finish FROM q, (SELECT unnest([0, 1, 2]) AS e) WHERE size > 0),
+g AS (SELECT *, sum(size) OVER (ORDER BY finish, place ROWS UNBOUNDED PRECEDING) AS run FROM c),
+n AS (SELECT doc_id, sum(size) AS taken FROM g WHERE run <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+SELECT q.doc_id, size, CAST(s AS BIGINT) AS source_size, round(target, 6) AS target, CAST(coalesce(n.taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN n USING (doc_id)""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")

@@ -302,3 +302,15 @@ def near_duplicates(
     out = sets.join(of, "node", "left")
     component = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("component_id"))
     return out.select(F.col("_id").alias(id_col), "_h", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the least id stays, unchanged.
+    Rows without shingles all stay; of rows that repeat id and text, one stays."""
+    found = near_duplicates(docs, size, num, den, id_col, text_col)
+    heads = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("_id"), "_h")).alias("k"))
+    blank = found.filter("n_shingles = 0").select(F.col(id_col).alias("_id"), "_h").distinct()
+    keep = heads.select("k._id", "k._h").unionByName(blank)
+    d = docs.withColumn("_hash", F.hash(F.col(text_col)))
+    kept = d.join(keep, d[id_col].eqNullSafe(keep["_id"]) & (d["_hash"] == keep["_h"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_hash"]).drop("_hash")

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -239,3 +240,27 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         f"_id {kind.simpleString()}, _h int, n_words long, n_removed long, kept_words string, clean_text string",
     )
     return out.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept_words", "clean_text")
+
+
+def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the words of repeated windows cut out of the text. Rows that lose all their words go."""
+    base = docs.withColumn("_h", F.hash(F.col(text_col)))
+    spans = repeated_spans(docs, window, id_col, text_col)
+    gone = spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("begin", "until")).alias("s"))
+    gone = gone.select("_id", F.col("_h").alias("_g"), F.col("s.begin").alias("begins"), F.col("s.until").alias("untils"))
+    both = base.join(gone, base[id_col].eqNullSafe(gone["_id"]) & (base["_h"] == gone["_g"]), "left").drop("_id", "_g", "_h")
+    clean = _clean(window, [pa.int64()])
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in pieces(batches, text_col):
+            no = pa.array(np.arange(p.num_rows))
+            short = pa.RecordBatch.from_arrays([no, no.cast(pa.int32()), p.column(text_col), p.column("begins"), p.column("untils")], ["_id", "_h", "_text", "begins", "untils"])
+            done = pa.Table.from_batches(clean(iter([short])))
+            text = done.column("clean_text").combine_chunks()
+            keep = np.array(done.column("n_removed")) < np.maximum(np.array(done.column("n_words")), 1)
+            cut = np.array(done.column("n_removed")) > 0
+            mixed = pc.if_else(pa.array(cut), text, p.column(text_col).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([mixed if n == text_col else p.column(n) for n in schema.names], schema.names).filter(pa.array(keep))
+
+    return both.mapInArrow(run, schema)
