@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostweave.llm import boosted_quality, weak_toxicity
 from hostweave.llm.decontaminate import overlaps
 from hostweave.llm.fair_mix import mixed
 from hostweave.llm.parity_join import near_duplicates
@@ -100,3 +101,17 @@ SELECT q.doc_id, size, CAST(s AS BIGINT) AS source_size, round(target, 6) AS tar
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixed(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+@query("op3_boosted_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = boosted_quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return boosted_quality.scored(docs, trees).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op4_weak_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fitted = weak_toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return weak_toxicity.scored(docs, fitted).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
