@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostweave.llm import boosted_quality, weak_toxicity
+from hostweave.llm import boosted_quality, context_tree, weak_toxicity
 from hostweave.llm.decontaminate import overlaps
 from hostweave.llm.fair_mix import mixed
 from hostweave.llm.parity_join import near_duplicates
@@ -115,3 +115,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fitted = weak_toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return weak_toxicity.scored(docs, fitted).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op6_context_tree")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scored(table(spark, sf_dir, "documents"))
