@@ -11,8 +11,10 @@ from hostweave.llm import boosted_quality, context_tree, weak_toxicity
 from hostweave.llm.decontaminate import overlaps
 from hostweave.llm.fair_mix import mixed
 from hostweave.llm.parity_join import near_duplicates
+from hostweave.llm.preferences import next_reply, preference_pairs
 from hostweave.llm.quality_rules import fit_rules, judged
 from hostweave.llm.substring_dedup import remove_repeats
+from hostweave.llm.tag_paths import extracted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +122,38 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_context_tree")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.scored(table(spark, sf_dir, "documents"))
+
+
+@query("op7_tag_paths")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query(
+    "op10_preference_pairs",
+    r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, turn, role, text FROM conversations),
+l AS (SELECT c, max(i) AS m FROM t GROUP BY c),
+z AS (SELECT t.*, row_number() OVER (ORDER BY c) AS n, count(*) OVER () AS all_n FROM t JOIN l USING (c) WHERE i = m AND role = 'assistant'),
+a AS (SELECT z.c, z.i, coalesce(y.text, '') AS text FROM z JOIN z y ON y.n = z.n % z.all_n + 1),
+r AS (SELECT t.c, t.i, t.role, CASE WHEN t.i = a.i THEN a.text ELSE t.text END AS text FROM t JOIN a USING (c)),
+q AS (SELECT t.c, min(CASE WHEN t.text <> r.text THEN t.i END) AS d, max(t.i) AS m FROM t JOIN r ON t.c = r.c AND t.i = r.i GROUP BY t.c),
+k AS (SELECT c, coalesce(d - 1, m) AS n FROM q),
+b AS (SELECT c, i, 'c' AS side, role, text FROM t UNION ALL SELECT c, i, 'r', role, text FROM r),
+f AS (SELECT b.c, i, CASE WHEN i <= k.n THEN 'p' ELSE side END AS part, role, '<|' || role || '|>' || chr(10) AS head,
+    replace(text, '<|', '<\|') || '<|end|>' || chr(10) AS body FROM b JOIN k USING (c) WHERE i > k.n OR side = 'c'),
+s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY c, part ORDER BY i) AS e FROM f),
+j AS (SELECT c, part, string_agg(head || body, '' ORDER BY i) AS x,
+    string_agg(CAST(e - length(body) AS BIGINT) || '-' || CAST(e AS BIGINT), ',' ORDER BY i) FILTER (WHERE role = 'assistant') AS y FROM s GROUP BY c, part)
+SELECT k.c AS conv_id, CAST(k.n AS BIGINT) AS n_common, coalesce(max(x) FILTER (WHERE part = 'p'), '') AS prompt, coalesce(max(x) FILTER (WHERE part = 'c'), '') AS chosen,
+  coalesce(max(x) FILTER (WHERE part = 'r'), '') AS rejected, coalesce(max(y) FILTER (WHERE part = 'c'), '') AS chosen_spans, coalesce(max(y) FILTER (WHERE part = 'r'), '') AS rejected_spans
+FROM k LEFT JOIN j USING (c) GROUP BY k.c, k.n""",
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "conversations")
+    out = preference_pairs(good, next_reply(good))
+
+    def shown(c: str):
+        return F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["begin"].cast("string"), x["end"].cast("string"))), ",").alias(c)
+
+    return out.select("conv_id", "n_common", "prompt", "chosen", "rejected", shown("chosen_spans"), shown("rejected_spans"))
