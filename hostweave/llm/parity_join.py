@@ -259,27 +259,24 @@ def near_duplicates(
     rows = base.mapInArrow(_keys(size, num, den), "key long, node long, real long, local long, kind tinyint")
     w = W.partitionBy("key")
     rows = rows.withColumn("_n", F.count("*").over(w)).withColumn("_rep", F.min("node").over(w))
+    rows = rows.withColumn("_who", F.bit_xor("node").over(w)).withColumn("_more", F.max("kind").over(w) > SINGLE)
     known = F.col("kind") == KNOWN
-    members = stored(
-        rows.filter(known | (F.col("_n") > 1)).select(
-            F.when(known, F.col("real")).otherwise(F.col("key")).alias("key"),
-            "node",
-            F.when(known, F.col("local")).otherwise(F.col("_rep")).alias("rep"),
-            (F.col("kind") == NOTICE).alias("notice"),
-        )
-    )
+    # keys with the same nodes are one: near copies share most of their blocks
+    who = F.when(known, F.col("real")).when(F.col("_more"), F.col("key")).otherwise(F.xxhash64("_who", "_n"))
+    members = rows.filter(known | (F.col("_n") > 1)).groupBy(who.alias("key"), "node")
+    members = stored(members.agg(F.min(F.when(known, F.col("local")).otherwise(F.col("_rep"))).alias("rep"), F.count("*").alias("count")))
     wanted = members.select("node").distinct().join(heads, "node").select("node", "head._id", "head._h")
     texts = base.join(wanted, same_doc(base, wanted)).select("node", "_text").mapInArrow(
         _sketches(size), "node long, n long, sketch binary, text string"
     )
     texts = stored(texts)
 
-    star = members.filter("node != rep").groupBy("node", "rep").count()
+    star = members.filter("node != rep").groupBy("node", "rep").agg(F.sum("count").alias("count"))
     star = star.groupBy("node").agg(F.max_by("rep", F.struct("count", "rep")).alias("rep")).select(F.col("node").alias("u"), F.col("rep").alias("v"))
     edges = stored(_similar(star, texts, size, num, den))
     labels = _labels(edges) if not edges.isEmpty() else None
 
-    members = members.filter("NOT notice").select("key", "node")
+    members = members.select("key", "node")
     label: Column = F.col("node") if labels is None else F.coalesce("label", "node")
     held = (members if labels is None else members.join(labels, "node", "left")).select("key", "node", label.alias("label"))
     held = stored(held.join(texts.select("node", "n"), "node"))
