@@ -28,7 +28,7 @@ from hostweave.llm.tokens import LOWER, flat, pieces, signed, split_words
 from hostweave.llm.training import held_out
 
 DEPTH, HELD = 5, 3
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 24 << 20
 RUN, WORD = 0, 1
 END_WORD = 0x0123456789ABCDEF  # stands for the end of a text among the words' hashes
 _MERGE = 1 << 21
@@ -164,7 +164,7 @@ def _run_values(shared):
             p = None
             for depth in range(DEPTH, -1, -1):
                 p = levels[depth].mixed((runs >> 8 * (DEPTH + 1 - depth)) << 8 | bits, bit, p)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), RUN, np.int8)), pa.array(runs), pa.array(np.log10(p).sum(0))], ["kind", "key", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), RUN, np.int8)), pa.array(runs), pa.array(np.log10(p).sum(0), pa.float32()), pa.array(np.zeros(len(runs), np.int64))], ["kind", "key", "value", "n"])
 
     return run
 
@@ -246,8 +246,8 @@ def _scored(tokens: int, distinct: int, kind: pa.DataType):
     def run(docs: pa.Table, model: pa.Table) -> pa.Table:
         what = model.column("kind").to_numpy()
         known = {}
-        for k in (RUN, WORD):
-            key, value = model.column("key").to_numpy()[what == k], model.column("value").to_numpy()[what == k]
+        for k, c in ((RUN, "value"), (WORD, "n")):
+            key, value = model.column("key").to_numpy()[what == k], model.column(c).to_numpy()[what == k].astype(float)
             order = np.argsort(key)
             known[k] = key[order], value[order]
         out = []
@@ -302,8 +302,8 @@ def scored(docs: DataFrame, modulus: int = 7, remainder: int = 2, id_col: str =
     upper = [level]
     while len(upper) < HELD:
         upper.insert(0, upper[0].parent())
-    values = runs.mapInArrow(_run_values(spark.sparkContext.broadcast(upper)), "kind tinyint, key long, value double")
-    words = counts.filter(f"kind = {WORD}").select("kind", "key", F.col("n").cast("double").alias("value"))
+    values = runs.mapInArrow(_run_values(spark.sparkContext.broadcast(upper)), "kind tinyint, key long, value float, n long")
+    words = counts.filter(f"kind = {WORD}").select("kind", "key", F.lit(0.0).cast("float").alias("value"), "n")
     model = stored(values.unionByName(words))
 
     size = (facts[RUN]["n"] if RUN in facts else 0) * modulus // max(modulus - 1, 1)
