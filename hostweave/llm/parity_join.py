@@ -12,6 +12,9 @@ D = (a+b)/9 shingles. If the sketch is cut into n > D blocks by shingle, at leas
 * Sets that are equal are one node from the start.
 * Keys that several documents of a batch share are folded there (see substring_dedup.fold_keys), so no key
   brings more than one row from a batch together.
+* A block held by more than HOT nodes (a line that many texts share) says little. Since n-D blocks must agree, a
+  document may leave out its hot blocks as long as fewer than that are empty or hot; hot keys then hold only documents
+  that are mostly made of them, such as large groups of near copies. As above, one side suffices.
 * Each node is first compared with one representative it shares most blocks with. Only keys that still hold
   nodes of different components are spelled out, their minority against the rest.
 
@@ -34,6 +37,8 @@ from hostweave.llm.tokens import Words, flat, keyed, mix, pieces, same_doc, sign
 from hostweave.operators.components import component_labels
 
 SEEDS = 8
+HOT = 8
+SHORT = tuple(f"s{i}" for i in range(8))
 _EMPTY_SET = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -74,10 +79,11 @@ def _limit(size: np.ndarray, other: np.ndarray, num: int, den: int) -> np.ndarra
     return (size + other) * (den - num) // (den + num)
 
 
-def block_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key): the sketch blocks of each text in the bands of its possible partners."""
+def block_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """(text number, key, scheme, room): the sketch blocks of each text in the bands of its possible partners. A scheme is a
+    level and a seed; of a text's blocks in a scheme, fewer than ``room`` may be left out."""
     low, high = _limit(size, -(-size * num // den), num, den), _limit(size, size * den // num, num, den)
-    out_doc, out_key = [], []
+    out_doc, out_key, out_scheme, out_room = [], [], [], []
     first, last = band(low), band(high)
     for level in (first, last):
         active = (high > 0) & (size > 0)
@@ -102,14 +108,20 @@ def block_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den:
             out_doc.append(d)
             out_key.append(mix(content ^ mix(tag)))
             filled = np.bincount(d, minlength=len(size))
+            out_scheme.append(level[d] * 16 + seed)
+            out_room.append((filled - most)[d])
             active = active & ((1 << level) - filled >= (1 << level) - most)
         if active.any():  # never filled enough: the empty blocks count as keys too
             for x in np.flatnonzero(active):
                 empty = np.setdiff1d(np.arange(1 << level[x]), part[d == x])
                 out_doc.append(np.full(len(empty), x))
                 out_key.append(mix(mix((np.uint64(int(level[x]) << 56 | (SEEDS - 1) << 48)) | empty.astype(np.uint64))))
-    z = np.zeros(0, np.int64)
-    return (np.concatenate(out_doc), np.concatenate(out_key)) if out_doc else (z, z.astype(np.uint64))
+                out_scheme.append(np.full(len(empty), level[x] * 16 + SEEDS - 1))
+                out_room.append(np.zeros(len(empty), np.int64))
+    if not out_doc:
+        z = np.zeros(0, np.int64)
+        return z, z.astype(np.uint64), z, z
+    return tuple(np.concatenate(x) for x in (out_doc, out_key, out_scheme, out_room))
 
 
 def parity_bits(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
@@ -122,6 +134,13 @@ def parity_bits(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]
     return [packed[a // 8 : z // 8] for a, z in zip(base[:-1], base[1:], strict=True)]
 
 
+def short_sketches(doc: np.ndarray, h: np.ndarray, n_texts: int) -> np.ndarray:
+    """Sketches of 512 bits as eight 64-bit columns, for comparisons inside joins."""
+    where = doc * 512 + (h >> np.uint64(40)).astype(np.int64) % 512
+    bits = np.bincount(where, minlength=n_texts * 512).astype(np.uint8) & 1
+    return np.packbits(bits.reshape(n_texts, 512), axis=1, bitorder="little").view(np.int64)
+
+
 def hamming(a: bytes, b: bytes) -> int:
     """Distance of two parity sketches; the longer one is folded first (XOR of its halves)."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -147,7 +166,7 @@ def _sets(size: int):
 def _keys(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "_text", FOLD_BYTES):
-            nodes, keys, seen = [], [], np.zeros(0, np.uint64)
+            nodes, keys, more, seen = [], [], [], np.zeros(0, np.uint64)
             for _, p in _sub(b):
                 words = split_words(*flat(p.column("_text")), lower=True)
                 doc, h = shingles(words, size)
@@ -156,10 +175,11 @@ def _keys(size: int, num: int, den: int):
                 new[np.unique(node, return_index=True)[1]] = True
                 new &= ~np.isin(node, seen)
                 seen = np.concatenate([seen, node[new]])
-                d, k = block_keys(doc[new[doc]], h[new[doc]], np.where(new, n, 0), num, den)
+                d, k, *schemes = block_keys(doc[new[doc]], h[new[doc]], np.where(new, n, 0), num, den)
                 nodes.append(node[d])
                 keys.append(k)
-            node, key = np.concatenate(nodes), np.concatenate(keys)
+                more.append(np.array(schemes, np.int32))
+            node, key, (scheme, room) = np.concatenate(nodes), np.concatenate(keys), np.concatenate(more, axis=1)
             kind, notices = fold_keys(key)
             known = kind == KNOWN
             # the notice of a key stands for its least node
@@ -176,8 +196,10 @@ def _keys(size: int, num: int, den: int):
                     pa.array(np.concatenate([np.where(known, signed(key), 0), z])),
                     pa.array(np.concatenate([np.where(known, signed(local), 0), z])),
                     pa.array(np.concatenate([kind, np.full(len(notices), NOTICE, np.int8)])),
+                    pa.array(np.concatenate([scheme, scheme[notices]])),
+                    pa.array(np.concatenate([room, np.full(len(notices), np.iinfo(np.int32).max, np.int32)])),
                 ],
-                ["key", "node", "real", "local", "kind"],
+                ["key", "node", "real", "local", "kind", "scheme", "room"],
             )
 
     return run
@@ -190,8 +212,11 @@ def _sketches(size: int):
             doc, h = shingles(words, size)
             n = np.bincount(doc, minlength=words.n_texts)
             yield pa.RecordBatch.from_arrays(
-                [p.column("node"), pa.array(n, pa.int64()), pa.array(parity_bits(doc, h, n), pa.binary()), p.column("_text")],
-                ["node", "n", "sketch", "text"],
+                [
+                    p.column("node"), pa.array(n, pa.int64()), pa.array(parity_bits(doc, h, n), pa.binary()), p.column("_text"),
+                    *[pa.array(c) for c in short_sketches(doc, h, words.n_texts).T.copy()],
+                ],
+                ["node", "n", "sketch", "text", *SHORT],
             )
 
     return run
@@ -256,18 +281,27 @@ def near_duplicates(
     sets = stored(base.mapInArrow(_sets(size), f"_id {ddl}, _h int, n long, node long"))
     heads = sets.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_h")).alias("head"))
 
-    rows = base.mapInArrow(_keys(size, num, den), "key long, node long, real long, local long, kind tinyint")
+    rows = base.mapInArrow(_keys(size, num, den), "key long, node long, real long, local long, kind tinyint, scheme int, room int")
     w = W.partitionBy("key")
     rows = rows.withColumn("_n", F.count("*").over(w)).withColumn("_rep", F.min("node").over(w))
     rows = rows.withColumn("_who", F.bit_xor("node").over(w)).withColumn("_more", F.max("kind").over(w) > SINGLE)
     known = F.col("kind") == KNOWN
     # keys with the same nodes are one: near copies share most of their blocks
     who = F.when(known, F.col("real")).when(F.col("_more"), F.col("key")).otherwise(F.xxhash64("_who", "_n"))
-    members = rows.filter(known | (F.col("_n") > 1)).groupBy(who.alias("key"), "node")
-    members = stored(members.agg(F.min(F.when(known, F.col("local")).otherwise(F.col("_rep"))).alias("rep"), F.count("*").alias("count")))
+    members = rows.filter(known | (F.col("_n") > 1)).groupBy(who.alias("key"), "node", "scheme")
+    members = stored(
+        members.agg(
+            F.min(F.when(known, F.col("local")).otherwise(F.col("_rep"))).alias("rep"), F.count(F.when(F.col("kind") != NOTICE, 1)).alias("count"), F.min("room").alias("room")
+        )
+    )
+    hot = members.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+    members = members.join(hot, "key", "left")
+    room = members.groupBy("node", "scheme").agg((F.min("room") - F.coalesce(F.sum(F.when(F.col("hot"), F.col("count"))), F.lit(0))).alias("need"))
+    members = members.drop("room").join(room, ["node", "scheme"]).filter("hot IS NULL OR need <= 0")
+    members = stored(members.select("key", "node", "rep", "count", "scheme", "need"))
     wanted = members.select("node").distinct().join(heads, "node").select("node", "head._id", "head._h")
     texts = base.join(wanted, same_doc(base, wanted)).select("node", "_text").mapInArrow(
-        _sketches(size), "node long, n long, sketch binary, text string"
+        _sketches(size), "node long, n long, sketch binary, text string, " + ", ".join(f"{c} long" for c in SHORT)
     )
     texts = stored(texts)
 
@@ -276,17 +310,27 @@ def near_duplicates(
     edges = stored(_similar(star, texts, size, num, den))
     labels = _labels(edges) if not edges.isEmpty() else None
 
-    members = members.select("key", "node")
     label: Column = F.col("node") if labels is None else F.coalesce("label", "node")
-    held = (members if labels is None else members.join(labels, "node", "left")).select("key", "node", label.alias("label"))
-    held = stored(held.join(texts.select("node", "n"), "node"))
+    held = (members if labels is None else members.join(labels, "node", "left")).select("key", "node", "count", "scheme", "need", label.alias("label"))
+    held = stored(held)
     per_label = held.groupBy("key", "label").count()
     main = per_label.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main"))
-    open_keys = stored(held.join(main.filter("labels > 1").select("key", "main"), "key"))
-    few = open_keys.filter("label != main").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    rest = open_keys.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    pairs = few.join(rest, "key").filter(f"la != lb AND {den} * least(na, nb) >= {num} * greatest(na, nb)")
-    pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    open_keys = held.join(main.filter("labels > 1").select("key", "main"), "key")
+    open_keys = stored(open_keys.join(texts.select("node", "n", *SHORT), "node"))
+    few = open_keys.filter("label != main").alias("a")
+    rest = open_keys.alias("b")
+    apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SHORT), F.lit(0))
+    limit = F.floor((F.col("a.n") + F.col("b.n")) * (den - num) / (den + num))
+    sizes = F.expr(f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)")
+    # both may be in the minority: such a pair comes up from either side and counts once, from its lesser node's
+    once = (F.col("b.label") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.scheme") == F.col("b.scheme")) & (F.col("a.label") != F.col("b.label")) & sizes & once & (apart <= limit)
+    pairs = few.join(rest, on).select(
+        F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"), "a.scheme", "a.count", F.greatest("a.need", "b.need").alias("need")
+    )
+    # linked sets agree in as many blocks as either side needs
+    pairs = pairs.groupBy("u", "v", "scheme").agg(F.sum("count").alias("shared"), F.max("need").alias("need"))
+    pairs = pairs.filter("shared >= need").select("u", "v").distinct()
     more = stored(_similar(pairs, texts, size, num, den))
     if not more.isEmpty():
         edges = edges.unionByName(more)
