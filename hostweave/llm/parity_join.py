@@ -15,7 +15,8 @@ D = (a+b)/9 shingles. If the sketch is cut into n > D blocks by shingle, at leas
 * A block held by more than HOT nodes (a line that many texts share) says little. Since n-D blocks must agree, a
   document may leave out its hot blocks as long as fewer than that are empty or hot; hot keys then hold only documents
   that are mostly made of them, such as large groups of near copies. As above, one side suffices.
-* Each node is first compared with one representative it shares most blocks with. Only keys that still hold
+* Each node is first compared with one representative it shares most blocks with, then STARS times with one of the
+  largest component it shares a key with. Only keys that still hold
   nodes of different components are spelled out, their minority against the rest.
 
 Every pair is verified on the whole sets. Nothing is capped.
@@ -38,6 +39,7 @@ from hostweave.operators.components import component_labels
 
 SEEDS = 8
 HOT = 8
+STARS = 3
 SHORT = tuple(f"s{i}" for i in range(8))
 _EMPTY_SET = np.uint64(0x5851F42D4C957F2D)
 
@@ -310,12 +312,24 @@ def near_duplicates(
     edges = stored(_similar(star, texts, size, num, den))
     labels = _labels(edges) if not edges.isEmpty() else None
 
-    label: Column = F.col("node") if labels is None else F.coalesce("label", "node")
-    held = (members if labels is None else members.join(labels, "node", "left")).select("key", "node", "count", "scheme", "need", label.alias("label"))
-    held = stored(held)
-    per_label = held.groupBy("key", "label").count()
-    main = per_label.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main"))
-    open_keys = held.join(main.filter("labels > 1").select("key", "main"), "key")
+    open_keys = None
+    for round_ in range(STARS + 1):
+        label: Column = F.col("node") if labels is None else F.coalesce("label", "node")
+        now = (members if labels is None else members.join(labels, "node", "left")).select("key", "node", "count", "scheme", "need", label.alias("label"))
+        main = now.groupBy("key", "label").count().groupBy("key")
+        main = main.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main"))
+        open_keys = stored(now.join(main.filter("labels > 1").select("key", "main"), "key"))
+        if round_ == STARS:
+            break
+        # one node of the main component answers for it, another one in every round
+        order = F.xxhash64("node", F.lit(round_))
+        rep = open_keys.filter("label = main").groupBy("key").agg(F.min_by("node", order).alias("rep"))
+        star = open_keys.filter("label != main").join(rep, "key").groupBy("node", "rep").agg(F.sum("count").alias("count"))
+        star = star.groupBy("node").agg(F.max_by("rep", F.struct("count", "rep")).alias("rep")).select(F.col("node").alias("u"), F.col("rep").alias("v"))
+        found = stored(_similar(star, texts, size, num, den))
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            labels = _labels(edges)
     open_keys = stored(open_keys.join(texts.select("node", "n", *SHORT), "node"))
     few = open_keys.filter("label != main").alias("a")
     rest = open_keys.alias("b")
