@@ -14,8 +14,15 @@ SIGNED_FIELDS = ("schema_ver", "producer_id", "host_id", "event_id", "ts_utc", "
 
 @F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
-    """Sorted keys, no blanks, ASCII escapes: neither order nor escapes are Spark's ``to_json``."""
-    return text.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":")))
+    """Sorted keys, no blanks, ASCII escapes: neither order nor escapes are Spark's ``to_json``. NULL if it is no JSON."""
+
+    def canonical(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
+    return text.map(canonical)
 
 
 def payload_digest(payload: Column) -> Column:

@@ -82,7 +82,7 @@ def windows_time(rec: Column, ingest_ts: str) -> Column:
 def number(*cols: Column, default: int = 0) -> Column:
     """First value that is present and not zero, as a whole number."""
     picked = F.coalesce(*[F.when(~c.isin("", "0"), c) for c in cols])
-    return F.coalesce(picked.try_cast("bigint"), F.lit(default).cast("bigint"))
+    return F.coalesce(picked.try_cast("bigint"), picked.try_cast("double").try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
 def allowed(df: DataFrame, allowlist: DataFrame, channels: Sequence[str] | None, wildcard: bool = False) -> DataFrame:

@@ -62,7 +62,8 @@ def _with_pads(events: DataFrame, enrollment: DataFrame) -> DataFrame:
 def sign_events(events: DataFrame, enrollment: DataFrame) -> DataFrame:
     """Set ``hmac`` on every row whose (producer, host) is enrolled; NULL on the others."""
     rows = _with_pads(events.drop("hmac"), enrollment)
-    mac = hmac_hex(signed_message(payload_digest(F.col("payload"))), F.col("inner"), F.col("outer"))
+    digest = payload_digest(F.col("payload"))
+    mac = F.when(digest.isNotNull(), hmac_hex(signed_message(digest), F.col("inner"), F.col("outer")))
     return rows.withColumn("hmac", mac).drop("inner", "outer")
 
 
@@ -72,12 +73,13 @@ def enrollment_check(events: DataFrame, enrollment: DataFrame) -> DataFrame:
 
 
 def verify_events(events: DataFrame, enrollment: DataFrame | None, allow_unverified: bool = False) -> DataFrame:
-    """Add ``reason``: NULL when accepted, else not_enrolled / bad_hmac / enrollment_required."""
+    """Add ``reason``: NULL when accepted, else not_enrolled / bad_payload / bad_hmac / enrollment_required."""
     if enrollment is None:
         return events.withColumn("reason", F.lit(None if allow_unverified else "enrollment_required").cast("string"))
     rows = _with_pads(events, enrollment)
-    mac = hmac_hex(signed_message(payload_digest(F.col("payload"))), F.col("inner"), F.col("outer"))
-    reason = F.when(F.col("inner").isNull(), "not_enrolled").when(F.coalesce(mac != F.col("hmac"), F.lit(True)), "bad_hmac")
+    digest = payload_digest(F.col("payload"))
+    mac = hmac_hex(signed_message(digest), F.col("inner"), F.col("outer"))
+    reason = F.when(F.col("inner").isNull(), "not_enrolled").when(digest.isNull(), "bad_payload").when(F.coalesce(mac != F.col("hmac"), F.lit(True)), "bad_hmac")
     return rows.withColumn("reason", reason).drop("inner", "outer")
 
 
@@ -88,14 +90,26 @@ def _first_by(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
 
 
 def dedup_events(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Keep the first arrival of every event id; run it after verification."""
-    return _first_by(events, [*by, "event_id"], "ingest_seq")
+    """Keep the first arrival of every event id; run it after verification. Rows without an id are all kept."""
+    return _first_by(events.filter("event_id IS NOT NULL"), [*by, "event_id"], "ingest_seq").unionByName(events.filter("event_id IS NULL"))
 
 
 def mark_replays(events: DataFrame) -> DataFrame:
-    """Add ``replay``: every later use of a producer's nonce. Nothing is forgotten."""
+    """Add ``replay``: every later use of a producer's nonce. Nothing is forgotten.
+
+    Run it on verified rows, or a forged row takes the nonce of a genuine one. A row without a nonce or producer
+    cannot be checked: its ``replay`` is NULL.
+    """
     first = events.groupBy("producer_id", "nonce").agg(F.min("ingest_seq").alias("_first"))
-    return events.join(first, ["producer_id", "nonce"]).withColumn("replay", F.col("ingest_seq") > F.col("_first")).drop("_first")
+    rows = events.join(first, ["producer_id", "nonce"], "left").withColumn("replay", F.col("ingest_seq") > F.col("_first"))
+    return rows.drop("_first").select(*events.columns, "replay")
+
+
+def drop_replays(accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fresh, rejected) of verified rows: replays and rows that cannot be checked leave with a reason."""
+    marked = mark_replays(accepted)
+    reason = F.when(F.col("replay").isNull(), "bad_shape").otherwise("replay")
+    return marked.filter("NOT replay").drop("replay"), marked.filter("replay IS NULL OR replay").withColumn("reason", reason).drop("replay")
 
 
 def ingest(

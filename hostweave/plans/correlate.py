@@ -12,7 +12,7 @@ from hostweave.operators.detect import all_signals, baseline_joins, baseline_per
 from hostweave.operators.evaluate import aggregate_scores, isolation_metrics, lift, pass_reasons, pooled_isolation, score_packs
 from hostweave.operators.merge import fused_campaigns
 from hostweave.operators.reconstruct import reconstruct
-from hostweave.operators.trust import ingest, mark_replays
+from hostweave.operators.trust import dedup_events, drop_replays, verify_events
 from hostweave.session import cut
 from hostweave.sources.exports import flatten_payload
 
@@ -39,15 +39,15 @@ def campaigns(events: DataFrame, mode: str = "fused", cfg: FuseConfig = FuseConf
 
 
 def replay(signed: DataFrame, enrollment: DataFrame, cfg: FuseConfig = FuseConfig()) -> dict[str, DataFrame]:
-    """Verify, drop replays, deduplicate, correlate and rebuild one run of signed events.
+    """Verify, drop replays among what verified, deduplicate, correlate and rebuild one run of signed events.
 
     ``signed`` has the envelope columns and ``ingest_seq``.
     """
-    fresh = mark_replays(signed)
-    accepted, rejected = ingest(fresh.filter("not replay").drop("replay"), enrollment)
+    verified = verify_events(signed, enrollment)
+    fresh, replays = drop_replays(verified.filter("reason IS NULL").drop("reason"))
+    accepted, rejected = dedup_events(fresh), verified.filter("reason IS NOT NULL")
     events = cut(flatten_payload(accepted))
     found = cut(fused_campaigns(events, cfg))
-    replays = fresh.filter("replay").drop("replay").withColumn("reason", F.lit("replay"))
     return {
         "events": events, "rejected": rejected.unionByName(replays, allowMissingColumns=True), "campaigns": found, "reconstruction": reconstruct(found),
     }

@@ -96,8 +96,8 @@ def flatten_payload(events: DataFrame) -> DataFrame:
         .withColumns(
             {
                 **{c: F.col("_p")[c] for c in ("user", "result", "src", "dst_ip", "query", "qtype", "image", "technique")},
-                "dst_port": F.col("_p")["dst_port"].try_cast("int"),
-                "bytes": F.col("_p")["bytes"].try_cast("bigint"),
+                "dst_port": F.col("_p")["dst_port"].try_cast("double").try_cast("int"),
+                "bytes": F.coalesce(F.col("_p")["bytes"].try_cast("bigint"), F.col("_p")["bytes"].try_cast("double").try_cast("bigint")),
                 "egress": F.col("_p")["egress"].try_cast("boolean"),
             }
         )

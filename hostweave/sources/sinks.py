@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,8 @@ def latest_campaigns(rows: DataFrame) -> DataFrame:
 
 
 def write_campaigns(campaigns: DataFrame, path: str, run_id: str) -> None:
-    """Replace a run's whole set of campaigns; other runs stay."""
-    out = campaigns.withColumn("run_id", F.lit(run_id))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    """Replace a run's whole set of campaigns, also by none; other runs stay."""
+    campaigns.drop("run_id").write.mode("overwrite").parquet(f"{path}/run_id={quote(run_id, safe='')}")
 
 
 def read_campaigns(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:

@@ -75,3 +75,19 @@ def test_replay_pipeline(spark):
     assert [r["reason"] for r in out["rejected"].collect()] == ["replay"]
     built = out["reconstruction"].first()
     assert built["status"] == "complete" and built["plan_refused"] and built["quarantine_hosts"] == []
+
+
+def test_forged_rows_do_not_take_nonces_and_no_row_is_lost(spark):
+    from hostweave.plans.correlate import verify_events
+
+    def row(i, event_id, nonce, payload):
+        return {**signed(i, "prod-a", "host-a", {}), "event_id": event_id, "nonce": nonce, "payload": payload}
+
+    good = [row(1, "e1", "n1", '{"a":1}'), row(2, "e2", None, '{"a":2}'), row(3, "e3", "n1", '{"a":3}'), row(4, "e4", "n4", "{broken")]
+    good = trust.sign_events(frame(spark, good), enrolled(spark))
+    forged = frame(spark, [row(0, "f1", "n1", '{"a":9}')])
+    checked = verify_events(forged.unionByName(good, allowMissingColumns=True), enrolled(spark))
+    fresh, replays = trust.drop_replays(checked.filter("reason IS NULL").drop("reason"))
+    reasons = {r.event_id: r.reason for r in checked.filter("reason IS NOT NULL").unionByName(replays).collect()}
+    assert [r.event_id for r in fresh.collect()] == ["e1"]
+    assert reasons == {"f1": "bad_hmac", "e2": "bad_shape", "e3": "replay", "e4": "bad_payload"}
