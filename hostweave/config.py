@@ -17,9 +17,6 @@ class FuseConfig:
     recon_min_distinct: int = 5
     max_small_bytes: int = 50_000
     src_host_prefix: str = "host-"
-    # Runs with at most this many clusters (counted first) are merged as one group; larger ones are
-    # split into groups that cannot meet. The result is the same.
-    fold_limit: int = 20_000
 
     @property
     def window_us(self) -> int:

@@ -338,39 +338,14 @@ def _fold_groups(
 def merge_pass(
     items: DataFrame, recon: DataFrame, cfg: FuseConfig, by: Sequence[str], gap_us: int, resume: bool
 ) -> tuple[DataFrame, DataFrame]:
-    """One merge pass to its fixpoint: (entries, original items with their final group)."""
+    """One merge pass to its fixpoint: (entries, original items with their final group). Groups grow by links between
+    those that can meet."""
     by = list(by)
     columns = [*by, *_COLUMNS]
     base = items.withColumn("gid", F.lpad(F.col("ord").cast("string"), 14, "0")).withColumn(
         "recon_pos", F.when(F.col("absorbs_recon"), F.col("ord"))
     )
     base = cut(base.withColumn("n_items", F.lit(1).cast("bigint")).select(*columns))
-    small, large = _split_by_size(base, cfg.fold_limit, by)
-    if small is not None:
-        small = cut(small.withColumn("gid", F.lit("all")))
-        folded = cut(_fold_groups(small, recon, cfg, by, gap_us, resume))
-        if large is None:
-            return folded, small
-        entries, groups = _merge_linked(large, recon, cfg, by, gap_us, resume)
-        return entries.unionByName(folded), groups.unionByName(small)
-    return _merge_linked(large, recon, cfg, by, gap_us, resume)
-
-
-def _split_by_size(base: DataFrame, limit: int, by: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
-    """(runs that fit one bounded group, the others); the number of clusters is checked first."""
-    if not by:
-        return (base, None) if base.count() <= limit else (None, base)
-    over = cut(base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).drop("_n"))
-    if over.isEmpty():
-        return base, None
-    return base.join(over, by, "left_anti"), base.join(over, by, "left_semi")
-
-
-def _merge_linked(
-    base: DataFrame, recon: DataFrame, cfg: FuseConfig, by: list[str], gap_us: int, resume: bool
-) -> tuple[DataFrame, DataFrame]:
-    """Groups grown by links between those that can meet, for runs of any size."""
-    columns = [*by, *_COLUMNS]
     groups = base
     states = groups.withColumn("fresh", F.lit(True))
     while True:

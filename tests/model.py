@@ -54,6 +54,16 @@ def dns(host, query, at):
     return ("dns", host, at, {"query": query, "qtype": "A"})
 
 
+def walk(user, hosts, start, step=9):
+    """One account logs on from host to host."""
+    return [auth(h, user, start + i * step, hosts[i - 1] if i else None) for i, h in enumerate(hosts)]
+
+
+def leak(hosts, dst, nbytes, start, step=13):
+    """Each host in turn sends a small upload to one address."""
+    return [exfil(h, dst, nbytes + i, start + i * step) for i, h in enumerate(hosts)]
+
+
 def rows_of(specs, pack="p"):
     return [event(k, h, at, i, pack, **p) for i, (k, h, at, p) in enumerate(specs)]
 

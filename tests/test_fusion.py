@@ -1,12 +1,11 @@
 import random
 from functools import reduce
 
-import pytest
 from pyspark.sql import DataFrame
 
 from hostweave.config import FuseConfig
 from hostweave.operators.merge import fused_campaigns
-from tests.model import auth, campaigns, dns, exfil, frame
+from tests.model import auth, campaigns, dns, exfil, frame, leak, walk
 
 
 def key_of(row):
@@ -23,67 +22,47 @@ def fuse_packs(spark, packs, **cfg):
     return out
 
 
-A, B, C, D, E = (f"host-{x}" for x in "abcde")
+H = [f"host-{i:02d}" for i in range(11, 18)]
+BEACONS = [dns(h, f"q{i}.tick.example.net", 11 * i) for i, h in enumerate(H[:4])]
 
 CASES = {
-    "two_days_apart": [auth(A, "svc", 0), auth(B, "svc", 30), auth(A, "svc", 172800), auth(B, "svc", 172830)],
-    "cdn_everywhere": [exfil(h, "104.18.32.7", 8000, i * 30) for i, h in enumerate([A, B, C, D, E])],
-    "jumpbox": [auth(A, "svc-backup", 0), auth(B, "svc-backup", 30), auth(C, "svc-backup", 60), auth(C, "helpdesk", 120), auth(D, "helpdesk", 150)],
-    "shared_service_account": [
-        auth(A, "sql-web", 42), auth(B, "sa", 52, A), auth(C, "sql-svc", 68, B), auth(B, "sql-svc", 78, A), auth(D, "sql-svc", 60),
-        auth(E, "sql-svc", 70), exfil(B, "198.51.100.44", 28000, 95), exfil(C, "198.51.100.44", 22000, 102),
-    ],
-    "source_host_joins": [auth(B, "sa", 10, A), auth(B, "sa", 20, A), exfil(B, "198.51.100.9", 12000, 40), exfil(C, "198.51.100.9", 11000, 50)],
-    "dns_zone": [dns(A, "a1.c2.evil.test", 0), dns(B, "b1.c2.evil.test", 10), dns(C, "payload.c2.evil.test", 20)],
-    "resume": [
-        auth(A, "sleeper", 0), auth(B, "sleeper", 20, A), exfil(B, "198.51.100.90", 12000, 40), auth(B, "sleeper", 700),
-        auth(C, "sleeper", 720), exfil(C, "198.51.100.91", 15000, 740),
-    ],
-    "hop_chain": [
-        auth(A, "svc-deploy", 10), auth(B, "svc-deploy", 14, A), auth(C, "svc-deploy", 18, B), auth(D, "svc-deploy", 22, C),
-        exfil(D, "198.51.100.40", 30000, 35), exfil(C, "198.51.100.40", 22000, 38),
-    ],
-    "shape_gap": [
-        dns(A, "a1.c2.evil.test", 0), dns(B, "b1.c2.evil.test", 10), dns(C, "c1.c2.evil.test", 20), auth(A, "tasksvc", 630),
-        auth(B, "tasksvc", 640, A), auth(C, "tasksvc", 650, B), exfil(C, "198.51.100.110", 17000, 665),
-    ],
-    "hub": [
-        auth(A, "Administrator", 0), auth(B, "Administrator", 8, A), auth(C, "Administrator", 16, B), exfil(C, "198.51.100.20", 22000, 30),
-        auth(B, "spray-hit", 5), auth(C, "spray-hit", 14, B), auth(D, "spray-hit", 24, C), exfil(D, "198.51.100.60", 18000, 40),
-        auth(C, "ransom-op", 10), auth(D, "ransom-op", 20, C), auth(E, "ransom-op", 32, D), exfil(E, "198.51.100.100", 25000, 50),
+    "same_walk_days_later": walk("kiosk", H[:3], 0) + walk("kiosk", H[:3], 250_000),
+    "uploads_only": leak(H[:6], "192.0.2.201", 6_100, 5),
+    "relay_of_two_accounts": walk("backup7", H[:3], 0, 21) + walk("desk4", H[2:4], 200, 21),
+    "walk_then_leak": walk("deploy9", H[:5], 3) + leak(H[3:5], "192.0.2.15", 17_500, 70),
+    "crossing_accounts": walk("ada", H[:3], 0, 17) + walk("bo", H[1:4], 6, 17) + leak(H[1:3], "192.0.2.44", 9_300, 90),
+    "beacons": BEACONS,
+    "beacons_then_walk": BEACONS + walk("late1", H[:3], 655) + leak(H[2:3], "192.0.2.61", 12_900, 690),
+    "pause_within_resume": walk("drowsy", H[:2], 0) + leak(H[1:2], "192.0.2.90", 8_800, 33) + walk("drowsy", H[1:3], 1_500) + leak(H[2:3], "192.0.2.91", 8_900, 1_560),
+    "pause_beyond_resume": walk("drowsy", H[:2], 0) + leak(H[1:2], "192.0.2.90", 8_800, 33) + walk("drowsy", H[1:3], 6_500) + leak(H[2:3], "192.0.2.91", 8_900, 6_560),
+    "three_walks_through_one_host": [
+        x for i, u in enumerate(("ann", "ben", "cyd")) for x in walk(u, H[i : i + 3], 7 * i, 12) + leak([H[i + 2]], f"192.0.2.{30 + i}", 20_100 + i, 60 + 5 * i)
     ],
 }
 
 
-@pytest.mark.parametrize("fold_limit", [20_000, 0])
-def test_cases_match_model(spark, fold_limit):
-    assert fuse_packs(spark, CASES, fold_limit=fold_limit) == {n: set(campaigns(c)) for n, c in CASES.items()}
+def test_cases_match_model(spark):
+    assert fuse_packs(spark, CASES) == {n: set(campaigns(c)) for n, c in CASES.items()}
 
 
 def test_one_run_without_packs(spark):
-    rows = fused_campaigns(frame(spark, CASES["hub"]), FuseConfig(), with_evidence=True).collect()
-    assert {key_of(r) for r in rows} == set(campaigns(CASES["hub"]))
+    specs = CASES["three_walks_through_one_host"]
+    rows = fused_campaigns(frame(spark, specs), FuseConfig(), with_evidence=True).collect()
+    assert {key_of(r) for r in rows} == set(campaigns(specs))
     for r in rows:
         assert {e["host_id"] for e in r["evidence"]} <= set(r["host_ids"])
         assert any(e["kind"] == "lateral_auth" for e in r["evidence"])
 
 
-def host_sets(specs):
-    return {frozenset(c[1]) for c in campaigns(specs)}
+def host_sets(name):
+    return {frozenset(c[1]) for c in campaigns(CASES[name])}
 
 
-def test_model_gives_the_known_outcomes():
-    assert [set(c[1]) for c in campaigns(CASES["two_days_apart"])] == [{A, B}, {A, B}]
-    assert campaigns(CASES["cdn_everywhere"]) == []
-    assert host_sets(CASES["jumpbox"]) == {frozenset({A, B, C}), frozenset({C, D})}
-    assert reduce(frozenset.union, host_sets(CASES["shared_service_account"])) == {A, B, C}
-    assert any(s >= {A, B, C} for s in host_sets(CASES["source_host_joins"]))
-    assert host_sets(CASES["dns_zone"]) == {frozenset({A, B, C})}
-    assert any(s >= {A, B, C} for s in host_sets(CASES["resume"]))
-    assert reduce(frozenset.union, host_sets(CASES["hop_chain"])) >= {A, B, C, D}
-    assert len(campaigns(CASES["shape_gap"])) >= 2
-    users = [{s[1] for s in c[2] if s[0] == "lateral_auth"} for c in campaigns(CASES["hub"])]
-    assert not any({"Administrator", "spray-hit", "ransom-op"} <= u for u in users)
+def test_model_gives_the_outcomes_the_rules_ask_for():
+    assert [set(c[1]) for c in campaigns(CASES["same_walk_days_later"])] == [set(H[:3])] * 2
+    assert host_sets("beacons") == {frozenset(H[:4])}
+    assert any(s >= set(H[:5]) for s in host_sets("walk_then_leak"))
+    assert len(campaigns(CASES["pause_within_resume"])) < len(campaigns(CASES["pause_beyond_resume"]))
 
 
 def random_specs(rng, n, hosts, span):
@@ -103,14 +82,12 @@ def random_specs(rng, n, hosts, span):
 
 
 def test_random_events_match_model(spark):
-    """Every random pack gives the brute-force result, in one group and in linked groups."""
-    for recon, window in ((4, 600),):
-        rng = random.Random(recon)
-        packs = {
-            f"p{i}": random_specs(rng, rng.choice([60, 120, 200]), rng.choice([5, 8, 14]), rng.choice([3000, 20_000, 60_000]))
-            for i in range(10)
-        }
-        want = {n: set(campaigns(s, window=window, recon_min=recon)) for n, s in packs.items()}
-        for limit in (20_000, 0):
-            got = fuse_packs(spark, packs, recon_min_distinct=recon, window_seconds=window, fold_limit=limit)
-            assert got == want, limit
+    """Every random pack gives the brute-force result."""
+    recon, window = 4, 600
+    rng = random.Random(recon)
+    packs = {
+        f"p{i}": random_specs(rng, rng.choice([60, 120, 200]), rng.choice([5, 8, 14]), rng.choice([3000, 20_000, 60_000]))
+        for i in range(10)
+    }
+    want = {n: set(campaigns(s, window=window, recon_min=recon)) for n, s in packs.items()}
+    assert fuse_packs(spark, packs, recon_min_distinct=recon, window_seconds=window) == want

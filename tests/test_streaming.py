@@ -4,9 +4,10 @@ from hostweave.config import FuseConfig
 from hostweave.operators.merge import fused_campaigns
 from hostweave.operators.sessions import gap_sessions
 from hostweave.streaming import live
-from tests.model import SCHEMA, auth, campaigns, exfil, frame
+from tests.model import SCHEMA, auth, campaigns, frame, leak, walk
 
-CHAIN = [auth("host-a", "u", 10), auth("host-b", "u", 14, "host-a"), auth("host-c", "u", 18, "host-b"), exfil("host-c", "198.51.100.40", 22000, 38), exfil("host-b", "198.51.100.40", 30000, 35)]
+HOSTS = ["host-31", "host-32", "host-33"]
+CHAIN = walk("patch2", HOSTS, 4, 15) + leak(HOSTS[:0:-1], "192.0.2.118", 14_600, 61)
 
 
 def put(spark, df, folder, n):
@@ -32,7 +33,7 @@ def test_recompute_and_respond_loops(spark, tmp_path):
     assert got == {(c[0], c[1]) for c in campaigns(CHAIN)}
     assert got == {(r["campaign_id"], tuple(r["host_ids"])) for r in fused_campaigns(whole, FuseConfig(), with_evidence=False).collect()}
     proposed = [r["host_id"] for r in spark.read.parquet(props).collect()]
-    assert sorted(proposed) == ["host-a", "host-b", "host-c"]
+    assert sorted(proposed) == HOSTS
 
 
 def test_stream_sessions_equal_batch(spark, tmp_path):
