@@ -28,7 +28,7 @@ from hostweave.llm.tokens import LOWER, flat, pieces, signed, split_words
 from hostweave.llm.training import held_out
 
 DEPTH, HELD = 5, 3
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 RUN, WORD = 0, 1
 END_WORD = 0x0123456789ABCDEF  # stands for the end of a text among the words' hashes
 _MERGE = 1 << 21
@@ -238,7 +238,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p in pieces(iter([part]), "_text"):
                 runs, _, words, _ = _text_keys(p.column("_text"))
                 for kind, keys in ((RUN, np.unique(runs)), (WORD, np.unique(words))):
-                    total[kind].add(keys, np.zeros(len(keys), np.int64))
+                    total[kind].add(keys, np.zeros(len(keys), np.int8))
     yield from told()
 
 
@@ -247,14 +247,14 @@ def _scored(tokens: int, distinct: int, kind: pa.DataType):
         what = model.column("kind").to_numpy()
         known = {}
         for k, c in ((RUN, "value"), (WORD, "n")):
-            key, value = model.column("key").to_numpy()[what == k], model.column(c).to_numpy()[what == k].astype(float)
+            key, value = model.column("key").to_numpy()[what == k], model.column(c).to_numpy()[what == k]
             order = np.argsort(key)
             known[k] = key[order], value[order]
         out = []
         for p in pieces(iter(docs.combine_chunks().to_batches()), "_text"):
             runs, first, words, doc = _text_keys(p.column("_text"))
             key, value = known[RUN]
-            score = np.add.reduceat(value[np.searchsorted(key, runs)], first[:-1])
+            score = np.add.reduceat(value[np.searchsorted(key, runs)], first[:-1], dtype=float)
             key, value = known[WORD]
             c = value[np.searchsorted(key, words)]
             n = p.num_rows
