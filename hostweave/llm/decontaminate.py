@@ -2,8 +2,8 @@
 
 A seed mask picks fixed positions of a run of words and ignores the others, so one substituted word spoils only
 the masks that look at it. Hashes of every benchmark run under every mask meet the hashes of every document
-run under the same mask. A hit fixes a diagonal (document word minus item word); the best stretch of that
-diagonal, in which at least ``share`` of the words agree, is an overlap.
+run under the same mask. A hit fixes a diagonal (document word minus item word); the stretch of that diagonal with most
+agreeing words, among those in which at least ``share`` of the words agree, is an overlap.
 
 The benchmark is handled in blocks of at most BLOCK_WORDS words, the only thing sent to all tasks. Each block is
 one pass over the documents, without a shuffle; no document, item or hit is left out at any size.
@@ -12,6 +12,7 @@ one pass over the documents, without a shuffle; no document, item or hit is left
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,26 @@ def best_stretch(equal: np.ndarray, share: float) -> tuple[int, int, int]:
     return begin, end, int(equal[begin:end].sum())
 
 
+def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int, int]:
+    """(begin, end, agreeing words) of the stretch with most agreeing words among those in which at least ``share`` of
+    the words agree; of several the shortest, then the first."""
+    part = Fraction(str(share))
+    score = np.append(0, np.cumsum(np.where(equal, part.denominator - part.numerator, -part.numerator)))
+    high = np.maximum.accumulate(score[::-1])
+    # the last place from which on the score is no lower than at each place
+    last = len(equal) - np.searchsorted(high, score)
+    long = last - np.arange(len(score))
+    if not (most := int(long.max())):
+        return 0, 0, 0
+    # a stretch with most agreeing words can be widened to the greatest length, so the longest ones hold it
+    begin = np.flatnonzero(long == most)
+    place, same = np.flatnonzero(equal), np.append(0, np.cumsum(equal))
+    begin = begin[same[begin + most] - same[begin] == (same[begin + most] - same[begin]).max()]
+    first, end = place[same[begin]], place[same[begin + most] - 1] + 1
+    k = int(np.argmin(end - first))
+    return int(first[k]), int(end[k]), int(same[end[k]] - same[first[k]])
+
+
 class _Block:
     """Hashes and words of some benchmark items, ready for look-up."""
 
@@ -85,7 +106,7 @@ class _Block:
         for d, t, shift in sorted(found):
             own = self.items[t]
             a, z = max(0, -shift), min(len(own), int(counts[d]) - shift)
-            begin, end, same = best_stretch(own[a:z] == words.hash[first[d] + shift + a : first[d] + shift + z], share)
+            begin, end, same = longest_stretch(own[a:z] == words.hash[first[d] + shift + a : first[d] + shift + z], share)
             if same >= min(least, -(-len(own) * share // 1)) and same > out.get((d, t), (0, 0, 0))[2]:
                 out[d, t] = (shift + a + begin, end - begin, same)
         return out

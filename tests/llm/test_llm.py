@@ -15,7 +15,7 @@ import pytest
 import corpus_pipeline
 from check_queries import TABLES, normal
 from hostweave.llm import boosted_quality, catalog, context_tree, parity_join, quality_rules, substring_dedup, weak_toxicity
-from hostweave.llm.decontaminate import best_stretch, decontaminated, overlaps
+from hostweave.llm.decontaminate import best_stretch, decontaminated, longest_stretch, overlaps
 from hostweave.llm.fair_mix import mixed, mixed_documents
 from hostweave.llm.preferences import next_reply, preference_pairs
 from hostweave.llm.tag_paths import article, extracted
@@ -175,6 +175,34 @@ def test_best_stretch():
     assert best_stretch(np.zeros(3, bool), 0.5)[2] == 0
 
 
+def test_longest_stretch_matches_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        equal = r.random(r.integers(0, 30)) < r.choice([0.3, 0.6, 0.75, 0.9])
+        num, den = [(3, 4), (4, 5), (1, 2), (1, 1)][r.integers(4)]
+        want = max(
+            ((int(equal[i:j].sum()), i - j, -i) for i in range(len(equal)) for j in range(i + 1, len(equal) + 1) if den * equal[i:j].sum() >= num * (j - i)),
+            default=(0, 0, 0),
+        )
+        assert longest_stretch(equal, num / den) == (-want[2], -want[2] - want[1], want[0])
+
+
+def test_decontamination_takes_the_longest_overlap_of_enough_words(spark):
+    r = random.Random(7)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(n))) for i, n in enumerate([40, 60, 20, 30, 59])]
+    gone = [set(range(3, 40, 4)), set(range(3, 60, 4)), {12, *range(15, 20)}, {9, 10, 16, 20, 24, 28}, {5, 13, 14, 24, 25, 29, 39, 40, 44, 51, 52, 58}]
+    filler = [f"f{k}" for k in range(50)]
+    texts = []
+    for (_, text), out in zip(items, gone, strict=True):
+        copied = ["changed" if k in out else w for k, w in enumerate(text.split())]
+        texts.append(" ".join([*r.sample(filler, 20), *copied, *r.sample(filler, 20)]))
+    docs, bench = spark.createDataFrame(rows(texts), SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.n_words, x.n_equal) for x in overlaps(docs, bench).collect()}
+    # exactly 75% (the last word is a changed one), 12 equal + 1 changed + 2 equal, and irregular changes
+    assert got == {(0, 0): (39, 30), (1, 1): (59, 45), (2, 2): (15, 14), (3, 3): (30, 24), (4, 4): (58, 47)}
+    assert decontaminated(docs, bench).count() == 0
+
+
 def brute_counts(text):
     t = text or ""
     w = SPLIT.findall(t)
