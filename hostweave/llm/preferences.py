@@ -73,14 +73,23 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair: str = "conv_i
 def next_reply(turns: DataFrame, pair: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Rejected conversations for a table of good ones: the last turn of each conversation that ends with an assistant turn is
     answered by the reply that follows in the order of ids (the first one's for the last). Conversations that end
-    otherwise give none."""
+    otherwise give none. Exactly one row is replaced, by a row that stays last: the turns, roles and texts of a conversation are
+    in order, and where others have the number of the last turn, its reply has the next number."""
     known = turns.filter(F.col(pair).isNotNull())
     last = known.groupBy(pair).agg(F.max(F.struct(turn, role, text)).alias("l"))
     last = last.filter(F.col(f"l.{role}") == TRAINED).select(F.col(pair).alias("_p"), F.col(f"l.{turn}").alias("_t"), F.col(f"l.{text}").alias("_x"), F.lit(1).alias("_one"))
     place = stored(running_sum(last, [], ["_p"], "_one", "_n"))
     n = place.agg(F.max("_n")).first()[0] or 1
     after = place.select(F.when(F.col("_n") == 1, F.lit(n)).otherwise(F.col("_n") - 1).cast("long").alias("_n"), F.col("_x").alias("_reply"))
-    swap = place.select("_p", "_t", F.col("_n").cast("long").alias("_n")).join(after, "_n").select("_p", "_t", "_reply")
-    kept = known.join(swap, known[pair] == swap["_p"])
-    kept = kept.filter((F.col(turn) < F.col("_t")) | F.col(turn).isNull()).select(pair, turn, role, text)
-    return kept.unionByName(swap.select(F.col("_p").alias(pair), F.col("_t").alias(turn), F.lit(TRAINED).alias(role), F.col("_reply").alias(text)))
+    swap = place.select("_p", "_t", "_x", F.col("_n").cast("long").alias("_n")).join(after, "_n").drop("_n")
+    all_turns = known.join(swap, known[pair] == swap["_p"])
+    is_last = F.col(turn).eqNullSafe(F.col("_t")) & F.col(role).eqNullSafe(F.lit(TRAINED)) & F.col(text).eqNullSafe(F.col("_x"))
+    kept = all_turns.filter(~is_last).select(pair, turn, role, text)
+    # of rows that repeat the last one, all but one are kept
+    level = all_turns.filter(F.col(turn).eqNullSafe(F.col("_t"))).groupBy(F.col("_p").alias("_q")).agg(F.count("*").alias("_level"), F.count(F.when(is_last, 1)).alias("_copies"))
+    level = level.filter("_level > 1")
+    more = swap.join(level, F.col("_p") == F.col("_q")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).filter("_copy > 1")
+    more = more.select(F.col("_p").alias(pair), F.col("_t").alias(turn), F.lit(TRAINED).alias(role), F.col("_x").alias(text))
+    number = F.when(F.col("_q").isNull(), F.col("_t")).otherwise(F.coalesce("_t", F.lit(-1)) + 1).cast(known.schema[turn].dataType)
+    reply = swap.join(level, F.col("_p") == F.col("_q"), "left")
+    return kept.unionByName(more).unionByName(reply.select(F.col("_p").alias(pair), number.alias(turn), F.lit(TRAINED).alias(role), F.col("_reply").alias(text)))

@@ -386,6 +386,20 @@ def test_preferences(spark):
     assert preference_pairs(none, none).count() == 0 and next_reply(none).count() == 0
 
 
+def test_next_reply_replaces_exactly_one_row_on_ties(spark, tmp_path):
+    data = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "m"), (1, 1, "assistant", "m"), (1, 1, "assistant", "m")]
+    data += [(2, 0, "user", "x"), (2, 4, "Assistant", "zz"), (2, 4, "assistant", "b"), (3, 0, "user", "y"), (3, 1, "assistant", "z"), (4, 0, "assistant", "k"), (4, 0, "user", "end")]
+    good = turns(spark, data)
+    bad = sorted((r.conv_id, r.turn, r.role, r.text) for r in next_reply(good).collect())
+    assert [r[3] for r in bad if r[0] == 1] == ["q", "a", "m", "m", "b"] and [r[3] for r in bad if r[0] == 2] == ["x", "zz", "z"]
+    assert bad[8:] == [(3, 0, "user", "y"), (3, 1, "assistant", "m")]
+    good.write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    name = "op10_preference_pairs"
+    assert normal(catalog.QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(c.execute(catalog.ORACLES[name]).df())
+
+
 def test_awkward_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13"), (None, None)], "item_id long, text string")
     labels = spark.createDataFrame([(0, 1, 0), (3, None, 1), (None, 1, 1), (4, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
