@@ -24,9 +24,14 @@ from hostweave.llm.substring_dedup import _arrow
 from hostweave.llm.tokens import pieces
 
 # Elements of HTML by what they are.
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|select|canvas|audio|video"
+RAW = "script|style|textarea|title|iframe"
+SKIPPED = frozenset("svg noscript template object select canvas audio video annotation annotation-xml".split())
+FOREIGN = ("svg", "math")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split()) | frozenset(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OTHER = frozenset("nav header footer aside form button dialog menu fieldset head".split())
 MAIN = frozenset("html body main article".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -39,10 +44,11 @@ NAMES = frozenset(
     "pagination pager skip copyright legal disclaimer tags".split()
 )
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*+>|<[!?/][^>]*+>",
     re.S | re.I,
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW.split("|")}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、]")
@@ -57,6 +63,7 @@ class Element:
     path: tuple[str, ...]
     parent: Element | None
     is_form: bool = False
+    doubt: bool = False  # a section with a telling word in its id only
     score: float = 0.0
     chars: int = 0
     children: list = field(default_factory=list)
@@ -68,10 +75,11 @@ class Block:
     text: str
 
 
-def _is_other(name: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is something else than article text by its name or attributes, and its label in paths."""
+def _is_other(name: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether an element is something else than article text by its name or attributes, whether it may be so by its id,
+    and its label in paths. The ids of headings and sections are often made of their title and decide nothing alone."""
     label = name
-    other = name in OTHER
+    other, doubt = name in OTHER, False
     for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'")
         if key == "class" and value:
@@ -80,14 +88,69 @@ def _is_other(name: str, attributes: str) -> tuple[bool, str]:
             continue
         if key in ("class", "id"):
             words = {w.lower() for v in value.split() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", v)}
-            other = other or bool(words & NAMES)
+            told = bool(words & NAMES)
+            if key == "id" and (name == "section" or name in HEADINGS):
+                doubt = doubt or (told and name == "section")
+            else:
+                other = other or told
         elif key == "role":
             other = other or value.lower() in ROLES
         elif key == "hidden":
             other = True
         elif key == "style":
             other = other or "display:none" in value.replace(" ", "").lower()
-    return other, label
+    return other, doubt, label
+
+
+def _tokens(page: str) -> Iterator[tuple[re.Match, int, bool]]:
+    """(token, end, left out) of the comments, tags and raw texts of a page. An element of SKIPPED with its own end tag inside the
+    same parent is one token with all it holds; without one, its start tag alone is left out and what follows is text of the page."""
+    limit = page.rfind(">") + 1
+    found: list[tuple[re.Match, int, bool]] = []
+    until: dict[int, int] = {}  # start of an element of SKIPPED: the token that ends it
+    opened: list[tuple[str, int]] = []
+    n_open: dict[str, int] = defaultdict(int)
+
+    def pop() -> tuple[str, int]:
+        name, i = opened.pop()
+        n_open[name] -= 1
+        return name, i
+
+    at = 0
+    while m := _TOKEN.search(page, at, limit):
+        at = m.end()
+        name = (m["raw"] or m["name"] or m["name2"] or "").lower()
+        is_end = bool(m["end"] or m["end2"])
+        complete = not is_end and m[0].endswith("/>") and (name in SKIPPED or name in FOREIGN or any(n_open[f] for f in FOREIGN))
+        if m["raw"] and not complete:
+            z = _RAW_END[name].search(page, at)
+            at = z.end() if z else len(page)
+        elif is_end:
+            if n_open[name]:
+                while True:
+                    top, i = pop()
+                    if top == name:
+                        break
+                if name in SKIPPED:
+                    until[i] = len(found)
+            complete = name in SKIPPED
+        elif name and not complete and name not in VOID and not m["raw"]:
+            if n_open["svg"] and not n_open["foreignobject"] and (name in CLOSES_P or name in ("p", "li")):
+                while pop()[0] != "svg":  # such a tag ends a drawing
+                    pass
+            if name not in INLINE or name in FOREIGN:
+                opened.append((name, len(found)))
+                n_open[name] += 1
+            complete = name in SKIPPED
+        found.append((m, at, complete))
+    i = 0
+    while i < len(found):
+        m, at, complete = found[i]
+        if i in until:
+            i = until[i]
+            at, complete = found[i][1], True
+        yield m, at, complete
+        i += 1
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -107,12 +170,12 @@ def blocks_of(page: str) -> list[Block]:
             flush()
         del stack[to:]
 
-    at, end = 0, page.rfind(">") + 1
-    for m in _TOKEN.finditer(page, 0, end):
+    at = 0
+    for m, after, left_out in _tokens(page):
         run.append(page[at : m.start()])
-        at = m.end()
-        if m["raw"]:
-            if m["raw"].lower() in ("textarea", "select"):
+        at = after
+        if m["raw"] or left_out:
+            if (m["raw"] or m["name"] or m["name2"]).lower() in ("textarea", "select"):
                 flush()
             continue
         name = (m["name"] or m["name2"] or "").lower()
@@ -150,11 +213,11 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if name in VOID:
             continue
-        other, label = _is_other(name, m["attributes"] or "")
+        other, doubt, label = _is_other(name, m["attributes"] or "")
         inside = stack[-1]
         if name == "header" and any(e.name in ("article", "main") for e in stack):
             other = False  # the heading of the article
-        e = Element(name, label, other, (*inside.path, label), inside, name == "form")
+        e = Element(name, label, other, (*inside.path, label), inside, name == "form", doubt)
         stack.append(e)
     run.append(page[at:])
     flush()
@@ -206,8 +269,15 @@ def article(page: str | None) -> str:
         for e in _up(b.element):
             if held[id(e)] >= 0.9 * most and len(e.path) > depth and e.name not in ("p", "li", "td", "span", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"):
                 best, depth = e, len(e.path)
-    inside = [b for b in blocks if best is None or any(e is best for e in _up(b.element))]
-    return "\n".join(b.text for b in inside)
+    def kept(b: Block) -> bool:
+        for e in _up(b.element):
+            if e is best:
+                return True
+            if e.doubt and 2 * held[id(e)] < size[id(e)]:
+                return False
+        return best is None
+
+    return "\n".join(b.text for b in blocks if kept(b))
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

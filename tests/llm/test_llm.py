@@ -352,6 +352,28 @@ def test_pages():
     assert article("<a " * 50_000) != "" and article("<p>open <b>never closed") == "open never closed"
 
 
+@pytest.mark.parametrize("name", ["svg", "math", "object", "select", "canvas", "audio", "video", "noscript", "template"])
+def test_pages_go_on_after_elements_without_an_end(name):
+    two, three = "<p>Two, of the text.</p>", "<p>Three, the end of it.</p>"
+    want = "One, a start.\nTwo, of the text.\nThree, the end of it."
+    for tag in (f"<{name} class='i'/>", f"<{name} class='i'>"):
+        assert article(f"<article><p>One, a start.{tag}</p>{two}{three}</article>") == want
+        assert article(f"<article><p>One, a start.</p>{tag}{two}{three}</article><footer>foot</footer>") == want
+        inner = "x" if name == "math" else ""
+        got = article(f"<article><p>One, {tag}a start.</p>{two}<p>Three, the <{name}>x</{name}>end of it.</p></article>")
+        assert got.split() == want.replace("the end", f"the {inner}end").split()
+    for raw in ("<title/>", "<style/>"):
+        assert article(f"<article><p>One, a start.<svg>{raw}<path d='M0'/></svg></p>{two}{three}</article>") == want
+
+
+def test_pages_keep_formulas_and_titles_as_ids():
+    long = "Words that say something, at some length, and then more of it. They end here."
+    page = f"""<body><article><h1 id="legal-basis">Title</h1><p>{long}</p><section id="social-impact"><h2 id="related-work">Two</h2><p>{long} Second.</p></section>
+    <h3 id="side-effects">Three</h3><p>As <math><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup></math> says.</p>
+    <section id="related-links"><ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul></section><div id="comments"><p>{long} Third.</p></div></article></body>"""
+    assert article(page) == f"Title\n{long}\nTwo\n{long} Second.\nThree\nAs a=b2 says."
+
+
 def test_mix_reaches_targets(spark):
     r = random.Random(1)
     data = [(i, "w " * r.randrange(1, 60), "en", r.choice(["a"] * 8 + ["b", "c", None]), 0, "x", i, "k") for i in range(900)]
