@@ -3,8 +3,9 @@
 The text blocks of a page are aggregated by their root-to-leaf tag path. A path's text ratio is its characters per
 block, its punctuation ratio its punctuation marks per block: body text has long, punctuated blocks on few paths, menus
 have many short ones. Both ratios are spread over the blocks in page order, smoothed over neighbours, fused by their
-geometric mean and compared with a threshold. The element that holds most of the selected text is the article; all its blocks are
-returned but those in elements that are something else by name (menus, forms, comments and so on).
+geometric mean and compared with a threshold. The element that holds most of the selected text is the article. Elements that are
+something else by name (menus, forms, comments and so on) are left out. Where the page marks no article or main element,
+blocks on paths below the threshold go too, but for headings and items of lists and tables between those above it.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*+>|<[!?/][^>]*+>",
     re.S | re.I,
 )
+ITEMS = frozenset("li dt dd td th caption figcaption pre blockquote".split())
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW.split("|")}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
@@ -230,6 +232,27 @@ def _up(e: Element | None) -> Iterator[Element]:
         e = e.parent
 
 
+def _on_article_paths(found: list[tuple[Block, float]], limit: float) -> list[tuple[Block, float]]:
+    """The blocks on paths whose mean fused ratio reaches the limit, headings before them, and headings and items between them."""
+    by_path: dict[tuple, list[float]] = defaultdict(list)
+    for b, f in found:
+        by_path[b.element.path].append(f)
+    high = {p for p, f in by_path.items() if sum(f) >= limit * len(f)}
+    at = [i for i, (b, _) in enumerate(found) if b.element.path in high and b.element.name not in HEADINGS]
+    if not at:
+        return found
+    keep, following = set(at), False
+    for i in range(len(found) - 1, -1, -1):
+        name = found[i][0].element.name
+        if i in keep:
+            following = True
+        elif name not in HEADINGS:
+            following = False
+        if at[0] < i < at[-1] and name in HEADINGS | ITEMS or following and name in HEADINGS:
+            keep.add(i)
+    return [x for i, x in enumerate(found) if i in keep]
+
+
 def article(page: str | None) -> str:
     """Text of the article, its blocks joined by line feeds; empty if there is none."""
     if not page:
@@ -255,7 +278,8 @@ def article(page: str | None) -> str:
     weight = np.convolve(np.ones(len(blocks)), kernel)[RADIUS:-RADIUS]
     smooth = np.stack([np.convolve(r, kernel)[RADIUS:-RADIUS] / weight for r in ratio.T], axis=1)
     fused = np.sqrt(smooth.prod(1))
-    chosen = fused >= THRESHOLD * np.average(fused, weights=[len(b.text) for b in blocks])
+    limit = THRESHOLD * float(np.average(fused, weights=[len(b.text) for b in blocks]))
+    chosen = fused >= limit
     held: dict[int, int] = defaultdict(int)
     size: dict[int, int] = defaultdict(int)
     for b, c in zip(blocks, chosen, strict=True):
@@ -277,7 +301,10 @@ def article(page: str | None) -> str:
                 return False
         return best is None
 
-    return "\n".join(b.text for b in blocks if kept(b))
+    inside = [(b, f) for b, f in zip(blocks, fused.tolist(), strict=True) if kept(b)]
+    if not any(e.name in ("article", "main") for e in _up(best)):
+        inside = _on_article_paths(inside, limit)
+    return "\n".join(b.text for b, _ in inside)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -374,6 +374,15 @@ def test_pages_keep_formulas_and_titles_as_ids():
     assert article(page) == f"Title\n{long}\nTwo\n{long} Second.\nThree\nAs a=b2 says."
 
 
+def test_pages_without_telling_names_are_cut_by_ratio():
+    long = "Words that say something, at some length, and then more of it, as texts do. They end here, after all."
+    menu = "<ul>" + "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(8)) + "</ul>"
+    body = f"<h1>Title</h1><p>{long} 1.</p><p>{long} 2.</p><h2>Two</h2><p>Short.</p><ol><li>item</li></ol><p>{long} 3.</p><p>{long} 4.</p>"
+    want = f"Title\n{long} 1.\n{long} 2.\nTwo\nShort.\nitem\n{long} 3.\n{long} 4."
+    assert article(f"<body><div>{menu}</div><div>{menu}</div>{body}<div>{menu}</div><div>{menu}</div></body>") == want
+    assert article(f"<article>{menu}{body}</article>").endswith(want)
+
+
 def test_mix_reaches_targets(spark):
     r = random.Random(1)
     data = [(i, "w " * r.randrange(1, 60), "en", r.choice(["a"] * 8 + ["b", "c", None]), 0, "x", i, "k") for i in range(900)]
