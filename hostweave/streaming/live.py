@@ -9,14 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 from hostweave.config import FuseConfig
 from hostweave.operators.merge import fused_campaigns
 from hostweave.operators.reconstruct import isolation_hosts, reconstruct
-from hostweave.operators.trust import cap_per_second, verify_events
+from hostweave.operators.trust import verify_events
 from hostweave.schema import ENVELOPE
+from hostweave.session import cut
 from hostweave.sources.sinks import write_campaigns
 
 RECORD_KEY = ("channel", "EventID", "Computer", "TimeCreated", "RecordId")
@@ -63,14 +66,45 @@ def dropped_per_second(stream: DataFrame, max_per_sec: int, ts: str = "ts", dela
 
 
 def capped_append(path: str, max_per_sec: int, key: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` step: keep the first events of each second, in a folder per batch (safe to repeat)."""
+    """``foreachBatch`` step: keep the first events of each key and second, in a folder per batch (safe to repeat).
+
+    The cap holds over all batches: how many rows of a second were kept is stored in ``{path}_seconds``, and what came in
+    earlier batches counts first. The rows above the cap are written to ``{path}_dropped``. Without a cap (0) all are kept.
+    """
+    path = path.rstrip("/")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        cap_per_second(batch, key, max_per_sec).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if max_per_sec <= 0:
+            batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            return
+        rows = cut(batch.withColumn("_sec", F.date_trunc("second", "ts")).withColumn("_row", F.monotonically_increasing_id()))
+        first = rows.withColumn("_rn", F.row_number().over(W.partitionBy(*key, "_sec").orderBy("ts", "event_id", "_row"))).filter(F.col("_rn") <= max_per_sec)
+        used = _kept_before(rows.select(*key, "_sec"), f"{path}_seconds", batch_id)
+        if used is not None:
+            on = first["_sec"].eqNullSafe(used["_sec"])
+            for k in key:
+                on &= first[k].eqNullSafe(used[k])
+            first = first.join(used, on, "left").filter(F.col("_rn") + F.coalesce("_kept", F.lit(0)) <= max_per_sec).select(*[first[c] for c in rows.columns])
+        kept = cut(first)
+        kept.drop("_sec", "_row").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows.join(kept.select("_row"), "_row", "left_anti").select(batch.columns).write.mode("overwrite").parquet(f"{path}_dropped/batch={batch_id}")
+        kept.groupBy(*key, "_sec").agg(F.count(F.lit(1)).alias("_kept")).write.mode("overwrite").parquet(f"{path}_seconds/batch={batch_id}")
 
     return step
 
 
+def _kept_before(seconds: DataFrame, path: str, before: int) -> DataFrame | None:
+    """Rows kept by earlier batches per key and second; None before the first one."""
+    from pyspark.errors import AnalysisException
+
+    schema = StructType([StructField(f.name, f.dataType) for f in seconds.schema]).add("_kept", "long").add("batch", "long")
+    try:
+        old = seconds.sparkSession.read.schema(schema).parquet(path).filter(F.col("batch") < before)
+    except AnalysisException:
+        return None
+    return old.groupBy(*seconds.columns).agg(F.sum("_kept").alias("_kept"))
+
+
 def channel_health(events: DataFrame, expected: DataFrame, degraded_reasons: Sequence[str] = ()) -> DataFrame:
     """ok / hits / reason per expected channel; channels without hits are degraded.
 

@@ -53,3 +53,19 @@ def test_health(spark):
     want = spark.createDataFrame([("dns",), ("net",), ("pf",)], "channel string")
     rows = {r["channel"]: r for r in live.channel_health(hits, want, ["permission_denied"]).collect()}
     assert [rows[k]["degraded"] for k in ("dns", "net", "pf")] == [False, True, True] and rows["pf"]["reason"] == "zero_hits"
+
+
+def test_rate_cap_holds_over_batches_and_keeps_the_dropped_rows(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "capped")
+    rows = [("a", i, f"2024-01-01 00:00:00.{i}") for i in range(4)] + [("b", 4, "2024-01-01 00:00:00.5"), (None, 5, "2024-01-01 00:00:00.5"), ("a", 6, "2024-01-01 00:00:01")]
+    whole = spark.createDataFrame(rows, "host_id string, event_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    step = live.capped_append(out, 3, ["host_id"])
+    for n, keep in enumerate(["event_id in (2, 3, 4)", "event_id in (0, 1, 5, 6)"]):
+        put(spark, whole.filter(keep), src, n)
+        stream = spark.readStream.schema(whole.schema).option("recursiveFileLookup", "true").parquet(src)
+        live.start(stream, step, str(tmp_path / "ckpt")).awaitTermination()
+    def ids(path):
+        return sorted(r.event_id for r in spark.read.parquet(path).collect())
+    assert ids(out) == [0, 2, 3, 4, 5, 6] and ids(f"{out}_dropped") == [1]
+    step(whole.filter("event_id in (0, 1, 5, 6)"), 1)
+    assert ids(out) == [0, 2, 3, 4, 5, 6] and ids(f"{out}_dropped") == [1]
