@@ -15,9 +15,11 @@ def held_out(id_col: str, modulus: int = 5, remainder: int = 0) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(_text, _y) of at most ``rows`` labelled documents that are not held out. The ids are few enough to broadcast."""
+    """(_text, _y) of at most ``rows`` labelled documents that are not held out. The ids are few enough to broadcast. Of rows
+    that repeat an id, the one with the least text counts."""
     y = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     y = y.groupBy(id_col).agg(F.max(label).cast("double").alias("_y"))
     few = y.orderBy(F.md5(F.col(id_col).cast("string"))).limit(rows).select(F.col(id_col).alias("_i"), "_y")
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return base.join(F.broadcast(few), base["_id"] == F.col("_i")).select("_text", "_y")
+    found = base.join(F.broadcast(few), base["_id"] == F.col("_i"))
+    return found.groupBy("_i").agg(F.min("_text").alias("_text"), F.first("_y").alias("_y")).select("_text", "_y")

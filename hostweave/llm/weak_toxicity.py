@@ -7,12 +7,11 @@
    their log-odds are divided by the voter's summed correlation.
 4. A linear classifier over lexicon words and hit counts is trained on the sample with the model's posteriors as labels.
 
-Only counts of vote patterns (at most 2 ** VOTERS) and the bounded sample reach the driver.
+Only counts of vote patterns (at most 2 ** VOTERS), LEXICON_WORDS words and the signals of the bounded sample reach the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.llm.substring_dedup import _arrow
+from hostweave.llm.tables import stored
 from hostweave.llm.tokens import pieces
 from hostweave.llm.training import SAMPLE_ROWS, held_out, labelled_sample
 
@@ -39,23 +39,23 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def lexicon(texts: list[str], y: np.ndarray) -> list[str]:
-    """Words whose share of toxic documents is far above the base rate, strongest first."""
-    n1, n = float(y.sum()), float(len(y))
+def _marked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for p in pieces(batches, "_text"):
+        y = p.column("_y").to_pylist()
+        found = [(w, v) for t, v in zip(p.column("_text").to_pylist(), y, strict=True) for w in sorted(set(words_of(t)))]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([v for _, v in found], pa.float64())], ["w", "y"])
+
+
+def lexicon(sample: DataFrame) -> list[str]:
+    """Words whose share of toxic documents is far above the base rate, the LEXICON_WORDS strongest; counted in the tasks."""
+    n1, n = sample.agg(F.coalesce(F.sum("_y"), F.lit(0.0)), F.count("*").cast("double")).first()
     if not 0 < n1 < n:
         return []
-    toxic, every = Counter(), Counter()
-    for t, v in zip(texts, y, strict=True):
-        w = set(words_of(t))
-        every.update(w)
-        if v:
-            toxic.update(w)
-    rate, out = n1 / n, []
-    for w, k in toxic.items():
-        z = (k - every[w] * rate) / np.sqrt(every[w] * rate * (1 - rate))
-        if z >= LEAST_Z and k >= LEAST_SHARE * every[w]:
-            out.append((-z, w))
-    return [w for _, w in sorted(out)[:LEXICON_WORDS]]
+    counted = sample.mapInArrow(_marked_words, "w string, y double").groupBy("w").agg(F.sum("y").alias("k"), F.count("*").alias("every"))
+    rate = n1 / n
+    z = (F.col("k") - F.col("every") * rate) / F.sqrt(F.col("every") * rate * (1 - rate))
+    strong = counted.withColumn("z", z).filter((F.col("k") > 0) & (F.col("z") >= LEAST_Z) & (F.col("k") >= LEAST_SHARE * F.col("every")))
+    return [r["w"] for r in strong.orderBy(F.desc("z"), "w").limit(LEXICON_WORDS).collect()]
 
 
 @dataclass
@@ -86,7 +86,7 @@ def signals(texts: list[str | None], words: dict[str, int]) -> Signals:
         at = [words[w] for w in found if w in words]
         hits[i, at] = True
         letters = sum(map(len, found))
-        upper = sum(map(str.isupper, t)) if t and t[:400] != t[:400].lower() else 0
+        upper = sum(map(str.isupper, t)) if t and t != t.lower() else 0
         counts[i] = len(at), len(found), sum(w in INSULTS for w in found), upper / max(letters, 1)
     return Signals(hits, counts)
 
@@ -163,17 +163,31 @@ def _pattern_votes(words: dict[str, int]):
     return run
 
 
+def _sample_signals(sample: DataFrame, words: dict[str, int]) -> Signals:
+    """The signals of the sample, computed in the tasks; rows of one size each reach the driver, in a fixed order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in pieces(batches, "_text"):
+            s = signals(p.column("_text").to_pylist(), words)
+            packed = np.packbits(s.hits, axis=1) if words else np.zeros((p.num_rows, 0), np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([h.tobytes() + c.tobytes() for h, c in zip(packed, s.counts, strict=True)], pa.binary())], ["row"])
+
+    width = -(-len(words) // 8)
+    got = sorted(bytes(r["row"]) for r in sample.mapInArrow(run, "row binary").toLocalIterator())
+    hits = np.array([np.frombuffer(r, np.uint8, width) for r in got], np.uint8).reshape(len(got), width)
+    counts = np.array([np.frombuffer(r, float, 4, width) for r in got], float).reshape(len(got), 4)
+    return Signals(np.unpackbits(hits, axis=1, count=len(words)).astype(bool) if words else np.zeros((len(got), 0), bool), counts)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
     """Lexicon and classifier from at most ``rows`` labelled documents that are not held out, the label model from all
     documents. Without labels of both kinds only the fixed insults speak."""
-    sample = sorted(((r["_text"] or "", r["_y"]) for r in labelled_sample(docs, labels, label, id_col, text_col, rows).toLocalIterator()))
-    texts, y = [t for t, _ in sample], np.array([v for _, v in sample], float)
-    words = {w: i for i, w in enumerate(lexicon(texts, y))}
+    sample = stored(labelled_sample(docs, labels, label, id_col, text_col, rows))
+    words = {w: i for i, w in enumerate(lexicon(sample))}
     seen = docs.select(F.col(text_col).alias("_text")).mapInArrow(_pattern_votes(words), "votes int, n long")
     patterns = sorted(tuple(r) for r in seen.groupBy("votes").agg(F.sum("n")).collect())  # at most 2 ** VOTERS
     code = np.array([c for c, _ in patterns], np.int64)
     model = fit_label_model((code[:, None] >> np.arange(VOTERS) & 1).astype(bool), np.array([n for _, n in patterns], float))
-    s = signals(texts, words)
+    s = _sample_signals(sample, words)
     return Toxicity(words, model, *logistic(s.inputs, model.probability(s.votes)))
 
 

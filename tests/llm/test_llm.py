@@ -19,6 +19,7 @@ from hostweave.llm.decontaminate import best_stretch, decontaminated, longest_st
 from hostweave.llm.fair_mix import mixed, mixed_documents
 from hostweave.llm.preferences import next_reply, preference_pairs
 from hostweave.llm.tag_paths import article, extracted
+from hostweave.llm.training import labelled_sample
 
 SF = "/root/testdata/sf0.001"
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -267,6 +268,18 @@ def test_toxicity_on_held_out_rows(spark):
     held_out_quality(spark, "op4_weak_toxicity", "toxic", 0.5, 0.9)
 
 
+def test_capitals_count_over_the_whole_text():
+    votes = weak_toxicity.signals(["a " * 300 + "SHOUT " * 200, "A" + "b" * 500, "a" * 600], {}).votes
+    assert votes[:, -1].tolist() == [True, False, False]
+
+
+def test_sample_holds_each_labelled_id_once(spark):
+    docs = spark.createDataFrame(rows(["a b"] * 40) + rows(["c d"] * 40), SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = labelled_sample(docs, labels, "toxic", "doc_id", "text", 10).collect()
+    assert len(got) == 10 and {r["_text"] for r in got} == {"a b"}
+
+
 def test_label_model_discounts_voters_that_repeat_each_other():
     r = np.random.default_rng(1)
     toxic = r.random(20_000) < 0.1
