@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hostweave.llm import boosted_quality, context_tree, weak_toxicity
 from hostweave.llm.decontaminate import overlaps
 from hostweave.llm.fair_mix import mixed
+from hostweave.llm.packing import packed
 from hostweave.llm.parity_join import near_duplicates
 from hostweave.llm.preferences import next_reply, preference_pairs
 from hostweave.llm.quality_rules import fit_rules, judged
@@ -157,3 +158,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["begin"].cast("string"), x["end"].cast("string"))), ",").alias(c)
 
     return out.select("conv_id", "n_common", "prompt", "chosen", "rejected", shown("chosen_spans"), shown("rejected_spans"))
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents")).drop("ids")
