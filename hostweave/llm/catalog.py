@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostweave.llm import boosted_quality, context_tree, weak_toxicity
+from hostweave.llm.alignment import aligned, piece_count, with_link_counts
 from hostweave.llm.decontaminate import overlaps
 from hostweave.llm.fair_mix import mixed
 from hostweave.llm.packing import packed
@@ -163,3 +164,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_packing")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents")).drop("ids")
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = aligned(table(spark, sf_dir, "documents"))
+    groups = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    out = out.select("doc_id", "n_a", "n_b", "n_groups", groups, "links", "_block")
+    return with_link_counts(out, piece_count())

@@ -87,7 +87,7 @@ class Memo:
         self.facts = np.zeros((0, 0), np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
-        self.values = np.zeros(0, np.int32)
+        self.values = np.zeros(0, np.int64)
         self.strings: list[str] = []
 
     def look_up(self, segment: pa.LargeBinaryArray) -> np.ndarray:
@@ -103,7 +103,7 @@ class Memo:
             self.facts = np.concatenate([self.facts, facts]) if len(self.facts) else facts
             self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.values = np.concatenate([self.values, values.astype(np.int32)])
+            self.values = np.concatenate([self.values, values.astype(np.int64)])
             self.strings.extend(strings)
         of = np.fromiter(map(self.entry.__getitem__, distinct), np.int64, len(distinct))
         return of[coded.indices.to_numpy()] if len(of) else np.zeros(0, np.int64)
