@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hostweave.llm import boosted_quality, context_tree, weak_toxicity
 from hostweave.llm.alignment import aligned, piece_count, with_link_counts
+from hostweave.llm.collocations import collocations
 from hostweave.llm.decontaminate import overlaps
 from hostweave.llm.fair_mix import mixed
 from hostweave.llm.packing import packed
@@ -172,3 +173,24 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
     out = out.select("doc_id", "n_a", "n_b", "n_groups", groups, "links", "_block")
     return with_link_counts(out, piece_count())
+
+
+@query(
+    "op13_collocations",
+    r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents),
+s AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM s GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i:i+m-1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM s, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k+1:m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+z AS (SELECT k.*, p.f AS l, q.f AS r, (CAST(a AS HUGEINT) * 2000000) // (p.f + q.f) AS score FROM k JOIN f p ON p.lang = k.lang AND p.phrase = x JOIN f q ON q.lang = k.lang AND q.phrase = y),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM z),
+i AS (SELECT lang, array_to_string(w[s:s+j-1], ' ') AS phrase, max(a) AS f FROM (SELECT *, unnest(range(1, m - j + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS j FROM c)) GROUP BY ALL),
+o AS (SELECT b.lang, b.phrase, a, l, r, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+    FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE b.o = 1 AND (i.f IS NULL OR 100 * i.f < 80 * a))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM o JOIN t USING (lang) WHERE rank <= 2000""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
