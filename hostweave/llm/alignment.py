@@ -140,7 +140,7 @@ def _memo(a_path: str, b_path: str) -> Memo:
     return Memo(_encoder(a_path, b_path))
 
 
-def _aligned(a_path: str, b_path: str):
+def _aligned(a_path: str, b_path: str, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(a_path, b_path)
         block, held = TaskContext.get().partitionId() << 32, 0
@@ -171,13 +171,15 @@ def _aligned(a_path: str, b_path: str):
                 ["_id", "n_a", "n_b", "n_groups", "groups", "links", "_block"],
             )
             held += len(data)
-            if held > BLOCK_BYTES:
+            if held > block_bytes:
                 block, held = block + 1, 0
 
     return run
 
 
-def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def aligned(
+    docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_a, n_b, n_groups, groups, links, _block).
 
     ``a_path`` is a byte-level vocabulary file, ``b_path`` a piece model; strings of special tokens are plain text. ``groups`` lists the
@@ -188,7 +190,7 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
     """
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     ddl = base.schema["_id"].dataType.simpleString()
-    run = _aligned(a_path or vocabulary("byte_bpe_50k.json"), b_path or vocabulary("piece_bpe_32k.model"))
+    run = _aligned(a_path or vocabulary("byte_bpe_50k.json"), b_path or vocabulary("piece_bpe_32k.model"), block_bytes)
     out = base.mapInArrow(run, f"_id {ddl}, n_a long, n_b long, n_groups long, groups string, links array<long>, _block long")
     return out.withColumnRenamed("_id", id_col)
 

@@ -1,8 +1,8 @@
 """Collocations: frequent phrases of two to four words, counted in HAT-tries.
 
-Texts become units: about ``UNIT_BYTES`` of one language's texts as numbers of the unit's own words. A unit's phrases are counted in a
-HAT-trie: the root leads by first word to hash containers of the remaining words; a container that grows beyond ``BURST``
-entries bursts into a node of containers by the next word. When the trie holds ``HELD`` entries its largest subtrees are
+Texts become units: about ``Sizes.unit_bytes`` of one language's texts as numbers of the unit's own words. A unit's phrases are counted in a
+HAT-trie: the root leads by first word to hash containers of the remaining words; a container that grows beyond ``burst``
+entries bursts into a node of containers by the next word. When the trie holds ``held`` entries its largest subtrees are
 spilled as sorted runs. Runs meet in partitions by prefix (two words, a prefix's children dealt into ``CHILDREN`` parts, so
 that no hot prefix is one task's) and are merged there.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,24 @@ from pyspark.sql import functions as F
 from hostweave.llm.tables import stored
 from hostweave.llm.tokens import LOWER, flat, pieces
 
-UNIT_BYTES = 8 << 20
-UNIT_WORDS = (1 << 21) - 8  # word numbers of a unit fit 21 bits, three of them one key
-BITS = 21
+BITS = 21  # of a word's number in its unit; three of them make one key
 LONGEST = 4
-BURST = 4096
-HELD = 1_500_000
-CHUNK = 1 << 18
 CHILDREN = 16
 
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bounds of memory; the result is the same for any. ``unit_words`` must fit ``BITS``."""
+
+    unit_bytes: int = 8 << 20
+    unit_words: int = (1 << BITS) - 8
+    burst: int = 4096
+    held: int = 1_500_000
+    chunk: int = 1 << 18
+
+
+SIZES = Sizes()
+
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 _GAP = _BREAK.copy()
@@ -65,8 +75,9 @@ def phrase_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.
 class HatTrie:
     """Counts of paths of word numbers: hash containers under a trie of the first words that bursts where it is full."""
 
-    def __init__(self, depth: int):
+    def __init__(self, depth: int, sizes: Sizes = SIZES):
         self.depth = depth  # words of a path
+        self.burst, self.chunk = sizes.burst, sizes.chunk
         self.root: dict[int, Counter | dict] = {}
         self.sizes: dict[int, int] = {}
         self.held = 0
@@ -94,7 +105,7 @@ class HatTrie:
         if isinstance(node, Counter):
             before = len(node)
             node.update(rest)
-            return (self._burst(node, words) if words > 1 and len(node) > BURST else node), len(node) - before
+            return (self._burst(node, words) if words > 1 and len(node) > self.burst else node), len(node) - before
         shift, groups, more = BITS * (words - 1), {}, 0
         for r in rest:
             groups.setdefault(r >> shift, []).append(r & (1 << shift) - 1)
@@ -130,7 +141,7 @@ class HatTrie:
             self.held -= self.sizes.pop(word)
             words.append(word)
             lengths.append(len(keys) - before)
-            if len(keys) > CHUNK:
+            if len(keys) > self.chunk:
                 yield self._paths(words, lengths, keys), np.array(counts, np.int64)
                 words, keys, counts, lengths = [], [], [], []
         if keys:
@@ -145,50 +156,54 @@ class HatTrie:
         return out
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(sizes: Sizes):
     """(unit, lang, n, own, codes, words): word numbers of a unit's texts, -1 before each piece. Phrases are counted from the first ``own``
     places; what follows are words that such a phrase may need."""
-    number, held, size = TaskContext.get().partitionId() << 32, {}, 0
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        nonlocal number
-        for lang in sorted(held):
-            text, new = (pa.concat_arrays([x[i] for x in held[lang]]) for i in (0, 1))
-            new = np.flatnonzero(new.to_numpy(zero_copy_only=False))
-            place = np.arange(len(text)) + np.searchsorted(new, np.arange(len(text)), "right")
-            for a in range(0, len(text) + len(new), UNIT_WORDS):
-                z = a + UNIT_WORDS + LONGEST - 1
-                x, y = np.searchsorted(place, (a, z))
-                coded = text[int(x) : int(y)].dictionary_encode()
-                codes = np.full(min(z, len(text) + len(new)) - a, -1, np.int32)
-                codes[place[x:y] - a] = coded.indices.to_numpy()
-                own = int(np.searchsorted(place, a + UNIT_WORDS) - x)
-                words = coded.dictionary.cast(pa.large_string()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number]), pa.array([lang]), pa.array([own], pa.int64()), pa.array([min(UNIT_WORDS, len(codes))], pa.int64()),
-                        pa.array([codes.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                    ],
-                    ["unit", "lang", "n", "own", "codes", "words"],
-                )
-                number += 1
-        held.clear()
-
-    for p in pieces(batches, "_text"):
-        data, offsets = flat(p.column("_text"))
-        doc, words, new = phrase_words(data, offsets)
-        langs = p.column("lang").to_pylist()
-        kinds = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-        of = np.array([kinds[x] for x in langs])[doc] if len(doc) else np.zeros(0, np.int64)
-        for lang, i in kinds.items():
-            mine = np.flatnonzero(of == i)
-            if len(mine):
-                held.setdefault(lang, []).append((words.take(pa.array(mine)), pa.array(new[mine])))
-        size += len(data)
-        if size > UNIT_BYTES:
-            yield from rows()
-            size = 0
-    yield from rows()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, {}, 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            for lang in sorted(held):
+                text, new = (pa.concat_arrays([x[i] for x in held[lang]]) for i in (0, 1))
+                new = np.flatnonzero(new.to_numpy(zero_copy_only=False))
+                place = np.arange(len(text)) + np.searchsorted(new, np.arange(len(text)), "right")
+                for a in range(0, len(text) + len(new), sizes.unit_words):
+                    z = a + sizes.unit_words + LONGEST - 1
+                    x, y = np.searchsorted(place, (a, z))
+                    coded = text[int(x) : int(y)].dictionary_encode()
+                    codes = np.full(min(z, len(text) + len(new)) - a, -1, np.int32)
+                    codes[place[x:y] - a] = coded.indices.to_numpy()
+                    own = int(np.searchsorted(place, a + sizes.unit_words) - x)
+                    words = coded.dictionary.cast(pa.large_string()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([number]), pa.array([lang]), pa.array([own], pa.int64()), pa.array([min(sizes.unit_words, len(codes))], pa.int64()),
+                            pa.array([codes.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+                        ],
+                        ["unit", "lang", "n", "own", "codes", "words"],
+                    )
+                    number += 1
+            held.clear()
+
+        for p in pieces(batches, "_text"):
+            data, offsets = flat(p.column("_text"))
+            doc, words, new = phrase_words(data, offsets)
+            langs = p.column("lang").to_pylist()
+            kinds = {x: i for i, x in enumerate(dict.fromkeys(langs))}
+            of = np.array([kinds[x] for x in langs])[doc] if len(doc) else np.zeros(0, np.int64)
+            for lang, i in kinds.items():
+                mine = np.flatnonzero(of == i)
+                if len(mine):
+                    held.setdefault(lang, []).append((words.take(pa.array(mine)), pa.array(new[mine])))
+            size += len(data)
+            if size > sizes.unit_bytes:
+                yield from rows()
+                size = 0
+        yield from rows()
+
+    return run
 
 
 def _phrases(trie: HatTrie, keep: int, unit: int, lang: str, words: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -202,13 +217,13 @@ def _phrases(trie: HatTrie, keep: int, unit: int, lang: str, words: pa.Array) ->
         )
 
 
-def _spelled(unit: int, lang: str, words: pa.Array, codes: np.ndarray, depth: int, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _spelled(unit: int, lang: str, words: pa.Array, codes: np.ndarray, depth: int, at: np.ndarray, sizes: Sizes) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of ``depth`` words that begin at the places ``at``."""
-    trie = HatTrie(depth)
-    for i in range(0, len(at), CHUNK):
-        trie.add(np.stack([codes[at[i : i + CHUNK] + c] for c in range(depth)], axis=1).astype(np.int64))
-        if trie.held > HELD:
-            yield from _phrases(trie, HELD // 2, unit, lang, words)
+    trie = HatTrie(depth, sizes)
+    for i in range(0, len(at), sizes.chunk):
+        trie.add(np.stack([codes[at[i : i + sizes.chunk] + c] for c in range(depth)], axis=1).astype(np.int64))
+        if trie.held > sizes.held:
+            yield from _phrases(trie, sizes.held // 2, unit, lang, words)
     yield from _phrases(trie, 0, unit, lang, words)
 
 
@@ -221,43 +236,50 @@ def _in_one_piece(codes: np.ndarray, own: int, depth: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for row in range(b.num_rows):
-            unit, lang, own = (b.column(c)[row].as_py() for c in ("unit", "lang", "own"))
-            codes = np.frombuffer(b.column("codes")[row].as_buffer(), np.int32)
-            words = b.column("words")[row].values
-            count = np.bincount(codes[:own][codes[:own] >= 0], minlength=len(words))
-            k = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(k), unit)), pa.array([lang] * len(k), pa.string()), words.take(pa.array(k)), pa.array(np.ones(len(k), np.int32)), pa.array(count[k])],
-                ["unit", "lang", "phrase", "words", "n"],
-            )
-            yield from _spelled(unit, lang, words, codes, 2, _in_one_piece(codes, own, 2))
+def _words_and_pairs(sizes: Sizes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                unit, lang, own = (b.column(c)[row].as_py() for c in ("unit", "lang", "own"))
+                codes = np.frombuffer(b.column("codes")[row].as_buffer(), np.int32)
+                words = b.column("words")[row].values
+                count = np.bincount(codes[:own][codes[:own] >= 0], minlength=len(words))
+                k = np.flatnonzero(count)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(k), unit)), pa.array([lang] * len(k), pa.string()), words.take(pa.array(k)), pa.array(np.ones(len(k), np.int32)), pa.array(count[k])],
+                    ["unit", "lang", "phrase", "words", "n"],
+                )
+                yield from _spelled(unit, lang, words, codes, 2, _in_one_piece(codes, own, 2), sizes)
+
+    return run
 
 
-def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _longer(sizes: Sizes):
     """Phrases of three and more words whose pairs are all frequent. A row is a unit with its frequent pairs."""
-    for b in batches:
-        for row in range(b.num_rows):
-            unit, lang, own = (b.column(c)[row].as_py() for c in ("unit", "lang", "own"))
-            codes = np.frombuffer(b.column("codes")[row].as_buffer(), np.int32)
-            words = b.column("words")[row].values
-            pairs = b.column("pairs")[row].values
-            if not len(pairs):
-                continue
-            halves = pc.split_pattern(pairs, " ")
-            both = pc.index_in(halves.flatten(), words).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2)
-            known = np.sort(both[:, 0] << BITS | both[:, 1])
-            key = np.where((codes[:-1] >= 0) & (codes[1:] >= 0), codes[:-1].astype(np.int64) << BITS | codes[1:], -1)
-            place = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            good = known[place] == key
-            for depth in range(3, LONGEST + 1):
-                n = max(0, min(own, len(codes) - depth + 1))
-                ok = np.ones(n, bool)
-                for c in range(depth - 1):
-                    ok &= good[c : c + n]
-                yield from _spelled(unit, lang, words, codes, depth, np.flatnonzero(ok))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                unit, lang, own = (b.column(c)[row].as_py() for c in ("unit", "lang", "own"))
+                codes = np.frombuffer(b.column("codes")[row].as_buffer(), np.int32)
+                words = b.column("words")[row].values
+                pairs = b.column("pairs")[row].values
+                if not len(pairs):
+                    continue
+                halves = pc.split_pattern(pairs, " ")
+                both = pc.index_in(halves.flatten(), words).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2)
+                known = np.sort(both[:, 0] << BITS | both[:, 1])
+                key = np.where((codes[:-1] >= 0) & (codes[1:] >= 0), codes[:-1].astype(np.int64) << BITS | codes[1:], -1)
+                place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                good = known[place] == key
+                for depth in range(3, LONGEST + 1):
+                    n = max(0, min(own, len(codes) - depth + 1))
+                    ok = np.ones(n, bool)
+                    for c in range(depth - 1):
+                        ok &= good[c : c + n]
+                    yield from _spelled(unit, lang, words, codes, depth, np.flatnonzero(ok), sizes)
+
+    return run
 
 
 PHRASES = "unit long, lang string, phrase string, words int, n long"
@@ -272,19 +294,21 @@ def _merged(runs: DataFrame, least: int) -> DataFrame:
     return dealt.withColumn("f", f).filter(F.col("f") >= least).select("unit", "lang", "phrase", "words", "f")
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 30, lang_col: str = "lang", text_col: str = "text", sizes: Sizes = SIZES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f), (lang, n)): phrases of one to four words that occur ``least`` times or more in a language, and the
     words of each language. Overlapping occurrences count; null languages are ``und``, null texts empty."""
     base = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("_text"))
-    units = stored(base.mapInArrow(_units, "unit long, lang string, n long, own long, codes binary, words array<string>"))
-    short = stored(_merged(units.mapInArrow(_words_and_pairs, PHRASES), least))
+    units = stored(base.mapInArrow(_units(sizes), "unit long, lang string, n long, own long, codes binary, words array<string>"))
+    short = stored(_merged(units.mapInArrow(_words_and_pairs(sizes), PHRASES), least))
     pairs = short.filter("words = 2").groupBy("unit").agg(F.collect_list("phrase").alias("pairs"))
-    long = stored(_merged(units.drop("n").join(pairs, "unit").mapInArrow(_longer, PHRASES), least))
+    long = stored(_merged(units.drop("n").join(pairs, "unit").mapInArrow(_longer(sizes), PHRASES), least))
     every = short.unionByName(long).select("lang", "phrase", "words", "f").distinct()
     return stored(every), units.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def collocations(docs: DataFrame, least: int = 30, inside: int = 80, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(
+    docs: DataFrame, least: int = 30, inside: int = 80, top: int = 2000, lang_col: str = "lang", text_col: str = "text", sizes: Sizes = SIZES
+) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of two to four words.
 
     Texts are lower-cased (A-Z), split into pieces at ``.,;:!?`` and line ends, and these into words at spaces and tabs. A phrase
@@ -294,7 +318,7 @@ def collocations(docs: DataFrame, least: int = 30, inside: int = 80, top: int =
     Null languages are ``und``; null and empty texts hold nothing; repeated rows count again; a table without frequent phrases
     gives no rows. Other columns are ignored.
     """
-    counts, totals = phrase_counts(docs, least, lang_col, text_col)
+    counts, totals = phrase_counts(docs, least, lang_col, text_col, sizes)
     found = counts.filter("words > 1").withColumnRenamed("f", "a").withColumn("w", F.split("phrase", " "))
 
     def run(first, length):

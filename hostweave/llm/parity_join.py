@@ -285,6 +285,9 @@ def near_duplicates(
 
     rows = base.mapInArrow(_keys(size, num, den), "key long, node long, real long, local long, kind tinyint, scheme int, room int")
     w = W.partitionBy("key")
+    # one row of a node per key: batches that hold its copies bring one each (a notice, if any of them does)
+    again = F.lag("node").over(w.orderBy("node", F.desc("kind")))
+    rows = rows.withColumn("_again", again).filter("_again IS NULL OR _again != node").drop("_again")
     rows = rows.withColumn("_n", F.count("*").over(w)).withColumn("_rep", F.min("node").over(w))
     rows = rows.withColumn("_who", F.bit_xor("node").over(w)).withColumn("_more", F.max("kind").over(w) > SINGLE)
     known = F.col("kind") == KNOWN
@@ -302,7 +305,8 @@ def near_duplicates(
     members = members.drop("room").join(room, ["node", "scheme"]).filter("hot IS NULL OR need <= 0")
     members = stored(members.select("key", "node", "rep", "count", "scheme", "need"))
     wanted = members.select("node").distinct().join(heads, "node").select("node", "head._id", "head._h")
-    texts = base.join(wanted, same_doc(base, wanted)).select("node", "_text").mapInArrow(
+    # one text per node, however often its row is repeated
+    texts = base.join(wanted, same_doc(base, wanted)).groupBy("node").agg(F.first("_text").alias("_text")).mapInArrow(
         _sketches(size), "node long, n long, sketch binary, text string, " + ", ".join(f"{c} long" for c in SHORT)
     )
     texts = stored(texts)

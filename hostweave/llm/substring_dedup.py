@@ -204,7 +204,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     anchors = base.mapInArrow(_anchors(window, arrow), f"key long, _id {ddl}, _h int, place int, kind tinyint")
     several = F.count("*").over(W.partitionBy("key")) > 1
     found = anchors.withColumn("_n", several).filter(f"kind = {KNOWN} OR (_n AND kind = {SINGLE})")
-    per_doc = stored(found.groupBy("_id", "_h").agg(F.collect_list("place").alias("places")))
+    per_doc = stored(found.groupBy("_id", "_h").agg(F.collect_set("place").alias("places")))
     near = base.join(per_doc, same_doc(base, per_doc)).select(base["_id"], base["_h"], "_text", "places")
     rows = near.mapInArrow(_windows(window, arrow), f"k1 long, k2 long, _id {ddl}, _h int, begin int, kind tinyint")
     again = F.count("*").over(W.partitionBy("k1", "k2")) > 1
@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     base = keyed(docs, id_col, text_col)
     kind = base.schema["_id"].dataType
     spans = repeated_spans(docs, window, id_col, text_col)
-    gone = spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("begin", "until")).alias("s"))
+    gone = spans.groupBy("_id", "_h").agg(F.collect_set(F.struct("begin", "until")).alias("s"))
     gone = gone.select("_id", "_h", F.col("s.begin").alias("begins"), F.col("s.until").alias("untils"))
     both = base.join(gone, same_doc(base, gone), "left").select(base["_id"], base["_h"], "_text", "begins", "untils")
     out = both.mapInArrow(
@@ -246,7 +246,7 @@ def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     """The rows of ``docs`` with the words of repeated windows cut out of the text. Rows that lose all their words go."""
     base = docs.withColumn("_h", F.hash(F.col(text_col)))
     spans = repeated_spans(docs, window, id_col, text_col)
-    gone = spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("begin", "until")).alias("s"))
+    gone = spans.groupBy("_id", "_h").agg(F.collect_set(F.struct("begin", "until")).alias("s"))
     gone = gone.select("_id", F.col("_h").alias("_g"), F.col("s.begin").alias("begins"), F.col("s.until").alias("untils"))
     both = base.join(gone, base[id_col].eqNullSafe(gone["_id"]) & (base["_h"] == gone["_g"]), "left").drop("_id", "_g", "_h")
     clean = _clean(window, [pa.int64()])

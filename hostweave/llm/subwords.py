@@ -52,11 +52,12 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Larg
         return np.zeros(0, np.int64), pa.array([], pa.large_binary())
     cut = np.zeros(len(data), bool)
     cut[1:] = CUT[data[:-1].astype(np.int64) * 256 + data[1:]]
-    # after a character beyond ASCII: white space among these ends in two certain bytes, which are left uncut
+    # after a character beyond ASCII: white space among these (and the sign a piece model writes for a space) has one of a few
+    # bytes before its last; none of those is cut
     at = np.flatnonzero(BLANK[data[1:]] & (data[:-1] >= 128)) + 1
     at = at[at > 1]
     one, two = data[at - 1], data[at - 2]
-    blank = ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | (two == 0x80) | (two == 0x81) | (two == 0x9A)
+    blank = ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | np.isin(two, (0x80, 0x81, 0x96, 0x9A))
     cut[at[~blank]] = True
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     at = np.flatnonzero(cut)
