@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostweave.llm.subwords import Memo, gather, segments, vocabulary, word_tokenizer
+from hostweave.llm.subwords import Memo, byte_letters, gather, segments, vocabulary, word_tokenizer
 from hostweave.llm.tables import stored
 from hostweave.llm.tokens import flat, pieces
 
@@ -49,20 +49,12 @@ def group_labels(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np
     return label[:n], label[n:]
 
 
-def _byte_letters() -> dict[str, int]:
-    """Byte-level vocabularies write a byte as a printable letter: itself, or the next free code point from 256."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out = {chr(b): b for b in own}
-    out.update((chr(256 + i), b) for i, b in enumerate(b for b in range(256) if b not in set(own)))
-    return out
-
-
 @cache
 def _byte_level(path: str):
     """The tokenizer of a byte-level vocabulary and the bytes of each id."""
     tokenizer = word_tokenizer(path)
     tokenizer.encode_special_tokens = True
-    letters = _byte_letters()
+    letters = byte_letters()
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     size = max(tokenizer.get_vocab_size(), max(vocab.values()) + 1)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostweave.llm.subwords import Memo, gather, segments, vocabulary, word_tokenizer
+from hostweave.llm.subwords import PLAIN, Memo, gather, plain_letters, segments, vocabulary, word_tokenizer
 from hostweave.llm.tables import stored
 from hostweave.llm.tokens import flat, pieces
 
@@ -98,12 +98,16 @@ def packed_items(sizes: np.ndarray, size: int = SEQUENCE) -> list[tuple[int, int
 
 
 def _encoder(path: str):
-    tokenizer = word_tokenizer(path)
+    tokenizer, letters = word_tokenizer(path), plain_letters()
+    word = tokenizer.model.tokenize
 
     def encode(new: list[bytes]):
-        ids = [e.ids for e in tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)]
+        texts = [s.decode() for s in new]
+        plain = [PLAIN.fullmatch(t) is not None for t in texts]
+        other = iter(tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        ids = [[x.id for x in word(t.translate(letters))] if p else next(other).ids for t, p in zip(texts, plain, strict=True)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        values = np.fromiter((x for one in ids for x in one), np.int32, int(lengths.sum()))
+        values = np.fromiter((x for one in ids for x in one), np.int64, int(lengths.sum()))
         return np.zeros((len(new), 0), np.int64), lengths, values, []
 
     return encode
@@ -121,7 +125,7 @@ def _pieces(path: str, end: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(path)
         for p in pieces(batches, "_text"):
-            doc, segment = segments(*flat(p.column("_text")))
+            doc, segment = segments(*flat(p.column("_text")), fold=True)
             entry = memo.look_up(segment)
             n = np.bincount(doc, weights=memo.lengths[entry], minlength=p.num_rows).astype(np.int64)
             ids = memo.values[gather(memo.starts[entry], memo.lengths[entry])]

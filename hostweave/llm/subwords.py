@@ -8,6 +8,7 @@ ids of a text are those of its segments one after another.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 from functools import cache
 
@@ -18,6 +19,24 @@ CACHE_ENTRIES = 500_000
 CACHE_VALUES = 4_000_000
 
 
+def byte_letters() -> dict[str, int]:
+    """Byte-level vocabularies write a byte as a printable letter: itself, or the next free code point from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {chr(b): b for b in own}
+    out.update((chr(256 + i), b) for i, b in enumerate(b for b in range(256) if b not in set(own)))
+    return out
+
+
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def plain_letters() -> dict[int, str]:
+    """Translation of the letters of ``PLAIN`` to byte-level ones. Such a word is its own lower case and composed form and one
+    word to the tokenizers' patterns, so their model can take it directly."""
+    letters = {b: c for c, b in byte_letters().items()}
+    return {i: "".join(letters[b] for b in chr(i).encode()) for i in [*range(97, 123), *range(0xDF, 0x100)]}
+
+
 def _cuts() -> np.ndarray:
     """Whether a segment begins between two bytes, both in ASCII: table over 256 * first + second."""
     out = np.zeros((256, 256), bool)
@@ -46,8 +65,9 @@ def word_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
-    """(text number, bytes) of each segment of the texts that lie one after another in ``data``."""
+def segments(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """(text number, bytes) of each segment of the texts that lie one after another in ``data``. ``fold`` is for tokenizers that drop
+    white space and case: segments lose the blank they begin with, and ASCII capitals."""
     if not len(data):
         return np.zeros(0, np.int64), pa.array([], pa.large_binary())
     cut = np.zeros(len(data), bool)
@@ -62,11 +82,27 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Larg
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     at = np.flatnonzero(cut)
     doc = np.searchsorted(offsets, at, "right") - 1
+    if fold:
+        data = _folded(data)
+        keep = np.ones(len(data), bool)
+        keep[at] = ~BLANK[data[at]]
+        at = at - np.cumsum(~keep[at]) + ~keep[at]
+        data = data[keep]
     ends = np.append(at, len(data)).astype(np.int64)
     raw = np.ascontiguousarray(data)
     return doc, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    """ASCII capitals in lower case, but for those before a character beyond ASCII (which may combine with the capital only) and
+    where strings of special tokens, in which case matters, could stand."""
+    if ((data[:-1] == ord("<")) & (data[1:] == ord("|"))).any():
+        return data
+    capital = (data >= 65) & (data <= 90)
+    capital[:-1] &= data[1:] < 128
+    return np.where(capital, data + np.uint8(32), data)
+
+
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of all elements of the runs (start, length), one run after another."""
     total = int(lengths.sum())

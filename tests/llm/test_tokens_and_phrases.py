@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from hostweave.llm import alignment, collocations, packing
+from hostweave.llm import alignment, collocations, packing, subwords
 from hostweave.llm.alignment import aligned, group_labels, piece_count, with_link_counts
 from hostweave.llm.collocations import HatTrie, Sizes, phrase_counts
 from hostweave.llm.packing import first_fit, packed, packed_items, sequences
@@ -21,7 +21,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, sequence_id long
 STRANGE = [
     None, "", " ", " \t\n", "one", "one. two\r\n;\r\n three", "x   y　 z  w\u0085 v", "a  b   c \n\n d\t\te ", "é ́x café.",
     "<|endoftext|> <|startoftext|>.<|endoftext|>", "it's we'll. 'tis don't,can't", "▁piece ▁▁ x", "<s> <unk> <0x0A> </s>", "日本語。テキスト 한국어 ไทย",
-    "\x00 a\x01\x0b\x0cb", "𝕏 😀😀 \U0001f468‍\U0001f469", "A.B;C: D!E?F", "ÀÉ İSTANBUL ΣΑΣ ß", "    lead", "trail    ", "12.50,30 3rd 4TH",
+    "\x00 a\x01\x0b\x0cb", "𝕏 😀😀 \U0001f468‍\U0001f469", "A.B;C: D!E?F", "ÀÉ İSTANBUL ΣΑΣ ß", "    lead", "trail    ", "12.50,30 3rd 4TH", "J\u030c T\u0308. H\u0331,W\u030a E\u0301 I\u0307", "<|EndOfText|> ABC", "\n\nUP\n Down\t\tX",
 ]
 
 
@@ -45,11 +45,23 @@ def test_segments_give_a_texts_own_ids():
             doc, parts = segments(*flat(pa.array([shown])))
             parts = [x.decode() for x in parts.to_pylist()]
             assert "".join(parts) == shown and not doc.any()
-            assert [i for s in parts for i in word.encode(s, add_special_tokens=False).ids] == word.encode(shown, add_special_tokens=False).ids
+            folded = [x.decode() for x in segments(*flat(pa.array([shown])), fold=True)[1].to_pylist()]
+            assert [i for s in folded for i in word.encode(s, add_special_tokens=False).ids] == word.encode(shown, add_special_tokens=False).ids
         assert [i for s in parts for i in byte.encode(s, add_special_tokens=False).ids] == byte.encode(shown, add_special_tokens=False).ids
         assert [i for s in alignment._piece_ids(model, parts) for i in s] == model.encode(text)
 
 
+def test_words_of_plain_letters_go_to_the_model_directly():
+    r = random.Random(9)
+    letters = [c for c in map(chr, range(97, 256)) if subwords.PLAIN.fullmatch(c)]
+    words = ["".join(r.choice(letters[: r.choice([26, 60])]) for _ in range(r.randrange(1, 14))) for _ in range(3000)]
+    path = vocabulary("word_bpe_49k.json")
+    _, lengths, values, _ = packing._encoder(path)([w.encode() for w in words])
+    ends = np.cumsum(lengths)
+    got = [values[z - n : z].tolist() for z, n in zip(ends, lengths, strict=True)]
+    assert got == [e.ids for e in word_tokenizer(path).encode_batch(words, add_special_tokens=False)]
+
+
 def test_first_fit_takes_the_first_sequence_with_room():
     r = random.Random(2)
     for n in (0, 1, 2, 3, 7, 50, 300):
