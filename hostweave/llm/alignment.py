@@ -129,7 +129,7 @@ def _encoder(a_path: str, b_path: str):
 @cache
 def _memo(a_path: str, b_path: str) -> Memo:
     """Kept as long as the Python worker, over its tasks."""
-    return Memo(_encoder(a_path, b_path))
+    return Memo(_encoder(a_path, b_path), 150_000)
 
 
 def _aligned(a_path: str, b_path: str, block_bytes: int):

@@ -6,8 +6,9 @@ entries bursts into a node of containers by the next word. When the trie holds `
 spilled as sorted runs. Runs meet in partitions by prefix (two words, a prefix's children dealt into ``CHILDREN`` parts, so
 that no hot prefix is one task's) and are merged there.
 
-A phrase that occurs ``least`` times has only parts that do. So words and pairs come first, and units then count phrases of three
-and more words only where all their pairs are frequent; each unit fetches the frequent pairs it holds.
+A phrase that occurs ``least`` times has only parts that do. So words come first, then pairs of frequent words, then phrases of three
+and more words all of whose pairs are frequent; before each step a unit fetches what it holds of the frequent ones. From
+words on, phrases travel as numbers: a word's is the place of its first occurrence among the units' words.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -30,13 +30,15 @@ from hostweave.llm.tokens import LOWER, flat, pieces
 BITS = 21  # of a word's number in its unit; three of them make one key
 LONGEST = 4
 CHILDREN = 16
+UNIT_BITS = 20  # of a unit's number in its task
+WORD, PAIR = 0, 1
 
 
 @dataclass(frozen=True)
 class Sizes:
     """Bounds of memory; the result is the same for any. ``unit_words`` must fit ``BITS``."""
 
-    unit_bytes: int = 8 << 20
+    unit_bytes: int = 4 << 20
     unit_words: int = (1 << BITS) - 8
     burst: int = 4096
     held: int = 1_500_000
@@ -157,11 +159,11 @@ class HatTrie:
 
 
 def _units(sizes: Sizes):
-    """(unit, lang, n, own, codes, words): word numbers of a unit's texts, -1 before each piece. Phrases are counted from the first ``own``
-    places; what follows are words that such a phrase may need."""
+    """(unit, lang, own, codes, words, counts): word numbers of a unit's texts, -1 before each piece. Words are counted, and phrases
+    begin, at the first ``own`` places; what follows are words that such a phrase may need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, {}, 0
+        number, held, size = TaskContext.get().partitionId() << UNIT_BITS, {}, 0
 
         def rows() -> Iterator[pa.RecordBatch]:
             nonlocal number
@@ -175,14 +177,16 @@ def _units(sizes: Sizes):
                     coded = text[int(x) : int(y)].dictionary_encode()
                     codes = np.full(min(z, len(text) + len(new)) - a, -1, np.int32)
                     codes[place[x:y] - a] = coded.indices.to_numpy()
-                    own = int(np.searchsorted(place, a + sizes.unit_words) - x)
+                    mine = codes[: sizes.unit_words]
+                    counts = np.bincount(mine[mine >= 0], minlength=len(coded.dictionary))
                     words = coded.dictionary.cast(pa.large_string()).cast(pa.string())
+                    ends = pa.array([0, len(words)], pa.int32())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([number]), pa.array([lang]), pa.array([own], pa.int64()), pa.array([min(sizes.unit_words, len(codes))], pa.int64()),
-                            pa.array([codes.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+                            pa.array([number]), pa.array([lang]), pa.array([len(mine)], pa.int64()), pa.array([codes.tobytes()], pa.binary()),
+                            pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())),
                         ],
-                        ["unit", "lang", "n", "own", "codes", "words"],
+                        ["unit", "lang", "own", "codes", "words", "counts"],
                     )
                     number += 1
             held.clear()
@@ -206,104 +210,107 @@ def _units(sizes: Sizes):
     return run
 
 
-def _phrases(trie: HatTrie, keep: int, unit: int, lang: str, words: pa.Array) -> Iterator[pa.RecordBatch]:
-    for paths, counts in trie.spill(keep):
-        columns = [words.take(pa.array(paths[:, c])) for c in range(trie.depth)]
-        phrase = columns[0] if trie.depth == 1 else pc.binary_join_element_wise(*columns, " ")
-        k = len(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(k, unit)), pa.array([lang] * k, pa.string()), phrase, pa.array(np.full(k, trie.depth, np.int32)), pa.array(counts)],
-            ["unit", "lang", "phrase", "words", "n"],
-        )
-
-
-def _spelled(unit: int, lang: str, words: pa.Array, codes: np.ndarray, depth: int, at: np.ndarray, sizes: Sizes) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of ``depth`` words that begin at the places ``at``."""
+def _counted(codes: np.ndarray, depth: int, at: np.ndarray, sizes: Sizes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs (paths, counts) of the phrases of ``depth`` words that begin at the places ``at``."""
     trie = HatTrie(depth, sizes)
     for i in range(0, len(at), sizes.chunk):
         trie.add(np.stack([codes[at[i : i + sizes.chunk] + c] for c in range(depth)], axis=1).astype(np.int64))
         if trie.held > sizes.held:
-            yield from _phrases(trie, sizes.held // 2, unit, lang, words)
-    yield from _phrases(trie, 0, unit, lang, words)
-
-
-def _in_one_piece(codes: np.ndarray, own: int, depth: int) -> np.ndarray:
-    """Places among the first ``own`` where ``depth`` words of one piece begin."""
-    n = min(own, len(codes) - depth + 1)
-    ok = np.ones(max(0, n), bool)
-    for c in range(depth):
-        ok &= codes[c : c + n] >= 0
-    return np.flatnonzero(ok)
-
-
-def _words_and_pairs(sizes: Sizes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(b.num_rows):
-                unit, lang, own = (b.column(c)[row].as_py() for c in ("unit", "lang", "own"))
-                codes = np.frombuffer(b.column("codes")[row].as_buffer(), np.int32)
-                words = b.column("words")[row].values
-                count = np.bincount(codes[:own][codes[:own] >= 0], minlength=len(words))
-                k = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), unit)), pa.array([lang] * len(k), pa.string()), words.take(pa.array(k)), pa.array(np.ones(len(k), np.int32)), pa.array(count[k])],
-                    ["unit", "lang", "phrase", "words", "n"],
-                )
-                yield from _spelled(unit, lang, words, codes, 2, _in_one_piece(codes, own, 2), sizes)
+            yield from trie.spill(sizes.held // 2)
+    yield from trie.spill(0)
+
+
+def _unit_codes(unit: pa.Table, facts: pa.Table) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """(codes with -1 for words that are not frequent, own, number of each code's word, frequent pairs as codes) of one unit."""
+    codes = np.frombuffer(unit.column("codes")[0].as_buffer(), np.int32)
+    kind, x, y = (facts.column(c).to_numpy() for c in ("kind", "x", "y"))
+    words, pairs = kind == WORD, kind == PAIR
+    number = np.full(int(codes.max(initial=-1)) + 2, -1, np.int64)  # the last one is that of -1
+    number[x[words]] = y[words]
+    order = np.argsort(y[words])
+    known = y[words][order]
+    both = [x[words][order][np.searchsorted(known, v[pairs])] for v in (x, y)] if pairs.any() else [np.zeros(0, np.int64)] * 2
+    return np.where(number[codes] >= 0, codes, -1), unit.column("own")[0].as_py(), number, np.stack(both, axis=1)
+
+
+def _pair_runs(sizes: Sizes):
+    """Counts of the pairs of frequent words of a unit."""
+
+    def run(key: tuple[pa.Scalar, ...], unit: pa.Table, facts: pa.Table) -> pa.Table:
+        found = []
+        if unit.num_rows and facts.num_rows:
+            codes, own, number, _ = _unit_codes(unit, facts)
+            n = max(0, min(own, len(codes) - 1))
+            at = np.flatnonzero((codes[:n] >= 0) & (codes[1 : n + 1] >= 0))
+            found = [(number[paths], counts) for paths, counts in _counted(codes, 2, at, sizes)]
+        paths = np.concatenate([p for p, _ in found]) if found else np.zeros((0, 2), np.int64)
+        counts = np.concatenate([c for _, c in found]) if found else np.zeros(0, np.int64)
+        return pa.table({"unit": np.full(len(counts), key[0].as_py()), "w1": paths[:, 0], "w2": paths[:, 1], "n": counts})
 
     return run
 
 
-def _longer(sizes: Sizes):
-    """Phrases of three and more words whose pairs are all frequent. A row is a unit with its frequent pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(b.num_rows):
-                unit, lang, own = (b.column(c)[row].as_py() for c in ("unit", "lang", "own"))
-                codes = np.frombuffer(b.column("codes")[row].as_buffer(), np.int32)
-                words = b.column("words")[row].values
-                pairs = b.column("pairs")[row].values
-                if not len(pairs):
-                    continue
-                halves = pc.split_pattern(pairs, " ")
-                both = pc.index_in(halves.flatten(), words).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2)
-                known = np.sort(both[:, 0] << BITS | both[:, 1])
-                key = np.where((codes[:-1] >= 0) & (codes[1:] >= 0), codes[:-1].astype(np.int64) << BITS | codes[1:], -1)
-                place = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                good = known[place] == key
-                for depth in range(3, LONGEST + 1):
-                    n = max(0, min(own, len(codes) - depth + 1))
-                    ok = np.ones(n, bool)
-                    for c in range(depth - 1):
-                        ok &= good[c : c + n]
-                    yield from _spelled(unit, lang, words, codes, depth, np.flatnonzero(ok), sizes)
+def _longer_runs(sizes: Sizes):
+    """Counts of a unit's phrases of three and more words whose pairs are all frequent; words that a phrase does not have are -1."""
+
+    def run(key: tuple[pa.Scalar, ...], unit: pa.Table, facts: pa.Table) -> pa.Table:
+        found = []
+        if unit.num_rows and facts.num_rows:
+            codes, own, number, pairs = _unit_codes(unit, facts)
+            known = np.sort(pairs[:, 0] << BITS | pairs[:, 1])
+            both = np.where((codes[:-1] >= 0) & (codes[1:] >= 0), codes[:-1].astype(np.int64) << BITS | codes[1:], -1)
+            good = known[np.minimum(np.searchsorted(known, both), len(known) - 1)] == both if len(known) else np.zeros(len(both), bool)
+            for depth in range(3, LONGEST + 1):
+                n = max(0, min(own, len(codes) - depth + 1))
+                at = np.flatnonzero(np.logical_and.reduce([good[c : c + n] for c in range(depth - 1)]))
+                for paths, counts in _counted(codes, depth, at, sizes):
+                    wide = np.full((len(counts), LONGEST), -1, np.int64)
+                    wide[:, :depth] = number[paths]
+                    found.append((wide, counts))
+        paths = np.concatenate([p for p, _ in found]) if found else np.zeros((0, LONGEST), np.int64)
+        counts = np.concatenate([c for _, c in found]) if found else np.zeros(0, np.int64)
+        return pa.table({**{f"w{c + 1}": paths[:, c] for c in range(LONGEST)}, "n": counts})
 
     return run
 
 
-PHRASES = "unit long, lang string, phrase string, words int, n long"
-
-
-def _merged(runs: DataFrame, least: int) -> DataFrame:
-    """(unit, lang, phrase, words, f): the frequent phrases each unit holds, with their counts over all units."""
-    third = F.substring_index(F.substring_index("phrase", " ", 3), " ", -1)
-    prefix = F.xxhash64("lang", F.substring_index("phrase", " ", 2), F.pmod(F.xxhash64(third), F.lit(CHILDREN)))
-    dealt = runs.withColumn("_prefix", prefix).repartition("_prefix")
-    f = F.sum("n").over(W.partitionBy("_prefix", "phrase", "lang"))
-    return dealt.withColumn("f", f).filter(F.col("f") >= least).select("unit", "lang", "phrase", "words", "f")
-
-
 def phrase_counts(docs: DataFrame, least: int = 30, lang_col: str = "lang", text_col: str = "text", sizes: Sizes = SIZES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f), (lang, n)): phrases of one to four words that occur ``least`` times or more in a language, and the
     words of each language. Overlapping occurrences count; null languages are ``und``, null texts empty."""
     base = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("_text"))
-    units = stored(base.mapInArrow(_units(sizes), "unit long, lang string, n long, own long, codes binary, words array<string>"))
-    short = stored(_merged(units.mapInArrow(_words_and_pairs(sizes), PHRASES), least))
-    pairs = short.filter("words = 2").groupBy("unit").agg(F.collect_list("phrase").alias("pairs"))
-    long = stored(_merged(units.drop("n").join(pairs, "unit").mapInArrow(_longer(sizes), PHRASES), least))
-    every = short.unionByName(long).select("lang", "phrase", "words", "f").distinct()
-    return stored(every), units.groupBy("lang").agg(F.sum("n").alias("n"))
+    units = stored(base.mapInArrow(_units(sizes), "unit long, lang string, own long, codes binary, words array<string>, counts array<long>"))
+    totals = units.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
+
+    words = units.select("unit", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w"))
+    words = words.select("unit", "lang", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    w = W.partitionBy("word", "lang")
+    place = F.shiftleft("unit", BITS).bitwiseOR(F.col("code").cast("long"))
+    words = words.withColumn("f", F.sum("n").over(w)).withColumn("place", place).withColumn("number", F.min("place").over(w))
+    words = stored(words.filter(F.col("f") >= least).select("unit", "lang", "code", "word", "f", "place", "number"))
+    known = words.select("unit", F.lit(WORD).alias("kind"), F.col("code").cast("long").alias("x"), F.col("number").alias("y"))
+
+    held = units.select("unit", "own", "codes").groupBy("unit")
+    pairs = held.cogroup(known.groupBy("unit")).applyInArrow(_pair_runs(sizes), "unit long, w1 long, w2 long, n long")
+    pairs = pairs.repartition("w1", "w2").withColumn("f", F.sum("n").over(W.partitionBy("w1", "w2")))
+    pairs = stored(pairs.filter(F.col("f") >= least).select("unit", "w1", "w2", "f"))
+    facts = known.unionByName(pairs.select("unit", F.lit(PAIR).alias("kind"), F.col("w1").alias("x"), F.col("w2").alias("y")))
+
+    columns = [f"w{c + 1}" for c in range(LONGEST)]
+    long = held.cogroup(facts.groupBy("unit")).applyInArrow(_longer_runs(sizes), ", ".join(f"{c} long" for c in columns) + ", n long")
+    long = long.withColumn("child", F.pmod("w3", F.lit(CHILDREN))).repartition("w1", "w2", "child")
+    long = long.groupBy("w1", "w2", "child", *columns[2:]).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    none = F.lit(-1).cast("long")
+    two = pairs.select("w1", "w2", "f").distinct().select("w1", "w2", none.alias("w3"), none.alias("w4"), "f")
+    every = two.unionByName(long.select(*columns, "f"))
+    # a word's number is the place of one of its rows
+    spelled = words.filter("place = number").select("number", "lang", "word", "f")
+    for c in columns:
+        one = spelled.select(F.col("number").alias(c), F.col("word").alias(f"{c}_word"), *([F.col("lang")] if c == "w1" else []))
+        every = every.join(one, c, "inner" if c in columns[:2] else "left")
+    phrase = F.concat_ws(" ", *[f"{c}_word" for c in columns])
+    size = sum((F.when(F.col(c) >= 0, 1).otherwise(0) for c in columns), F.lit(0))
+    every = every.select("lang", phrase.alias("phrase"), size.alias("words"), "f")
+    return stored(every.unionByName(spelled.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f"))), totals
 
 
 def collocations(

@@ -17,6 +17,7 @@ import pyarrow as pa
 
 CACHE_ENTRIES = 500_000
 CACHE_VALUES = 4_000_000
+ENCODED = 8192  # segments encoded at a time: the tokenizers' own records of them are large
 
 
 def byte_letters() -> dict[str, int]:
@@ -115,8 +116,8 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Memo:
     """Values of segments, kept from batch to batch in bounded space: some numbers and a run of integers each, and a string."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]], limit: int = CACHE_ENTRIES):
+        self.encode, self.limit = encode, limit
         self._clear()
 
     def _clear(self) -> None:
@@ -129,13 +130,15 @@ class Memo:
 
     def look_up(self, segment: pa.LargeBinaryArray) -> np.ndarray:
         """Number of the entry of each segment; valid until the next call."""
-        if len(self.entry) > CACHE_ENTRIES or len(self.values) > CACHE_VALUES:
+        if len(self.entry) > self.limit or len(self.values) > CACHE_VALUES:
             self._clear()
         coded = segment.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         new = [s for s in distinct if s not in self.entry]
         if new:
-            facts, lengths, values, strings = self.encode(new)
+            parts = [self.encode(new[i : i + ENCODED]) for i in range(0, len(new), ENCODED)]
+            facts, lengths, values = (np.concatenate([x[k] for x in parts]) for k in range(3))
+            strings = [s for x in parts for s in x[3]]
             self.entry.update(zip(new, range(len(self.entry), len(self.entry) + len(new)), strict=True))
             self.facts = np.concatenate([self.facts, facts]) if len(self.facts) else facts
             self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(lengths) - lengths])
