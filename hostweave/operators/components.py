@@ -13,23 +13,21 @@ from hostweave.session import cut
 def component_labels(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(node, label) for every node of ``edges`` (u, v); the label is one node of its component.
 
-    Each round points every node at its least neighbour (or itself), rewrites the edges to those and
-    drops loops and repeats. The number of rounds grows with the logarithm of a component's size.
+    Each round points every node at the neighbour that comes first in an order drawn anew by a hash (or at itself), rewrites the
+    edges to those and drops loops and repeats. In a drawn order a fixed share of the nodes goes every round, chains in
+    the order of their names included, so the number of rounds grows with the logarithm of a component's size.
     """
     by = list(by)
     live = edges.select(*by, "u", "v")
-    mapping = None
+    steps = []
     while True:
+        drawn = F.xxhash64("v", F.lit(len(steps)))
         sym = live.union(live.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-        step = cut(sym.groupBy(*by, "u").agg(F.least("u", F.min("v")).alias("to")).select(*by, F.col("u").alias("node"), "to"))
-        if mapping is None:
-            mapping = step.withColumnRenamed("to", "label")
-        else:
-            hop = step.select(*by, F.col("node").alias("label"), "to")
-            mapping = mapping.join(hop, [*by, "label"], "left").select(*by, "node", F.coalesce("to", "label").alias("label"))
-        mapping = cut(mapping)
-        left = step.select(*by, F.col("node").alias("u"), F.col("to").alias("nu"))
-        right = step.select(*by, F.col("node").alias("v"), F.col("to").alias("nv"))
+        near = sym.groupBy(*by, "u").agg(F.min(F.struct(drawn.alias("h"), "v")).alias("near"))
+        own = F.struct(F.xxhash64("u", F.lit(len(steps))).alias("h"), F.col("u").alias("v"))
+        steps.append(cut(near.select(*by, F.col("u").alias("node"), F.least("near", own)["v"].alias("to"))))
+        left = steps[-1].select(*by, F.col("node").alias("u"), F.col("to").alias("nu"))
+        right = steps[-1].select(*by, F.col("node").alias("v"), F.col("to").alias("nv"))
         live = cut(
             live.join(left, [*by, "u"])
             .join(right, [*by, "v"])
@@ -38,4 +36,9 @@ def component_labels(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             .distinct()
         )
         if live.isEmpty():
-            return mapping
+            break
+    mapping = steps[0].withColumnRenamed("to", "label")
+    for step in steps[1:]:
+        hop = step.select(*by, F.col("node").alias("label"), "to")
+        mapping = mapping.join(hop, [*by, "label"], "left").select(*by, "node", F.coalesce("to", "label").alias("label"))
+    return cut(mapping)

@@ -44,22 +44,23 @@ ITEM_FIELDS = (
 class _Node:
     """Mutable state of one cluster or merged campaign during the fold."""
 
-    __slots__ = ("ord", "cid", "plain", "hubs", "recon", "stages", "t0", "t1", "n", "names", "user", "lat", "egr", "exf", "dsts")
+    __slots__ = ("ord", "cid", "plain", "hubs", "recon", "stages", "held", "t0", "t1", "n", "names", "user", "lat", "egr", "exf", "dsts")
 
     def __init__(self, row):
         self.ord, self.cid = row["ord"], row["campaign_id"]
         self.plain, self.hubs, self.recon = set(row["plain"]), set(row["hubs"]), bool(row["absorbs_recon"])
         self.t0, self.t1 = row["t0"], row["t1"]
         self.n = row["n_items"]
-        self.stages, self.names, self.user = [], set(), None
+        self.stages, self.held, self.names, self.user = [], set(), set(), None
         self.lat, self.egr, self.exf, self.dsts = set(), set(), set(), set()
         for stage in row["stages"]:
             self.add_stage(stage)
 
     def add_stage(self, stage):
         stage = (stage["name"], stage["user"], stage["dst_ip"], stage["apex"], tuple(stage["hosts"]))
-        if stage in self.stages:
+        if stage in self.held:
             return
+        self.held.add(stage)
         self.stages.append(stage)
         name, user, dst, _, hosts = stage
         self.names.add(name)
