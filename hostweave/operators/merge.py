@@ -31,6 +31,7 @@ from hostweave.operators.sessions import range_islands
 from hostweave.session import attach_facts, cut
 
 EGRESS = ("micro_exfil", "dns_beacon")
+HEAVY = 64
 RECON_TOKEN = "\x00recon"  # stands for the whole set of fan-out hosts in a host array
 ITEM_FIELDS = (
     "gid string, ord bigint, campaign_id string, plain array<string>, hubs array<string>, "
@@ -135,7 +136,7 @@ def _joins(c, m, gap_us, resume, rules):
 def fold_group(rows: list[dict], gap_us: int, resume: bool, rules: dict) -> tuple[list[_Node], int | None]:
     """Fold clusters in order until a sweep takes nothing in.
 
-    Only entries that share a host or an account with the cluster are looked at, in list order.
+    Only entries that share a host or an account with the cluster and are near it in time are looked at, in list order.
     Returns the entries and the place of the first one with fan-out hosts after the first sweep.
     """
     items = [_Node(r) for r in sorted(rows, key=lambda r: r["ord"])]
@@ -144,11 +145,13 @@ def fold_group(rows: list[dict], gap_us: int, resume: bool, rules: dict) -> tupl
     while True:
         out: list[_Node] = []
         at = defaultdict(set)  # host, account or fan-out token -> positions in ``out``
+        times = _TimeIndex(gap_us)
         took = False
         for c in items:
+            around = times.around(c)
             near = set()
             for key in _keys(c, resume):
-                near |= at[key]
+                near |= at[key] if around is None else at[key] & around
             for pos in sorted(near):
                 if _joins(c, out[pos], gap_us, resume, rules):
                     out[pos].take(c)
@@ -159,6 +162,7 @@ def fold_group(rows: list[dict], gap_us: int, resume: bool, rules: dict) -> tupl
                 out.append(c)
             for key in _keys(out[pos], resume):
                 at[key].add(pos)
+            times.put(pos, out[pos])
         if first:
             recon_pos = min((m.ord for m in out if m.recon), default=None)
             first = False
@@ -167,6 +171,38 @@ def fold_group(rows: list[dict], gap_us: int, resume: bool, rules: dict) -> tupl
             return out, recon_pos
 
 
+class _TimeIndex:
+    """Positions by the time slots, one gap long, that their ranges cover."""
+
+    def __init__(self, gap_us: int):
+        self.gap = gap_us
+        self.slots = defaultdict(set)
+        self.covered = {}  # position -> first and last slot
+        self.timeless = set()
+
+    def put(self, pos, node):
+        """Enter a position, or the slots its range has gained."""
+        if node.t0 is None or node.t1 is None:
+            self.timeless.add(pos)
+            return
+        self.timeless.discard(pos)
+        low, high = node.t0 // self.gap, node.t1 // self.gap
+        was = self.covered.get(pos, (low, low - 1))
+        for slot in (*range(low, was[0]), *range(was[1] + 1, high + 1)):
+            self.slots[slot].add(pos)
+        self.covered[pos] = (low, high)
+
+    def around(self, node):
+        """Positions whose ranges may be within the gap of the node's; None stands for all."""
+        if node.t0 is None or node.t1 is None:
+            return None
+        out = set(self.timeless)
+        for slot in range((node.t0 - self.gap) // self.gap, (node.t1 + self.gap) // self.gap + 1):
+            if slot in self.slots:
+                out |= self.slots[slot]
+        return out
+
+
 def _keys(node, resume):
     keys = [("h", h) for h in node.plain]
     if node.recon:
@@ -245,42 +281,88 @@ def _buckets(gap_us: int) -> Column:
     return F.sequence(lo, hi)
 
 
-def candidate_pairs(states: DataFrame, by: Sequence[str], gap_us: int) -> DataFrame:
-    """Pairs of states that are near in time and may share two hosts, or one across kinds.
+def host_order(states: DataFrame, by: Sequence[str]) -> DataFrame:
+    """How many states hold each host: (by, host, freq)."""
+    return states.select(*by, F.explode("plain").alias("host")).groupBy(*by, "host").agg(F.count(F.lit(1)).alias("freq"))
 
-    * two shared hosts: a state is looked up by all its hosts except its most common one. Two states
-      that share two hosts still meet on one of the kept ones, and a host that is in everything is
-      (almost) never a lookup key;
-    * one shared host across kinds: account stages are matched with egress stages only.
+
+def lookup_rows(states: DataFrame, order: DataFrame, by: Sequence[str], gap_us: int) -> DataFrame:
+    """One row per state, host and time slot. ``rare`` is false for the state's most common host in ``order``.
+
+    Under any fixed order of the hosts, two states that share two hosts also share one that is rare for both: the lower of
+    the two is not the most common host of either.
     """
-    hosts = states.select(*by, "sid", "gid", "fresh", "t0", "t1", "lateral_hosts", "egress_hosts", F.explode("plain").alias("host"))
-    common = hosts.groupBy(*by, "host").agg(F.count(F.lit(1)).alias("freq"))
-    ranked = hosts.join(common, [*by, "host"])
+    hosts = states.select(*by, "sid", "gid", "t0", "t1", "lateral_hosts", "egress_hosts", F.explode("plain").alias("host"))
+    ranked = hosts.join(order, [*by, "host"])
     top = ranked.groupBy(*by, "sid").agg(F.max(F.struct("freq", "host")).alias("top"))
-    rows = ranked.join(top, [*by, "sid"]).select(
-        *by, "sid", "gid", "fresh", "t0", "t1", "host",
+    return ranked.join(top, [*by, "sid"]).select(
+        *by, "sid", "gid", "t0", "t1", "host",
         (F.col("host") != F.col("top.host")).alias("rare"),
         F.array_contains("lateral_hosts", F.col("host")).alias("lat"),
         F.array_contains("egress_hosts", F.col("host")).alias("egr"),
         F.explode(_buckets(gap_us)).alias("bucket"),
     )
-    rows = cut(rows)
-
-    def meet(left: Column, right: Column) -> DataFrame:
-        a = rows.filter(left).select(*by, "host", "bucket", *[F.col(c).alias(f"a_{c}") for c in ("sid", "gid", "fresh", "t0", "t1")])
-        b = rows.filter(right).select(*by, "host", "bucket", *[F.col(c).alias(f"b_{c}") for c in ("sid", "gid", "fresh", "t0", "t1")])
-        first = F.greatest(F.expr(f"a_t0 div {gap_us}"), F.expr(f"b_t0 div {gap_us}"))
-        return (
-            a.join(b, [*by, "host", "bucket"])
-            .filter((F.col("a_gid") != F.col("b_gid")) & (F.col("a_fresh") | F.col("b_fresh")) & (F.col("bucket") == first))
-            .filter(ranges_near(F.col("a_t0"), F.col("a_t1"), F.col("b_t0"), F.col("b_t1"), gap_us))
-        )
 
-    two = meet(F.col("rare"), F.col("rare")).filter("a_sid < b_sid").select(*by, "a_sid", "b_sid")
-    cross = meet(F.col("lat"), F.col("egr")).select(
-        *by, F.least("a_sid", "b_sid").alias("a_sid"), F.greatest("a_sid", "b_sid").alias("b_sid")
+
+def _meet(rows: DataFrame, key: Sequence[str], left: Column, right: Column, by: Sequence[str], gap_us: int) -> DataFrame:
+    """Near pairs (a_sid, b_sid) of different groups that meet on the key, at least one of them changed."""
+    a = rows.filter(left).select(*key, *[F.col(c).alias(f"a_{c}") for c in ("sid", "gid", "fresh", "t0", "t1")])
+    b = rows.filter(right).select(*key, *[F.col(c).alias(f"b_{c}") for c in ("sid", "gid", "fresh", "t0", "t1")])
+    first = F.greatest(F.expr(f"a_t0 div {gap_us}"), F.expr(f"b_t0 div {gap_us}"))
+    return (
+        a.join(b, list(key))
+        .filter((F.col("a_gid") != F.col("b_gid")) & (F.col("a_fresh") | F.col("b_fresh")) & (F.col("bucket") == first))
+        .filter(ranges_near(F.col("a_t0"), F.col("a_t1"), F.col("b_t0"), F.col("b_t1"), gap_us))
+        .select(*by, F.least("a_sid", "b_sid").alias("a_sid"), F.greatest("a_sid", "b_sid").alias("b_sid"))
+    )
+
+
+def candidate_pairs(states: DataFrame, by: Sequence[str], gap_us: int) -> DataFrame:
+    """Pairs of states that are near in time and may share two hosts, or one across kinds.
+
+    * two shared hosts: a state is looked up by all its hosts except its most common one;
+    * one shared host across kinds: account stages are matched with egress stages only.
+    """
+    key = [*by, "host", "bucket"]
+    rows = cut(lookup_rows(states, host_order(states, by), by, gap_us).withColumn("fresh", F.lit(True)))
+    two = _meet(rows, key, F.col("rare"), F.col("rare"), by, gap_us)
+    return two.union(_meet(rows, key, F.col("lat"), F.col("egr"), by, gap_us)).distinct()
+
+
+def _star(rows: DataFrame, key: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Link the groups of each key to its least group."""
+    least = rows.groupBy(*key).agg(F.min("gid").alias("low"))
+    linked = rows.join(least, list(key)).filter(F.col("gid") != F.col("low"))
+    return linked.select(*by, F.col("gid").alias("u"), F.col("low").alias("v")).distinct()
+
+
+def host_links(rows: DataFrame, states: DataFrame, by: Sequence[str], gap_us: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, edges) of the states that a changed one can meet on their hosts. ``rows`` are the lookup rows with ``fresh``.
+
+    A (host, slot) that at most ``HEAVY`` states look up gives their pairs. In a fuller one the states are looked up by each second host
+    besides, and where even that is full their groups are linked to the least one instead: the fold of a group decides
+    exactly whatever is linked, so more links than needed cost time, never the result. So rows grow with the lookups.
+    """
+    key = [*by, "host", "bucket"]
+    sizes = rows.groupBy(*key).agg(
+        F.count_if("rare").alias("n_rare"), F.count_if("lat").alias("n_lat"), F.count_if("egr").alias("n_egr"), F.max("fresh").alias("touched")
     )
-    return two.union(cross).distinct()
+    # keys that no changed state looks up had their turn
+    several = (F.col("n_rare") > 1) | ((F.col("n_lat") > 0) & (F.col("n_egr") > 0))
+    live = rows.join(sizes.filter(several & F.col("touched")).drop("touched"), key)
+    few, crossing = F.col("n_rare") <= HEAVY, F.col("n_lat") * F.col("n_egr") <= HEAVY * HEAVY
+    pairs = _meet(live, key, F.col("rare") & few, F.col("rare") & few, by, gap_us)
+    pairs = pairs.union(_meet(live, key, F.col("lat") & crossing, F.col("egr") & crossing, by, gap_us))
+    edges = _star(live.filter(~crossing & (F.col("lat") | F.col("egr"))), key, by)
+
+    second = [*key, "second"]
+    others = states.select(*by, "sid", F.explode("plain").alias("second"))
+    full = live.filter(F.col("rare") & ~few).join(others, [*by, "sid"]).filter("second != host")
+    counts = full.groupBy(*second).agg(F.count(F.lit(1)).alias("n_second"), F.max("fresh").alias("touched"))
+    full = full.join(counts.filter((F.col("n_second") > 1) & F.col("touched")).drop("touched"), second)
+    light = F.col("n_second") <= HEAVY
+    pairs = pairs.union(_meet(full, second, light, light, by, gap_us))
+    return pairs.distinct(), edges.union(_star(full.filter(~light), second, by))
 
 
 def _chain_links(rows: DataFrame, key: Sequence[str], by: Sequence[str], gap_us: int) -> DataFrame:
@@ -295,9 +377,9 @@ def _chain_links(rows: DataFrame, key: Sequence[str], by: Sequence[str], gap_us:
     )
 
 
-def group_links(states: DataFrame, cfg: FuseConfig, by: Sequence[str], gap_us: int, resume: bool) -> DataFrame:
-    """Edges (u, v) between groups that can meet in this pass."""
-    pairs = candidate_pairs(states, by, gap_us)
+def group_links(states: DataFrame, rows: DataFrame, cfg: FuseConfig, by: Sequence[str], gap_us: int, resume: bool) -> DataFrame:
+    """Edges (u, v) between groups that can meet in this pass. ``rows``: lookup rows of ``states`` with ``fresh``."""
+    pairs, full_keys = host_links(rows, states, by, gap_us)
     fields = ("gid", "t0", "t1", "hosts", "hubs", "lateral_hosts", "egress_hosts", "exfil_hosts", "names", "user", "dsts", "single")
     side = lambda n: states.select(*by, F.col("sid").alias(f"{n}_sid"), F.struct(*fields).alias(n))
     full = pairs.join(side("a"), [*by, "a_sid"]).join(side("b"), [*by, "b_sid"])
@@ -311,6 +393,7 @@ def group_links(states: DataFrame, cfg: FuseConfig, by: Sequence[str], gap_us: i
     edges = full.filter(F.when(both_single, exact).otherwise(loose)).select(
         *by, F.least("a.gid", "b.gid").alias("u"), F.greatest("a.gid", "b.gid").alias("v")
     )
+    edges = edges.union(full_keys)
     flagged = states.filter("absorbs_recon").select(*by, "gid", "t0", "t1", F.lit(0).alias("_one"))
     edges = edges.union(_chain_links(flagged, [*by, "_one"], by, gap_us))
     if resume:
@@ -339,27 +422,37 @@ def _fold_groups(
 def merge_pass(
     items: DataFrame, recon: DataFrame, cfg: FuseConfig, by: Sequence[str], gap_us: int, resume: bool
 ) -> tuple[DataFrame, DataFrame]:
-    """One merge pass to its fixpoint: (entries, original items with their final group). Groups grow by links between
-    those that can meet."""
+    """One merge pass to its fixpoint: (entries, original items with their final group).
+
+    Groups grow by links between those that can meet. After the first round only states that changed look for others; the lookup
+    rows and profiles of the rest are the ones written in their own round.
+    """
     by = list(by)
     columns = [*by, *_COLUMNS]
     base = items.withColumn("gid", F.lpad(F.col("ord").cast("string"), 14, "0")).withColumn(
         "recon_pos", F.when(F.col("absorbs_recon"), F.col("ord"))
     )
     base = cut(base.withColumn("n_items", F.lit(1).cast("bigint")).select(*columns))
-    groups = base
-    states = groups.withColumn("fresh", F.lit(True))
+    order = cut(host_order(base, by))
+    groups, states, changed = base, base, base
+    profiles = rows = None
     while True:
-        profile = cut(_profile(states.withColumn("sid", F.concat_ws("/", "gid", F.col("ord").cast("string")))))
-        links = cut(group_links(profile, cfg, by, gap_us, resume))
+        new = cut(_profile(changed.withColumn("sid", F.concat_ws("/", "gid", F.col("ord").cast("string")))))
+        new_rows = cut(lookup_rows(new, order, by, gap_us))
+        # what did not change keeps its profile and its lookup rows
+        profiles = new if profiles is None else profiles.unionByName(new)
+        fresh = new_rows.withColumn("fresh", F.lit(True))
+        links = cut(group_links(profiles, fresh if rows is None else rows.withColumn("fresh", F.lit(False)).unionByName(fresh), cfg, by, gap_us, resume))
         if links.isEmpty():
-            return states.drop("fresh"), groups
+            return states, groups
         labels = component_labels(links, by).withColumnRenamed("node", "gid")
         moved = groups.join(labels, [*by, "gid"], "left")
         work = moved.filter(F.col("label").isNotNull()).withColumn("gid", F.col("label")).select(*columns)
-        folded = _fold_groups(work, recon, cfg, by, gap_us, resume)
-        rest = states.join(labels.select(*by, "gid"), [*by, "gid"], "left_anti").select(*columns)
-        states = cut(rest.withColumn("fresh", F.lit(False)).unionByName(folded.withColumn("fresh", F.lit(True))))
+        gone = labels.select(*by, "gid")
+        changed = cut(_fold_groups(work, recon, cfg, by, gap_us, resume).select(*columns))
+        states = cut(states.join(gone, [*by, "gid"], "left_anti").select(*columns).unionByName(changed))
+        profiles = profiles.join(gone, [*by, "gid"], "left_anti")
+        rows = (new_rows if rows is None else rows.unionByName(new_rows)).join(gone, [*by, "gid"], "left_anti")
         groups = cut(moved.withColumn("gid", F.coalesce("label", "gid")).select(*columns))
 
 

@@ -398,7 +398,7 @@ PAIRS_SQL = f"""{CLU_SQL},
 
 def _rule_rows(spark, d):
     items, _ = fuse.cluster_items(load_telemetry(spark, d), PAIR_CFG)
-    states = items.withColumns({"gid": F.lpad(F.col("ord").cast("string"), 14, "0"), "n_items": F.lit(1), "fresh": F.lit(True)})
+    states = items.withColumns({"gid": F.lpad(F.col("ord").cast("string"), 14, "0"), "n_items": F.lit(1)})
     states = cut(merge._profile(states.withColumn("sid", F.col("gid"))))
     pairs = merge.candidate_pairs(states, [], WUS)
     fields = ("campaign_id", "t0", "t1", "hosts", "hubs", "lateral_hosts", "egress_hosts", "exfil_hosts", "names", "user", "dsts")
