@@ -626,13 +626,51 @@ def run_stream(spark, stream, name: str, step=None):
 
 @query("t01_tailed_sources", f"WITH {TEL} SELECT CASE WHEN payload_type = 'auth' THEN 'auth' ELSE 'other' END AS source, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM t GROUP BY 1")
 def _(spark, d):
+    """Logs are written, read, then half of the files get more lines and the others are replaced by shorter ones, and are read again."""
     base = f"{shared_folder(spark)}/tail-{uuid.uuid4().hex}"
-    ev_rows = load_telemetry(spark, d).withColumn("src_name", F.when(c("payload_type") == "auth", "auth").otherwise("other"))
-    for name in ("auth", "other"):
-        ev_rows.filter(c("src_name") == name).select(F.to_json(F.struct("event_id", "host_id", "ts_utc", "payload_type")).alias("value")).write.text(f"{base}/{name}")
-    lines = live.tail_folders(spark, {"auth": f"{base}/auth", "other": f"{base}/other"})
-    rows = run_stream(spark, live.envelope_stream(lines).select("source", "event_id"), "tail")
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_ids"))
+    rows = load_telemetry(spark, d).withColumn("src_name", F.when(c("payload_type") == "auth", "auth").otherwise("other"))
+    lines = rows.select("k", "src_name", S(c("src_name"), "/", F.pmod(c("ingest_seq"), F.lit(4)).cast("string"), ".log").alias("file"),
+                        F.to_json(F.struct("event_id", "host_id", "ts_utc", "payload_type")).alias("value"))
+    folders = {"auth": f"{base}/auth", "other": f"{base}/other"}
+    out, checkpoint = f"{base}/out", f"{base}/checkpoint"
+
+    def read():
+        stream = live.envelope_stream(live.tail_folders(spark, folders)).select("source", "event_id")
+        live.start(stream, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"), checkpoint).awaitTermination()
+
+    _write_logs(lines.filter("k < 70"), base, append=False)
+    read()
+    _write_logs(lines.filter("k >= 70 AND src_name = 'auth'"), base, append=True)
+    _write_logs(lines.filter("k >= 70 AND src_name = 'other'"), base, append=False)
+    read()
+    return spark.read.parquet(out).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_ids"))
+
+
+def _write_logs(lines, base: str, append: bool) -> None:
+    """Write lines (file, value) to the files under ``base``, one task a file."""
+
+    def write(batches):
+        import posixpath
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from hostweave.sources.tailing import open_folder
+
+        fs, root = open_folder(base)
+        begun = set()
+        for b in batches:
+            for name in pc.unique(b.column("file")).to_pylist():
+                path = f"{root}/{name}"
+                fs.create_dir(posixpath.dirname(path), recursive=True)
+                text = "".join(v + "\n" for v in b.filter(pc.equal(b.column("file"), name)).column("value").to_pylist())
+                opened = fs.open_append_stream if append or path in begun else fs.open_output_stream
+                with opened(path) as f:
+                    f.write(text.encode())
+                begun.add(path)
+        yield pa.RecordBatch.from_arrays([pa.array([len(begun)])], ["n"])
+
+    lines.select("file", "value").repartition("file").mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 @query("t02_deduplicated", f"WITH {TEL} SELECT DISTINCT host_id, payload_type, k FROM t")

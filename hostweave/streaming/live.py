@@ -6,6 +6,7 @@ history, so they are recomputed in ``foreachBatch`` from the stored events.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,21 +22,21 @@ from hostweave.operators.trust import verify_events
 from hostweave.schema import ENVELOPE
 from hostweave.session import cut
 from hostweave.sources.sinks import write_campaigns
+from hostweave.sources.tailing import TailedLines
 
 RECORD_KEY = ("channel", "EventID", "Computer", "TimeCreated", "RecordId")
 FLOW_KEY = ("channel", "EventID", "Computer", "TimeCreated", "dst_ip", "dst_port", "pid", "query", "user")
 
 
-def tail_folders(spark: SparkSession, sources: dict[str, str], files_per_trigger: int = 1000) -> DataFrame:
-    """One stream of raw lines (source, raw) from several growing folders; the checkpoint holds the offsets."""
-    out = None
-    for name, folder in sources.items():
-        part = (
-            spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).load(folder)
-            .select(F.lit(name).alias("source"), F.trim("value").alias("raw")).filter("raw != ''")
-        )
-        out = part if out is None else out.union(part)
-    return out
+def tail_folders(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
+    """One stream of raw lines (source, raw) from several folders of growing files; the checkpoint holds each file's offset.
+
+    Lines added to a file are read once, a file that shrank is read again from its start, and the last line of a file
+    counts once its line feed is there. Blank lines are left out.
+    """
+    spark.dataSource.register(TailedLines)
+    lines = spark.readStream.format("tailed_lines").option("folders", json.dumps(sources)).load()
+    return lines.select("source", F.trim("raw").alias("raw")).filter("raw != ''")
 
 
 def envelope_stream(lines: DataFrame) -> DataFrame:
