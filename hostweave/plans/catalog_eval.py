@@ -17,6 +17,7 @@ from hostweave.plans.catalog_normal import enrollment, payloads
 from hostweave.plans.telemetry import load_telemetry, telemetry
 from hostweave.session import cut, shared_folder
 from hostweave.streaming import live
+from hostweave.streaming.state import StepState, capped_step, session_step
 
 c = F.col
 S = lambda *p: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in p])
@@ -673,45 +674,108 @@ def _write_logs(lines, base: str, append: bool) -> None:
     lines.select("file", "value").repartition("file").mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
-@query("t02_deduplicated", f"WITH {TEL} SELECT DISTINCT host_id, payload_type, k FROM t")
+DAY_US = 86_400_000_000
+
+
+def in_batches(spark, rows, name: str, make):
+    """Drive a stream over the rows in three micro-batches: the earlier and the later half of the time, then stragglers (k % 10 = 3).
+
+    ``make(base)`` gives the step; returns the folder the step works in.
+    """
+    base = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    us = F.unix_micros("_event_time")
+    middle = rows.agg(F.expr("(min(unix_micros(_event_time)) + max(unix_micros(_event_time))) div 2")).first()[0]
+    rows = rows.withColumn("_batch", F.when(c("k") % 10 == 3, 2).when(us < middle, 0).otherwise(1)).drop("_event_time")
+    schema, step = rows.drop("_batch").schema, make(base)
+    for i in range(3):
+        rows.filter(c("_batch") == i).drop("_batch").write.parquet(f"{base}/in/part{i}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1_000_000).parquet(f"{base}/in")
+        live.start(stream, step, f"{base}/checkpoint").awaitTermination()
+    return base
+
+
+BATCH_SQL = """mid AS (SELECT (min(us) + max(us)) // 2 AS m FROM t),
+  tb AS (SELECT t.*, CASE WHEN k % 10 = 3 THEN 2 WHEN us < m THEN 0 ELSE 1 END AS b FROM t, mid)"""
+
+
+def seen_sql(key: str, good: str, delay: int) -> str:
+    """Status counts of the rows ``tb`` by first appearance of ``key`` over three batches, with a state that reaches back ``delay``."""
+    return f"""ok AS (SELECT *, {key} AS sk FROM tb WHERE {good}),
+  w1 AS (SELECT max(us) - {delay} AS w FROM ok WHERE b = 0), w2 AS (SELECT max(us) - {delay} AS w FROM ok WHERE b <= 1),
+  lv AS (SELECT * FROM ok WHERE b = 0 OR b = 1 AND us >= (SELECT w FROM w1) OR b = 2 AND us >= (SELECT w FROM w2)),
+  f0 AS (SELECT sk, min(us) AS us FROM lv WHERE b = 0 GROUP BY 1), s1 AS (SELECT * FROM f0 WHERE us >= (SELECT w FROM w1)),
+  f1 AS (SELECT sk, min(us) AS us FROM lv WHERE b = 1 AND sk NOT IN (SELECT sk FROM s1) GROUP BY 1),
+  s2 AS (SELECT * FROM (SELECT * FROM s1 UNION ALL SELECT * FROM f1) WHERE us >= (SELECT w FROM w2)),
+  f2 AS (SELECT sk, min(us) AS us FROM lv WHERE b = 2 AND sk NOT IN (SELECT sk FROM s2) GROUP BY 1),
+  fr AS (SELECT (SELECT count(*) FROM f0) + (SELECT count(*) FROM f1) + (SELECT count(*) FROM f2) AS n),
+  st AS (SELECT 'fresh' AS status, n FROM fr UNION ALL SELECT 'repeat', (SELECT count(*) FROM lv) - n FROM fr
+    UNION ALL SELECT 'late', (SELECT count(*) FROM ok) - (SELECT count(*) FROM lv) UNION ALL SELECT 'rejected', (SELECT count(*) FROM tb) - (SELECT count(*) FROM ok))"""
+
+
+def status_counts(spark, out: str):
+    return spark.read.parquet(out).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("t02_deduplicated", f"WITH {TEL}, {BATCH_SQL}, {seen_sql('(host_id, payload_type, k)', 'true', 10 * DAY_US)} SELECT status, CAST(n AS BIGINT) AS n FROM st WHERE n > 0")
 def _(spark, d):
-    stream = live.dedup_records(event_stream(spark, d), ["host_id", "payload_type", "k"], delay="400 days")
-    return run_stream(spark, stream.select("host_id", "payload_type", "k"), "dedup")
+    rows = load_telemetry(spark, d).withColumn("_event_time", c("ts"))
+    key = ["host_id", "payload_type", "k"]
+    base = in_batches(spark, rows, "dedup", lambda b: live.dedup_step(f"{b}/out", StepState(f"{b}/state", 10 * DAY_US), key))
+    return status_counts(spark, f"{base}/out")
 
 
-@query("t03_rate_cap", f"WITH {TEL}, r AS (SELECT ingest_seq, row_number() OVER (PARTITION BY host_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS p FROM t) SELECT ingest_seq FROM r WHERE p <= 1")
+HOUR = "us // 3600000000"
+
+
+@query(
+    "t03_rate_cap",
+    f"""WITH {TEL}, {BATCH_SQL}, s AS (SELECT ingest_seq, event_id, host_id, b, ts, {HOUR} AS sec FROM tb),
+    w AS (SELECT *, CASE b WHEN 1 THEN (SELECT max(sec) FROM s WHERE b = 0) WHEN 2 THEN (SELECT max(sec) FROM s WHERE b <= 1) END - 240 AS mark FROM s),
+    r AS (SELECT ingest_seq, row_number() OVER (PARTITION BY host_id, sec ORDER BY b, ts, event_id) AS p FROM w WHERE mark IS NULL OR sec >= mark)
+    SELECT s.ingest_seq, CASE WHEN p IS NULL THEN 'late' WHEN p <= 1 THEN 'fresh' ELSE 'dropped' END AS status FROM s LEFT JOIN r USING (ingest_seq)""",
+)
 def _(spark, d):
     """The cap is per event-time second; hours are shrunk to seconds so that the sparse sample reaches it."""
-    base = f"{shared_folder(spark)}/cap-{uuid.uuid4().hex}"
     hour = F.timestamp_seconds(F.floor(F.unix_micros("ts") / 3_600_000_000) + (F.unix_micros("ts") % 3_600_000_000) / 3_600_000_001)
-    run_stream(spark, event_stream(spark, d).withColumn("ts", hour), "cap", live.capped_append(base, 1, ["host_id"]))
-    return spark.read.parquet(base).select("ingest_seq")
+    rows = load_telemetry(spark, d).withColumn("_event_time", c("ts")).withColumn("ts", hour)
+    base = in_batches(spark, rows, "cap", lambda b: capped_step(f"{b}/out", StepState(f"{b}/state", 240_000_000), 1, ["host_id"]))
+    return spark.read.parquet(f"{base}/out").select("ingest_seq", "status")
 
 
-@query("t04_verified_stream", f"WITH {TEL} SELECT min(ingest_seq) AS ingest_seq FROM t WHERE k % 10 <> 4 GROUP BY ingest_seq // 2")
+@query("t04_verified_stream", f"WITH {TEL}, {BATCH_SQL}, {seen_sql('ingest_seq // 2', 'k % 10 <> 4', 10 * DAY_US)} SELECT status, CAST(n AS BIGINT) AS n FROM st WHERE n > 0")
 def _(spark, d):
-    ev_rows = load_telemetry(spark, d)
-    signed = sign_events(payloads(ev_rows.withColumn("nonce", S("n", F.expr("ingest_seq div 2").cast("string"))).withColumn("producer_id", F.lit("prod-x")).withColumn("host_id", F.lit("host-x"))),
-                         enrollment(ev_rows.select(F.lit("prod-x").alias("producer_id"), F.lit("host-x").alias("host_id")).limit(1)))
+    """Two events share a producer and a nonce; some are altered after they were signed."""
+    pair = F.expr("ingest_seq div 2")
+    part = F.lpad((pair % 12).cast("string"), 2, "0")
+    rows = load_telemetry(spark, d).withColumns({"nonce": S("n", pair.cast("string")), "producer_id": S("prod-", part), "host_id": S("host-", part)})
+    keys = cut(enrollment(rows))
+    signed = sign_events(payloads(rows), keys).withColumn("_event_time", c("ts"))
     signed = signed.withColumn("ts_utc", F.when(c("k") % 10 == 4, "2020-01-01T00:00:00Z").otherwise(c("ts_utc")))
-    base = f"{shared_folder(spark)}/signed-{uuid.uuid4().hex}"
-    signed.write.parquet(base)
-    stream = spark.readStream.schema(signed.schema).parquet(base)
-    keys = cut(enrollment(ev_rows.select(F.lit("prod-x").alias("producer_id"), F.lit("host-x").alias("host_id")).limit(1)))
-    rows = run_stream(spark, live.verified_stream(stream, keys, "400 days").select("ingest_seq"), "verified")
-    return rows.groupBy(F.expr("ingest_seq div 2").alias("pair")).agg((F.min(F.expr("ingest_seq div 2")) * 2).alias("p"), F.min("ingest_seq").alias("ingest_seq")).select("ingest_seq")
+    base = in_batches(spark, signed, "verified", lambda b: live.verify_step(f"{b}/out", StepState(f"{b}/state", 10 * DAY_US), keys))
+    return status_counts(spark, f"{base}/out")
 
 
 @query(
     "t05_stream_sessions",
-    f"""WITH {TEL}, a AS (SELECT usr, host_id, us FROM t WHERE payload_type = 'auth'), b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY usr ORDER BY us) <= 3600000000 THEN 0 ELSE 1 END AS nw FROM a),
-    s AS (SELECT *, sum(nw) OVER (PARTITION BY usr ORDER BY us ROWS UNBOUNDED PRECEDING) AS sno FROM b)
-    SELECT usr, min(us) AS t0, max(us) AS t1, count(*) AS n_points, array_to_string(list_sort(list(DISTINCT host_id)), ',') AS entities FROM s GROUP BY usr, sno HAVING max(us) + 3600000000 <= (SELECT max(us) FROM a) - 600000000""",
+    f"""WITH {TEL}, mid AS (SELECT (min(us) + max(us)) // 2 AS m FROM t WHERE payload_type = 'auth'),
+    a AS (SELECT usr, host_id, us, CASE WHEN k % 10 = 3 THEN 2 WHEN us < m THEN 0 ELSE 1 END AS b FROM t, mid WHERE payload_type = 'auth'),
+    l AS (SELECT *, CASE b WHEN 1 THEN (SELECT max(us) FROM a WHERE b = 0) WHEN 2 THEN (SELECT max(us) FROM a WHERE b <= 1) END - {10 * DAY_US} AS mark FROM a),
+    ok AS (SELECT * FROM l WHERE mark IS NULL OR us >= mark),
+    n AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY usr ORDER BY us) <= 3600000000 THEN 0 ELSE 1 END AS nw FROM ok),
+    s AS (SELECT *, sum(nw) OVER (PARTITION BY usr ORDER BY us ROWS UNBOUNDED PRECEDING) AS sno FROM n)
+    SELECT usr, min(us) AS t0, max(us) AS t1, CAST(count(*) AS BIGINT) AS n_points, array_to_string(list_sort(list(DISTINCT host_id)), ',') AS entities FROM s GROUP BY usr, sno
+    HAVING max(us) + 3600000000 < (SELECT max(us) FROM a) - {10 * DAY_US}
+    UNION ALL SELECT 'late', NULL, NULL, CAST((SELECT count(*) FROM a) - (SELECT count(*) FROM ok) AS BIGINT), NULL""",
 )
 def _(spark, d):
-    points = event_stream(spark, d).filter("payload_type = 'auth'").select(c("user").alias("usr"), "host_id", "ts")
-    rows = run_stream(spark, live.session_stream(points, ["usr"], "host_id", 3600).drop("w"), "sessions")
-    return rows.select("usr", F.unix_micros("t0").alias("t0"), F.unix_micros("t1").alias("t1"), "n_points", F.array_join("entities", ",").alias("entities"))
+    rows = load_telemetry(spark, d)
+    points = rows.filter("payload_type = 'auth'").select(c("user").alias("usr"), "host_id", "ts", "k", c("ts").alias("_event_time"))
+    base = in_batches(spark, points, "sessions", lambda b: session_step(f"{b}/out", f"{b}/late", StepState(f"{b}/state", 10 * DAY_US), ["usr"], "host_id", 3_600_000_000))
+    closed = spark.read.parquet(f"{base}/out").select("usr", "t0", "t1", "n_points", F.array_join("entities", ",").alias("entities"))
+    none = F.lit(None)
+    late = spark.read.parquet(f"{base}/late").agg(F.count(F.lit(1)).alias("n_points"))
+    late = late.select(F.lit("late").alias("usr"), none.cast("long").alias("t0"), none.cast("long").alias("t1"), "n_points", none.cast("string").alias("entities"))
+    return closed.unionByName(late)
 
 
 STREAM_CFG = FuseConfig(window_seconds=3600, resume_window_seconds=7200, recon_min_distinct=101)

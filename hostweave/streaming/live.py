@@ -1,7 +1,7 @@
-"""Streaming forms: tailing, deduplication, rate caps, sessions, recompute and respond loops.
+"""Streaming forms: tailing, deduplication, verification, recompute and respond loops.
 
-Only the deduplication, health and session streams use watermarks. Campaigns depend on the whole
-history, so they are recomputed in ``foreachBatch`` from the stored events.
+Steps that need memory keep it as tables (``streaming.state``) and give every row a status, so that none vanishes. Campaigns
+depend on the whole history, so they are recomputed in ``foreachBatch`` from the stored events.
 """
 
 from __future__ import annotations
@@ -10,19 +10,17 @@ import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructField, StructType
 
 from hostweave.config import FuseConfig
 from hostweave.operators.merge import fused_campaigns
 from hostweave.operators.reconstruct import isolation_hosts, reconstruct
 from hostweave.operators.trust import verify_events
 from hostweave.schema import ENVELOPE
-from hostweave.session import cut
 from hostweave.sources.sinks import write_campaigns
 from hostweave.sources.tailing import TailedLines
+from hostweave.streaming.state import StepState, first_seen_step
 
 RECORD_KEY = ("channel", "EventID", "Computer", "TimeCreated", "RecordId")
 FLOW_KEY = ("channel", "EventID", "Computer", "TimeCreated", "dst_ip", "dst_port", "pid", "query", "user")
@@ -43,67 +41,24 @@ def envelope_stream(lines: DataFrame) -> DataFrame:
     return lines.withColumn("e", F.from_json("raw", ENVELOPE)).select("source", "raw", "e.*").withColumn("ts", F.try_to_timestamp("ts_utc"))
 
 
-def dedup_records(stream: DataFrame, key: Sequence[str], ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Drop records whose composite key came before, as far back as the delay."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
+def dedup_step(out: str, state: StepState, key: Sequence[str], ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` step: records with their ``status``; those whose composite key came before, as far back as the state reaches, are
+    ``repeat``, late ones ``late``."""
+    return first_seen_step(out, state, key, ts)
 
 
-def verified_stream(stream: DataFrame, enrollment: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Verify against the static enrollment, then reject replays of (producer, nonce)."""
-    good = verify_events(stream, enrollment).filter(F.col("reason").isNull()).drop("reason")
-    return good.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["producer_id", "nonce"])
+def verify_step(out: str, state: StepState, enrollment: DataFrame) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` step: rows verified against the static enrollment, replays of (producer, nonce) found among those that verify.
 
-
-def session_stream(points: DataFrame, key: Sequence[str], entity: str, gap_seconds: int, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """Gap sessions per key in append mode; a session is final once the watermark passes its end."""
-    windowed = points.withWatermark(ts, delay).groupBy(*key, F.session_window(ts, f"{int(gap_seconds)} seconds").alias("w"))
-    return windowed.agg(F.count(F.lit(1)).alias("n_points"), F.array_sort(F.collect_set(entity)).alias("entities"), F.min(ts).alias("t0"), F.max(ts).alias("t1"))
-
-
-def dropped_per_second(stream: DataFrame, max_per_sec: int, ts: str = "ts", delay: str = "10 seconds") -> DataFrame:
-    """How many events of each second lie above the cap."""
-    per = stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 second").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return per.select(F.col("w.start").alias("second"), F.greatest(F.lit(0), F.col("n") - max_per_sec).alias("dropped"))
-
-
-def capped_append(path: str, max_per_sec: int, key: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` step: keep the first events of each key and second, in a folder per batch (safe to repeat).
-
-    The cap holds over all batches: how many rows of a second were kept is stored in ``{path}_seconds``, and what came in
-    earlier batches counts first. The rows above the cap are written to ``{path}_dropped``. Without a cap (0) all are kept.
+    Every row goes to ``out``: ``fresh``, ``repeat`` (a replay), ``late``, or ``rejected`` with its ``reason`` (``bad_shape``: no producer or
+    nonce).
     """
-    path = path.rstrip("/")
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        if max_per_sec <= 0:
-            batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-            return
-        rows = cut(batch.withColumn("_sec", F.date_trunc("second", "ts")).withColumn("_row", F.monotonically_increasing_id()))
-        first = rows.withColumn("_rn", F.row_number().over(W.partitionBy(*key, "_sec").orderBy("ts", "event_id", "_row"))).filter(F.col("_rn") <= max_per_sec)
-        used = _kept_before(rows.select(*key, "_sec"), f"{path}_seconds", batch_id)
-        if used is not None:
-            on = first["_sec"].eqNullSafe(used["_sec"])
-            for k in key:
-                on &= first[k].eqNullSafe(used[k])
-            first = first.join(used, on, "left").filter(F.col("_rn") + F.coalesce("_kept", F.lit(0)) <= max_per_sec).select(*[first[c] for c in rows.columns])
-        kept = cut(first)
-        kept.drop("_sec", "_row").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        rows.join(kept.select("_row"), "_row", "left_anti").select(batch.columns).write.mode("overwrite").parquet(f"{path}_dropped/batch={batch_id}")
-        kept.groupBy(*key, "_sec").agg(F.count(F.lit(1)).alias("_kept")).write.mode("overwrite").parquet(f"{path}_seconds/batch={batch_id}")
+    def judge(batch: DataFrame) -> DataFrame:
+        whole = F.col("producer_id").isNotNull() & F.col("nonce").isNotNull()
+        return verify_events(batch, enrollment).withColumn("reason", F.coalesce("reason", F.when(~whole, "bad_shape")))
 
-    return step
-
-
-def _kept_before(seconds: DataFrame, path: str, before: int) -> DataFrame | None:
-    """Rows kept by earlier batches per key and second; None before the first one."""
-    from pyspark.errors import AnalysisException
-
-    schema = StructType([StructField(f.name, f.dataType) for f in seconds.schema]).add("_kept", "long").add("batch", "long")
-    try:
-        old = seconds.sparkSession.read.schema(schema).parquet(path).filter(F.col("batch") < before)
-    except AnalysisException:
-        return None
-    return old.groupBy(*seconds.columns).agg(F.sum("_kept").alias("_kept"))
+    return first_seen_step(out, state, ["producer_id", "nonce"], "ts", judge)
 
 
 def channel_health(events: DataFrame, expected: DataFrame, degraded_reasons: Sequence[str] = ()) -> DataFrame:

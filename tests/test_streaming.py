@@ -4,6 +4,7 @@ from hostweave.config import FuseConfig
 from hostweave.operators.merge import fused_campaigns
 from hostweave.operators.sessions import gap_sessions
 from hostweave.streaming import live
+from hostweave.streaming.state import StepState, capped_step, session_step
 from tests.model import SCHEMA, auth, campaigns, frame, leak, walk
 
 HOSTS = ["host-31", "host-32", "host-33"]
@@ -36,16 +37,45 @@ def test_recompute_and_respond_loops(spark, tmp_path):
     assert sorted(proposed) == HOSTS
 
 
-def test_stream_sessions_equal_batch(spark, tmp_path):
-    points = frame(spark, [auth("host-a", "u", 0), auth("host-b", "u", 600), auth("host-a", "u", 1300), auth("host-a", "v", 50), auth("host-a", "z", 90_000)])
-    put(spark, points, str(tmp_path / "src"), 0)
-    stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(str(tmp_path / "src"))
-    out = str(tmp_path / "out")
-    rows = live.session_stream(stream, ["user"], "host_id", 600)
-    live.start(rows, lambda b, i: b.drop("w").write.parquet(f"{out}/batch={i}"), str(tmp_path / "ckpt")).awaitTermination()
-    got = {(r["user"], r["n"]) for r in spark.read.parquet(out).select("user", F.size("entities").alias("n")).collect()}
-    want = {(r["user"], r["n_entities"]) for r in gap_sessions(points, ["user"], "host_id", "ts", 600).filter("user <> 'z'").collect()}
-    assert got == want == {("u", 2), ("u", 1), ("v", 1)}
+def in_batches(spark, whole, parts, step, folder):
+    for n, keep in enumerate(parts):
+        put(spark, whole.filter(keep), f"{folder}/src", n)
+        stream = spark.readStream.schema(whole.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/src")
+        live.start(stream, step, f"{folder}/ckpt").awaitTermination()
+
+
+def statuses(spark, path, name="event_id"):
+    return sorted((r[name], r["status"]) for r in spark.read.parquet(path).collect())
+
+
+def test_stream_sessions_equal_batch_and_late_points_are_kept(spark, tmp_path):
+    """Points come out of order over three batches; what the last watermark closes equals the batch operator."""
+    base = str(tmp_path)
+    points = frame(spark, [
+        auth("host-a", "u", 0), auth("host-b", "u", 600), auth("host-a", "u", 1300), auth("host-a", "v", 50), auth("host-c", "v", 700), auth("host-a", "z", 90_000), auth("host-d", "u", 5),
+    ])
+    step = session_step(f"{base}/out", f"{base}/late", StepState(f"{base}/state", 1000 * 1_000_000), ["user"], "host_id", 600 * 1_000_000)
+    in_batches(spark, points, ["ingest_seq in (0, 2, 4)", "ingest_seq in (1, 3, 5)", "ingest_seq = 6"], step, base)
+    # 1300 closes nothing below 300 for the first batch: host-b at 600 joins, 'v' at 50 and the last point are late
+    late = sorted(r["host_id"] for r in spark.read.parquet(f"{base}/late").collect())
+    assert late == ["host-a", "host-d"]
+    got = {(r["user"], r["n_points"], tuple(r["entities"])) for r in spark.read.parquet(f"{base}/out").collect()}
+    used = points.filter("ingest_seq not in (3, 6) and user <> 'z'")
+    want = {(r["user"], r["n_entities"]) for r in gap_sessions(used, ["user"], "host_id", "ts", 600).collect()}
+    assert {(u, len(e)) for u, _, e in got} == want
+    assert got == {("u", 2, ("host-a", "host-b")), ("u", 1, ("host-a",)), ("v", 1, ("host-c",))}
+
+
+def test_first_seen_forgets_only_below_the_watermark(spark, tmp_path):
+    base = str(tmp_path)
+    rows = [(0, "a", 0), (1, "a", 1), (2, None, 5), (3, "b", 100), (4, "a", 60), (5, "b", 101), (6, "c", 20), (7, None, 130), (8, "a", 95), (9, "d", None)]
+    whole = spark.createDataFrame(rows, "event_id long, key string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    step = live.dedup_step(f"{base}/out", StepState(f"{base}/state", 50 * 1_000_000), ["key"])
+    in_batches(spark, whole, ["event_id < 4", "event_id in (4, 5, 6, 9)", "event_id in (7, 8)"], step, base)
+    want = [(0, "fresh"), (1, "repeat"), (2, "fresh"), (3, "fresh"), (4, "fresh"), (5, "repeat"), (6, "late"), (7, "fresh"), (8, "repeat"), (9, "fresh")]
+    assert statuses(spark, f"{base}/out") == want
+    step(whole.filter("event_id in (7, 8)"), 2)  # a batch that is run again changes nothing
+    assert statuses(spark, f"{base}/out") == want
 
 
 def test_health(spark):
@@ -55,17 +85,15 @@ def test_health(spark):
     assert [rows[k]["degraded"] for k in ("dns", "net", "pf")] == [False, True, True] and rows["pf"]["reason"] == "zero_hits"
 
 
-def test_rate_cap_holds_over_batches_and_keeps_the_dropped_rows(spark, tmp_path):
-    src, out = str(tmp_path / "src"), str(tmp_path / "capped")
-    rows = [("a", i, f"2024-01-01 00:00:00.{i}") for i in range(4)] + [("b", 4, "2024-01-01 00:00:00.5"), (None, 5, "2024-01-01 00:00:00.5"), ("a", 6, "2024-01-01 00:00:01")]
+def test_rate_cap_holds_over_batches_and_every_row_has_a_status(spark, tmp_path):
+    base = str(tmp_path)
+    rows = [("a", i, f"2024-01-01 00:00:00.{i}") for i in range(4)] + [("b", 4, "2024-01-01 00:00:00.5"), (None, 5, "2024-01-01 00:00:00.5"), ("a", 6, "2024-01-01 00:00:30"), ("a", 7, "2024-01-01 00:00:00.9")]
     whole = spark.createDataFrame(rows, "host_id string, event_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
-    step = live.capped_append(out, 3, ["host_id"])
-    for n, keep in enumerate(["event_id in (2, 3, 4)", "event_id in (0, 1, 5, 6)"]):
-        put(spark, whole.filter(keep), src, n)
-        stream = spark.readStream.schema(whole.schema).option("recursiveFileLookup", "true").parquet(src)
-        live.start(stream, step, str(tmp_path / "ckpt")).awaitTermination()
-    def ids(path):
-        return sorted(r.event_id for r in spark.read.parquet(path).collect())
-    assert ids(out) == [0, 2, 3, 4, 5, 6] and ids(f"{out}_dropped") == [1]
-    step(whole.filter("event_id in (0, 1, 5, 6)"), 1)
-    assert ids(out) == [0, 2, 3, 4, 5, 6] and ids(f"{out}_dropped") == [1]
+    step = capped_step(f"{base}/out", StepState(f"{base}/state", 10 * 1_000_000), 3, ["host_id"])
+    in_batches(spark, whole, ["event_id in (2, 3, 4)", "event_id in (0, 1, 5, 6)", "event_id = 7"], step, base)
+    want = [(0, "fresh"), (1, "dropped"), (2, "fresh"), (3, "fresh"), (4, "fresh"), (5, "fresh"), (6, "fresh"), (7, "late")]
+    assert statuses(spark, f"{base}/out") == want
+    step(whole.filter("event_id = 7"), 2)
+    assert statuses(spark, f"{base}/out") == want
+    capped_step(f"{base}/all", StepState(f"{base}/none", 0), 0)(whole, 0)
+    assert {s for _, s in statuses(spark, f"{base}/all")} == {"fresh"}
