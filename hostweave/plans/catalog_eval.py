@@ -23,20 +23,20 @@ c = F.col
 S = lambda *p: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in p])
 NOW = "2026-01-01T00:00:00Z"
 
-# Campaign-like groups: one per (user, k % 4), hosts h0..h6, stages from event types.
-STAGE_SQL = "CASE event_type WHEN 'signup' THEN 'lateral_auth' WHEN 'purchase' THEN 'micro_exfil' WHEN 'view' THEN 'dns_beacon' WHEN 'error' THEN 'recon_fanout' ELSE 'odd' END"
+# Campaign-like groups: two kinds (by value) per (user, k % 4), hosts h0..h6, stages from event types.
+STAGE_SQL = "CASE event_type WHEN 'signup' THEN 'lateral_auth' WHEN 'purchase' THEN 'micro_exfil' WHEN 'view' THEN 'dns_beacon' WHEN 'error' THEN 'recon_fanout' ELSE CASE WHEN k < 20 THEN 'odd' ELSE 'dns_beacon' END END"
 
 
 def _stage():
     et = c("event_type")
-    return F.when(et == "signup", "lateral_auth").when(et == "purchase", "micro_exfil").when(et == "view", "dns_beacon").when(et == "error", "recon_fanout").otherwise("odd")
+    return F.when(et == "signup", "lateral_auth").when(et == "purchase", "micro_exfil").when(et == "view", "dns_beacon").when(et == "error", "recon_fanout").when(c("k") < 20, "odd").otherwise("dns_beacon")
 
 
 def groups(spark, d):
     t = load_telemetry(spark, d).withColumns(
-        {"stage": _stage(), "h": S("h", (F.expr("k div 4") % 7).cast("string")), "pack_id": S("p", c("user_id").cast("string")), "idx": (c("k") % 4).cast("int")}
+        {"stage": _stage(), "h": S("h", (F.expr("k div 4") % 7).cast("string")), "pack_id": S("p", c("user_id").cast("string")), "idx": (c("k") % 4 + F.when(c("value") > 90, 0).otherwise(4)).cast("int")}
     )
-    return t.filter("value > 90 and (stage <> 'odd' or k < 20)")
+    return t
 
 
 def campaign_rows(spark, d):
@@ -51,22 +51,23 @@ def campaign_rows(spark, d):
     return base.join(st, ["pack_id", "idx"]).withColumn("campaign_id", S(c("pack_id"), "-c", c("idx").cast("string")))
 
 
-G = f"""{TEL}, g AS (SELECT *, 'p' || user_id AS pack_id, k % 4 AS idx, {STAGE_SQL} AS stage, 'h' || ((k // 4) % 7) AS h FROM t WHERE value > 90 AND (event_type <> 'click' OR k < 20)),
+G = f"""{TEL}, g AS (SELECT *, 'p' || user_id AS pack_id, k % 4 + CASE WHEN value > 90 THEN 0 ELSE 4 END AS idx, {STAGE_SQL} AS stage, 'h' || ((k // 4) % 7) AS h FROM t),
   cs AS (SELECT pack_id, idx, stage, list_sort(list(DISTINCT h)) AS hosts FROM g GROUP BY ALL),
   ca AS (SELECT pack_id, idx, pack_id || '-c' || idx AS campaign_id, list_sort(list(DISTINCT h)) AS host_ids, CASE WHEN max(value) > 150 THEN 1.0 ELSE 0.8 END::DOUBLE AS score,
     list_sort(list(DISTINCT stage)) AS names, count(DISTINCT stage) AS n_steps FROM g GROUP BY 1, 2),
-  tr AS (SELECT 'p' || user_id AS pack_id, list_sort(list(DISTINCT 'h' || ((k // 4) % 7))) AS truth_hosts, list_sort(list(DISTINCT {STAGE_SQL})) AS truth_stages,
-    CASE WHEN user_id % 5 = 0 THEN 'benign' WHEN user_id % 2 = 0 THEN 'lateral' ELSE 'exfil' END AS family FROM t WHERE value BETWEEN 50 AND 120 AND event_type <> 'click' GROUP BY user_id)"""
+  tr AS (SELECT 'p' || user_id AS pack_id, coalesce(list_sort(list(DISTINCT 'h' || ((k // 4) % 7)) FILTER (WHERE value BETWEEN 50 AND 120 AND event_type <> 'click')), []) AS truth_hosts,
+    coalesce(list_sort(list(DISTINCT {STAGE_SQL}) FILTER (WHERE value BETWEEN 50 AND 120 AND event_type <> 'click')), []) AS truth_stages,
+    CASE WHEN user_id % 5 = 0 THEN 'benign' WHEN user_id % 2 = 0 THEN 'lateral' ELSE 'exfil' END AS family FROM t GROUP BY user_id)"""
 TECH_SQL = "CASE stage WHEN 'lateral_auth' THEN 'T1078,T1021' WHEN 'micro_exfil' THEN 'T1041' WHEN 'dns_beacon' THEN 'T1071.004' WHEN 'recon_fanout' THEN 'T1046' ELSE '' END"
 JAC = "len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))"
 
 
 def truth_rows(spark, d):
     """(pack_id, truth_idx, truth_id, truth_hosts, truth_stages, family), one per pack."""
-    t = load_telemetry(spark, d).filter("value between 50 and 120 and event_type <> 'click'")
+    hit = F.expr("value between 50 and 120 and event_type <> 'click'")
     u = c("user_id")
-    rows = t.groupBy("user_id").agg(
-        F.sort_array(F.collect_set(S("h", (F.expr("k div 4") % 7).cast("string")))).alias("truth_hosts"), F.sort_array(F.collect_set(_stage())).alias("truth_stages")
+    rows = load_telemetry(spark, d).groupBy("user_id").agg(
+        F.sort_array(F.collect_set(F.when(hit, S("h", (F.expr("k div 4") % 7).cast("string"))))).alias("truth_hosts"), F.sort_array(F.collect_set(F.when(hit, _stage()))).alias("truth_stages")
     )
     family = F.when(u % 5 == 0, "benign").when(u % 2 == 0, "lateral").otherwise("exfil")
     return rows.select(S("p", u.cast("string")).alias("pack_id"), F.lit(0).alias("truth_idx"), S("t", u.cast("string")).alias("truth_id"), "truth_hosts", "truth_stages", family.alias("family"))
@@ -218,9 +219,9 @@ def _(spark, d):
 
 
 def many_truths(spark, d):
-    """Up to three truths per pack, so that matching and assignment have real choices."""
-    t = load_telemetry(spark, d).filter("value < 40 and event_type in ('purchase', 'view', 'error')")
-    rows = t.groupBy("user_id", (c("k") % 3).cast("int").alias("truth_idx")).agg(
+    """Up to five truths per pack, so that matching and assignment have real choices."""
+    place = F.when(F.expr("value < 40 and event_type in ('purchase', 'view', 'error')"), c("k") % 3).otherwise(3 + c("k") % 2)
+    rows = load_telemetry(spark, d).groupBy("user_id", place.cast("int").alias("truth_idx")).agg(
         F.sort_array(F.collect_set(S("h", (F.expr("k div 4") % 7).cast("string")))).alias("truth_hosts"), F.sort_array(F.collect_set(_stage())).alias("truth_stages")
     )
     pack = S("p", c("user_id").cast("string"))
@@ -436,7 +437,7 @@ def _(spark, d):
     return fl.assign_truths(cut(pred_rows(spark, d)), cut(many_truths(spark, d))).select("pack_id", "truth_id", "campaign_id", r6("jaccard"))
 
 
-MT = f"""{G}, mt AS (SELECT 'p' || user_id AS pack_id, k % 3 AS ti, list_sort(list(DISTINCT 'h' || ((k // 4) % 7))) AS th FROM t WHERE value < 40 AND event_type IN ('purchase', 'view', 'error') GROUP BY ALL),
+MT = f"""{G}, mt AS (SELECT 'p' || user_id AS pack_id, CASE WHEN value < 40 AND event_type IN ('purchase', 'view', 'error') THEN k % 3 ELSE 3 + k % 2 END AS ti, list_sort(list(DISTINCT 'h' || ((k // 4) % 7))) AS th FROM t GROUP BY ALL),
   ru AS (SELECT pack_id FROM mt GROUP BY 1 HAVING count(DISTINCT th) = count(*)),
   cp AS (SELECT a.pack_id, a.ti AS ta, b.ti AS tb, arg_min(campaign_id, idx) AS campaign_id FROM mt a JOIN mt b ON a.pack_id = b.pack_id AND a.ti < b.ti JOIN ru ON ru.pack_id = a.pack_id JOIN ca ON ca.pack_id = a.pack_id
     WHERE len(list_intersect(host_ids, a.th)) / len(a.th) >= 0.5 AND len(list_intersect(host_ids, b.th)) / len(b.th) >= 0.5
@@ -502,13 +503,13 @@ def _(spark, d):
     return rows.select("user_id", fl.fleet_verdict().alias("verdict"))
 
 
-HO = f"""{G}, hs AS (SELECT DISTINCT 'p' || user_id AS pack_id, 'h' || ((k // 4) % 7) AS host FROM t), tt AS (SELECT DISTINCT pack_id, unnest(truth_hosts) AS host FROM tr), ff AS (SELECT DISTINCT pack_id, h AS host FROM g),
-  pp AS (SELECT DISTINCT pack_id, h AS host FROM g WHERE stage = 'micro_exfil'), oc AS (SELECT hs.*, (pack_id, host) IN (SELECT (pack_id, host) FROM tt) AS co, (pack_id, host) IN (SELECT (pack_id, host) FROM ff) AS fg, (pack_id, host) IN (SELECT (pack_id, host) FROM pp) AS pr FROM hs)"""
+HO = f"""{G}, hs AS (SELECT DISTINCT 'p' || user_id AS pack_id, 'h' || ((k // 4) % 7) AS host FROM t), tt AS (SELECT DISTINCT pack_id, unnest(truth_hosts) AS host FROM tr), ff AS (SELECT DISTINCT pack_id, h AS host FROM g WHERE idx < 4),
+  pp AS (SELECT DISTINCT pack_id, h AS host FROM g WHERE idx < 4 AND stage = 'micro_exfil'), oc AS (SELECT hs.*, (pack_id, host) IN (SELECT (pack_id, host) FROM tt) AS co, (pack_id, host) IN (SELECT (pack_id, host) FROM ff) AS fg, (pack_id, host) IN (SELECT (pack_id, host) FROM pp) AS pr FROM hs)"""
 
 
 def outcome_rows(spark, d):
     hosts = load_telemetry(spark, d).select(S("p", c("user_id").cast("string")).alias("pack_id"), S("h", (F.expr("k div 4") % 7).cast("string")).alias("host"))
-    g = groups(spark, d).select("pack_id", c("h").alias("host"), "stage")
+    g = groups(spark, d).filter("idx < 4").select("pack_id", c("h").alias("host"), "stage")  # the campaigns of one kind
     truth = truth_rows(spark, d).select("pack_id", F.explode("truth_hosts").alias("host"))
     return fl.host_outcomes(hosts, truth, g, g.filter("stage = 'micro_exfil'"))
 
@@ -518,9 +519,9 @@ def _(spark, d):
     return outcome_rows(spark, d).select("pack_id", "host", "compromised", "flagged", "missed", "proposed", "saved", "contained", "false_proposal")
 
 
-@query("e28_recovered", f"WITH {HO} SELECT pack_id, host, (pack_id, host) IN (SELECT ('p' || user_id, 'h' || ((k // 4) % 7)) FROM t WHERE value > 60) AS recovered FROM oc WHERE co AND NOT fg")
+@query("e28_recovered", f"WITH {HO} SELECT pack_id, host, (pack_id, host) IN (SELECT ('p' || user_id, CASE WHEN value > 60 THEN 'h' ELSE 'quiet-' END || ((k // 4) % 7)) FROM t) AS recovered FROM oc WHERE co AND NOT fg")
 def _(spark, d):
-    seen = load_telemetry(spark, d).filter("value > 60").select(S("p", c("user_id").cast("string")).alias("pack_id"), S("h", (F.expr("k div 4") % 7).cast("string")).alias("host"))
+    seen = load_telemetry(spark, d).select(S("p", c("user_id").cast("string")).alias("pack_id"), S(F.when(c("value") > 60, "h").otherwise("quiet-"), (F.expr("k div 4") % 7).cast("string")).alias("host"))
     return fl.recovered_on_replay(outcome_rows(spark, d).filter("missed").select("pack_id", "host"), seen)
 
 
@@ -547,13 +548,13 @@ def _(spark, d):
 
 
 STEPS = f"""{TEL}, st AS (SELECT 'p' || user_id AS pack_id, ingest_seq AS step_no, CASE payload_type WHEN 'auth' THEN 'auth' ELSE 'exfil' END AS kind, 'h' || (k % 5) AS host, k AS off,
-  CASE WHEN k % 9 = 0 THEN 'FIRST_COMPROMISE method=phish x' WHEN k % 9 = 1 THEN 'uses method=m' || (k % 4) || ' tail' WHEN k % 9 = 2 THEN 'plain note' END AS note FROM t WHERE value > 20)"""
+  CASE WHEN k % 9 = 0 THEN 'FIRST_COMPROMISE method=phish x' WHEN k % 9 = 1 THEN 'uses method=m' || (k % 4) || ' tail' WHEN k % 9 = 2 THEN 'plain note' END AS note FROM t)"""
 
 
 def attack_steps(spark, d):
     k = c("k")
     note = F.when(k % 9 == 0, "FIRST_COMPROMISE method=phish x").when(k % 9 == 1, S("uses method=m", (k % 4).cast("string"), " tail")).when(k % 9 == 2, "plain note")
-    return load_telemetry(spark, d).filter("value > 20").select(
+    return load_telemetry(spark, d).select(
         S("p", c("user_id").cast("string")).alias("pack_id"), c("ingest_seq").alias("step_no"), F.when(c("payload_type") == "auth", "auth").otherwise("exfil").alias("kind"), S("h", (k % 5).cast("string")).alias("host"),
         k.cast("double").alias("offset_seconds"), "user", F.lit(None).cast("string").alias("technique"), note.alias("note"),
     )
@@ -584,9 +585,9 @@ def _(spark, d):
     return fl.retry_summary(verdict_rows(spark, d).withColumn("matched", c("jaccard") >= 0.5))
 
 
-@query("e34_stable_residuals", f"WITH {TEL}, r AS (SELECT DISTINCT user_id % 8 AS attempt, 'h' || (k % 50) AS host FROM t WHERE value > 150) SELECT host, count(*) AS n FROM r GROUP BY 1 HAVING count(*) >= 4")
+@query("e34_stable_residuals", f"WITH {TEL}, r AS (SELECT DISTINCT user_id % 8 AS attempt, CASE WHEN value > 150 THEN 'h' ELSE 'low' END || (k % 50) AS host FROM t) SELECT host, count(*) AS n FROM r GROUP BY 1 HAVING count(*) >= 4")
 def _(spark, d):
-    rows = load_telemetry(spark, d).filter("value > 150").select((c("user_id") % 8).alias("attempt"), S("h", (c("k") % 50).cast("string")).alias("host")).distinct()
+    rows = load_telemetry(spark, d).select((c("user_id") % 8).alias("attempt"), S(F.when(c("value") > 150, "h").otherwise("low"), (c("k") % 50).cast("string")).alias("host")).distinct()
     return fl.stable_residuals(rows, 8)
 
 
@@ -778,7 +779,7 @@ def _(spark, d):
     return closed.unionByName(late)
 
 
-STREAM_CFG = FuseConfig(window_seconds=3600, resume_window_seconds=7200, recon_min_distinct=101)
+STREAM_CFG = FuseConfig(window_seconds=3600, resume_window_seconds=7200, recon_min_distinct=98)
 
 
 def _recomputed(spark, d):

@@ -193,14 +193,15 @@ def _(spark, d):
 @query(
     "n19_s05_captured",
     f"""WITH {TEL} SELECT ingest_seq AS pos, CASE WHEN event_type = 'purchase' THEN 'firewall' WHEN payload_type = 'auth' THEN 'security' ELSE 'sysmon' END AS channel, host_id,
-    usr AS "user", dst_ip, query, ts_utc FROM t WHERE event_type <> 'error'""",
+    usr AS "user", dst_ip, query, ts_utc FROM t""",
 )
 def _(spark, d):
-    ev = load_telemetry(spark, d).filter("event_type <> 'error'")
+    ev = load_telemetry(spark, d)
     et = c("event_type")
     body = (
         F.when(et == "purchase", S('"Channel":"Security","EventID":5156,"DestAddress":"', c("dst_ip"), '"'))
         .when(et == "signup", S('"Channel":"Security","EventID":4624,"TargetUserName":"', c("user"), '"'))
+        .when(et == "error", S('"Channel":"Security","EventID":4625,"TargetUserName":"', c("user"), '"'))
         .when(et == "view", S('"channel":"Microsoft-Windows-Sysmon/Operational","EventID":22,"QueryName":"', c("query"), '"'))
         .otherwise(S('"channel":"Microsoft-Windows-Sysmon/Operational","EventID":3,"DestinationIp":"', c("dst_ip"), '"'))
     )
@@ -454,9 +455,9 @@ def _(spark, d):
     return text_logs.parse_process_list(load_telemetry(spark, d).select("ingest_seq", line.alias("value"))).select("ingest_seq", "user", "pid", "image", "command_line")
 
 
-@query("s11_allowlist", f"WITH {TEL} SELECT 'sysmon' AS channel, CAST(k AS VARCHAR) AS event_kind FROM t WHERE k < 9 GROUP BY k UNION ALL SELECT * FROM (VALUES ('security','4624'),('security','4625'),('security','4648'),('firewall','2004'),('firewall','2005'),('firewall','2006'),('firewall','5156'),('firewall','5157'),('powershell','4103'),('powershell','4104'))")
+@query("s11_allowlist", f"WITH {TEL} SELECT 'sysmon' AS channel, CAST(k AS VARCHAR) AS event_kind FROM t GROUP BY k UNION ALL SELECT * FROM (VALUES ('security','4624'),('security','4625'),('security','4648'),('firewall','2004'),('firewall','2005'),('firewall','2006'),('firewall','5156'),('firewall','5157'),('powershell','4103'),('powershell','4104'))")
 def _(spark, d):
-    ids = load_telemetry(spark, d).filter("k < 9").select("k").distinct()
+    ids = load_telemetry(spark, d).select("k").distinct()
     docs = ids.groupBy().agg(F.to_json(F.struct(F.struct(F.collect_list("k").alias("Microsoft-Windows-Sysmon/Operational")).alias("allowlist"))).alias("value"))
     return dimensions.parse_allowlist(docs, windows_allow(spark), dimensions.WINDOWS_ALIASES)
 
@@ -617,14 +618,14 @@ def _(spark, d):
 
 @query(
     "a10_chain",
-    f"""WITH {TEL}, b AS (SELECT user_id % 50 AS run_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ingest_seq) AS seq, k, host_id FROM t WHERE event_type = 'purchase')
+    f"""WITH {TEL}, b AS (SELECT user_id % 50 AS run_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ingest_seq) AS seq, k, host_id FROM t)
     SELECT run_id, seq, (seq < 3) AS valid FROM b""",
 )
 def _(spark, d):
     """Entries of every run are chained; then the third one is changed, which breaks it and all after it by one link."""
     from hostweave.session import with_rank
 
-    ev = load_telemetry(spark, d).filter("event_type = 'purchase'").withColumn("run_id", c("user_id") % 50)
+    ev = load_telemetry(spark, d).withColumn("run_id", c("user_id") % 50)
     rows = with_rank(ev, ["ingest_seq"], "seq", ["run_id"]).select("run_id", "seq", F.lit("campaign_upsert").alias("kind"), F.to_json(F.struct("host_id", "k")).alias("payload"))
     log = trust.append_chain(rows).withColumn("entry_hash", F.when(c("seq") >= 3, F.sha2(F.concat("entry_hash", F.lit("x")).cast("binary"), 256)).otherwise(c("entry_hash")))
     return trust.verify_chain(log, ["run_id"]).select("run_id", "seq", "valid")

@@ -1,10 +1,16 @@
 import random
 from functools import reduce
 
+import duckdb
 from pyspark.sql import DataFrame
 
 from hostweave.config import FuseConfig
+from hostweave.operators import fuse, merge
 from hostweave.operators.merge import fused_campaigns
+from hostweave.plans import catalog_signals as signals
+from hostweave.plans.telemetry import load_telemetry
+from hostweave.session import cut
+from tests.fold_sql import fold_sql
 from tests.model import auth, campaigns, dns, exfil, frame, leak, walk
 
 
@@ -91,3 +97,24 @@ def test_random_events_match_model(spark):
     }
     want = {n: set(campaigns(s, window=window, recon_min=recon)) for n, s in packs.items()}
     assert fuse_packs(spark, packs, recon_min_distinct=recon, window_seconds=window) == want
+
+
+def test_merge_equals_sql_over_the_given_events(spark):
+    """The whole event table of the smallest scale, fan-out hosts included, against the recursive SQL."""
+    sf = "/root/testdata/sf0.001"
+    cfg = FuseConfig(window_seconds=3600, resume_window_seconds=7200, recon_min_distinct=28)
+    events = load_telemetry(spark, sf)
+    items, facts = fuse.cluster_items(events, cfg)
+    recon = fuse.recon_hosts(events, cfg)
+    merged = merge.merge_clusters(items, cut(facts), cut(recon), cfg)
+    everyone = {r["host"] for r in recon.collect()}
+    got = {(r["campaign_id"], r["ord"], r["t0"], r["t1"], len(r["stages"]), tuple(sorted(set(r["plain"]) | (everyone if r["absorbs_recon"] else set())))) for r in merged.collect()}
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    wide = "recon AS (SELECT host_id AS host FROM t WHERE payload_type = 'net_conn' GROUP BY 1 HAVING count(DISTINCT dst_ip) >= 28)"
+    rows = con.execute(
+        f"WITH RECURSIVE {signals.TEL}, {signals.CLU_SQL}, {wide}, {fold_sql(cfg.window_us, cfg.resume_us, cfg.min_hosts)} SELECT x.cid, x.ord, x.t0, x.t1, len(x.st), x.h FROM folded"
+    ).fetchall()
+    assert got == {(c, o, a, z, n, tuple(h)) for c, o, a, z, n, h in rows}
+    assert len(everyone) >= 2 and any(n > 1 for _, _, _, _, n, _ in rows)
