@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.functions.timestamps import normal_time, normal_time_seconds
-from hostweave.session import cut, not_blank, with_rank
+from hostweave.session import cut, not_blank, with_place_rank
 from hostweave.sources.dimensions import MACOS_ALIASES, WINDOWS_ALIASES, alias_channel, map_hosts, normal_kind
 
 PAYLOAD_COLUMNS = (
@@ -194,7 +194,7 @@ def windows_mapping() -> dict[str, Column]:
 
 def _number_events(rows: DataFrame, prefix: str, producer_id: str, digits: int) -> DataFrame:
     """Ids ``prefix-channel-host-00001`` by input order within each source."""
-    ranked = with_rank(cut(rows), ["pos"], "seq", ["source"])  # parsed once, not again for the sort's sample
+    ranked = with_place_rank(cut(rows), "pos", "seq", ["source"])  # parsed once, not again for the counts
     padded = F.when(F.length(F.col("seq").cast("string")) >= digits, F.col("seq").cast("string")).otherwise(
         F.lpad(F.col("seq").cast("string"), digits, "0")
     )
@@ -382,7 +382,7 @@ def adapt_macos(
 ) -> tuple[DataFrame, DataFrame]:
     """(events, mapped rows). A supplied id is kept; others count the record's place in its source."""
     mapped = map_macos(records, allowlist, ingest_ts, host_map, channels, default_host)
-    placed = with_rank(cut(mapped), ["pos"], "place", ["source"]).filter("adapted").drop("adapted")
+    placed = with_place_rank(cut(mapped), "pos", "place", ["source"]).filter("adapted").drop("adapted")
     made = F.concat_ws("-", F.lit(id_prefix), "channel", "event_kind", (F.col("place") - 1).cast("string"))
     out = placed.withColumn("event_id", F.coalesce(not_blank("given_id"), made))
     nonce = F.substring(F.sha2(F.concat_ws("|", "event_id", "ts_utc", "host_id").cast("binary"), 256), 1, 24)

@@ -623,9 +623,9 @@ def _(spark, d):
 )
 def _(spark, d):
     """Entries of every run are chained; then the third one is changed, which breaks it and all after it by one link."""
-    from hostweave.session import with_rank
+    from hostweave.session import with_place_rank
 
     ev = load_telemetry(spark, d).withColumn("run_id", c("user_id") % 50)
-    rows = with_rank(ev, ["ingest_seq"], "seq", ["run_id"]).select("run_id", "seq", F.lit("campaign_upsert").alias("kind"), F.to_json(F.struct("host_id", "k")).alias("payload"))
+    rows = with_place_rank(ev, "ingest_seq", "seq", ["run_id"]).select("run_id", "seq", F.lit("campaign_upsert").alias("kind"), F.to_json(F.struct("host_id", "k")).alias("payload"))
     log = trust.append_chain(rows).withColumn("entry_hash", F.when(c("seq") >= 3, F.sha2(F.concat("entry_hash", F.lit("x")).cast("binary"), 256)).otherwise(c("entry_hash")))
     return trust.verify_chain(log, ["run_id"]).select("run_id", "seq", "valid")

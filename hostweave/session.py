@@ -104,6 +104,21 @@ def with_rank(df: DataFrame, order: Sequence[str], name: str, by: Sequence[str]
     return ranked.join(first, list(by)).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
 
 
+def with_place_rank(df: DataFrame, place: str, name: str, by: Sequence[str] = (), chunk: int = 1 << 16) -> DataFrame:
+    """1-based number of each row in the order of the whole number ``place`` within ``by``, from prefix offsets.
+
+    Rows are cut into chunks of places. A row's number is its place among the rows of its chunk plus the rows of the chunks before it:
+    one shuffle by chunk and no global sort; only one count per chunk is brought together. ``by`` must not be null.
+    """
+    rows = df.withColumn("_chunk", F.floor(F.col(place) / chunk))
+    part = [*by, "_chunk"]
+    counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    order = (W.partitionBy(*by) if by else W.partitionBy()).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(*part, F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
+    ranked = rows.withColumn(name, F.row_number().over(W.partitionBy(*part).orderBy(place)))
+    return ranked.join(before, part).withColumn(name, F.col(name) + F.col("_before")).drop("_chunk", "_before")
+
+
 def not_blank(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.when(c != "", c)
