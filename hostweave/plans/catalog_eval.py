@@ -228,7 +228,24 @@ def many_truths(spark, d):
     return rows.select(pack.alias("pack_id"), "truth_idx", S(pack, "-t", c("truth_idx").cast("string")).alias("truth_id"), "truth_hosts", "truth_stages", F.lit("attack").alias("family"))
 
 
-@query("e02_greedy_matches_many")
+MANY_SQL = f"""{G}, mt2 AS (SELECT 'p' || user_id AS pack_id, CASE WHEN value < 40 AND event_type IN ('purchase', 'view', 'error') THEN k % 3 ELSE 3 + k % 2 END AS ti,
+    list_sort(list(DISTINCT 'h' || ((k // 4) % 7))) AS th, list_sort(list(DISTINCT {STAGE_SQL})) AS ts FROM t GROUP BY 1, 2)"""
+# The greedy pass: the best pair of every pack, then what shares neither end with it, again.
+GREEDY_SQL = f"""{MANY_SQL}, pm AS (SELECT pack_id, idx, ti, campaign_id, {JAC.format(a='host_ids', b='th')} AS j FROM ca JOIN mt2 USING (pack_id) WHERE list_has_any(names, ts)),
+  s0 AS (SELECT pack_id, list({{'i': idx, 't': ti, 'c': campaign_id, 'j': j}} ORDER BY j DESC, idx DESC, ti DESC) AS l FROM pm WHERE j >= 0.5 GROUP BY 1),
+  gr(pack_id, l, m) AS (SELECT pack_id, l, l[len(l) + 1] FROM s0 UNION ALL SELECT pack_id, list_filter(l, lambda q: q.i <> l[1].i AND q.t <> l[1].t), l[1] FROM gr WHERE len(l) > 0)"""
+# Truths in order, each taking the best campaign left (the earliest on ties).
+ASSIGN_SQL = f"""{MANY_SQL}, tl AS (SELECT pack_id, list({{'ti': ti, 'th': th}} ORDER BY ti) AS tl, count(DISTINCT th) < count(*) AS reuse FROM mt2 GROUP BY 1),
+  pl AS (SELECT pack_id, list({{'i': idx, 'c': campaign_id, 'h': host_ids}} ORDER BY idx) AS pl FROM ca GROUP BY 1),
+  ar(pack_id, n, used, ti, w) AS (SELECT pack_id, 0, []::BIGINT[], NULL::INTEGER, NULL::STRUCT(j DOUBLE, i BIGINT, c VARCHAR) FROM tl
+    UNION ALL SELECT pack_id, n + 1, CASE WHEN w IS NULL THEN used ELSE list_append(used, w.i) END, tr.ti, w FROM (
+      SELECT pack_id, n, used, tr, list_sort(list_transform(list_filter(pl, lambda q: reuse OR NOT list_contains(used, q.i)),
+        lambda q: {{'j': -({JAC.format(a='q.h', b='tr.th')}), 'i': q.i, 'c': q.c}}))[1]::STRUCT(j DOUBLE, i BIGINT, c VARCHAR) AS w
+      FROM (SELECT ar.pack_id, n, used, tl[n + 1] AS tr, reuse, pl FROM ar JOIN tl USING (pack_id) LEFT JOIN pl USING (pack_id) WHERE n < len(tl)))),
+  asg AS (SELECT pack_id, ti, w.c AS campaign_id, coalesce(-w.j, 0.0) AS j FROM ar WHERE ti IS NOT NULL)"""
+
+
+@query("e02_greedy_matches_many", f"WITH RECURSIVE {GREEDY_SQL} SELECT pack_id, m.c AS campaign_id, pack_id || '-t' || m.t AS truth_id, round(m.j, 6) AS jaccard FROM gr WHERE m IS NOT NULL")
 def _(spark, d):
     return ev.greedy_matches(cut(ev.match_pairs(pred_rows(spark, d), many_truths(spark, d)))).select("pack_id", "campaign_id", "truth_id", r6("jaccard"))
 
@@ -432,7 +449,7 @@ def _(spark, d):
     return fl.benign_gate(rows.withColumn("corpus_kind", F.when(c("user_id") % 3 == 0, "mixed").otherwise("pure_benign"))).select("user_id", "gate")
 
 
-@query("e22_truth_assignment")
+@query("e22_truth_assignment", f"WITH RECURSIVE {ASSIGN_SQL} SELECT pack_id, pack_id || '-t' || ti AS truth_id, campaign_id, round(j, 6) AS jaccard FROM asg")
 def _(spark, d):
     return fl.assign_truths(cut(pred_rows(spark, d)), cut(many_truths(spark, d))).select("pack_id", "truth_id", "campaign_id", r6("jaccard"))
 
@@ -450,7 +467,13 @@ def _(spark, d):
     return fl.collapsed_pairs(cut(pred_rows(spark, d)), cut(many_truths(spark, d))).select("truth_a", "truth_b", "campaign_id")
 
 
-@query("e24_ambiguity_margin")
+@query(
+    "e24_ambiguity_margin",
+    f"""WITH RECURSIVE {ASSIGN_SQL}, {MT[len(G) + 2:]}, pr AS (SELECT pack_id, min(j) AS mj, count(*) AS n, count(DISTINCT campaign_id) FILTER (WHERE j >= 0.9) AS ids FROM asg GROUP BY 1),
+    sc AS (SELECT ca.pack_id, min(score) FILTER (WHERE m.campaign_id IS NOT NULL) AS low, max(score) FILTER (WHERE m.campaign_id IS NULL) AS high
+      FROM ca LEFT JOIN (SELECT DISTINCT campaign_id FROM asg WHERE j >= 0.9) m USING (campaign_id) GROUP BY 1)
+    SELECT pack_id, CASE WHEN pack_id NOT IN (SELECT pack_id FROM cp) AND mj >= 0.9 AND ids >= n THEN round(low - coalesce(high, 0.0), 4) END AS ambiguity_margin FROM pr LEFT JOIN sc USING (pack_id)""",
+)
 def _(spark, d):
     preds, truths = cut(pred_rows(spark, d)), cut(many_truths(spark, d))
     return fl.ambiguity_margin(preds, fl.assign_truths(preds, truths), fl.collapsed_pairs(preds, truths)).select("pack_id", "ambiguity_margin")
