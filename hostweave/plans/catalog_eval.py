@@ -16,6 +16,7 @@ from hostweave.plans.catalog_base import TEL, joined, query, r6
 from hostweave.plans.catalog_normal import enrollment, payloads
 from hostweave.plans.telemetry import load_telemetry, telemetry
 from hostweave.session import cut, shared_folder
+from hostweave.sources.sinks import read_campaigns
 from hostweave.streaming import live
 from hostweave.streaming.state import StepState, capped_step, session_step
 
@@ -813,7 +814,7 @@ def _recomputed(spark, d):
 
 @query("t06_recomputed_campaigns")
 def _(spark, d):
-    return spark.read.parquet(f"{_recomputed(spark, d)}/campaigns").select("campaign_id", joined("host_ids"), F.size("stages").alias("n_stages"), r6("score"))
+    return read_campaigns(spark, f"{_recomputed(spark, d)}/campaigns").select("campaign_id", joined("host_ids"), F.size("stages").alias("n_stages"), r6("score"))
 
 
 @query("t07_respond_loop")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hostweave.functions.signing import payload_digest
@@ -9,7 +11,7 @@ from hostweave.functions.text import safe_id
 from hostweave.operators import feed, normalize, reconstruct, trust
 from hostweave.plans.catalog_base import TEL, joined, query
 from hostweave.plans.telemetry import load_telemetry
-from hostweave.session import shared_folder
+from hostweave.session import cut, shared_folder
 from hostweave.sources import dimensions, exports, manifests, sinks, text_logs
 
 INGEST = "2030-01-01T00:00:00.000000Z"
@@ -493,6 +495,27 @@ def _(spark, d):
     return sinks.latest_campaigns(load_telemetry(spark, d).select(S("c", c("k").cast("string")).alias("campaign_id"), c("ingest_seq").alias("seq"), "host_id"))
 
 
+@query(
+    "s15_replaced_run",
+    f"""WITH {TEL}, c AS (SELECT 'c' || k AS campaign_id, k, max(ingest_seq) AS seq FROM t GROUP BY k)
+    SELECT 'before' AS state, campaign_id, seq FROM c UNION ALL SELECT 'after', campaign_id, seq FROM c WHERE k >= 50 UNION ALL SELECT 'other', campaign_id, seq FROM c WHERE k % 2 = 0""",
+)
+def _(spark, d):
+    """A reader that began before a run was replaced still has the whole old set; the other run is untouched."""
+    rows = cut(load_telemetry(spark, d).groupBy("k").agg(F.max("ingest_seq").alias("seq")).withColumn("campaign_id", S("c", c("k").cast("string"))))
+    path = f"{shared_folder(spark)}/campaigns-{uuid.uuid4().hex}"
+    sinks.write_campaigns(rows, path, "run/1")
+    sinks.write_campaigns(rows.filter("k % 2 = 0"), path, "2")
+    before = sinks.read_campaigns(spark, path, "run/1")
+    sinks.write_campaigns(rows.filter("k >= 50"), path, "run/1")
+    parts = {"before": before, "after": sinks.read_campaigns(spark, path, "run/1"), "other": sinks.read_campaigns(spark, path).filter("run_id = '2'")}
+    out = None
+    for state, part in parts.items():
+        part = part.select(F.lit(state).alias("state"), "campaign_id", "seq")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("s16_prevention_log", f"WITH {TEL} SELECT ingest_seq AS seq, 'c' || k AS campaign_id, host_id AS hosts FROM t WHERE k % 10 <> 3 ORDER BY ingest_seq DESC LIMIT 200")
 def _(spark, d):
     ev = load_telemetry(spark, d)

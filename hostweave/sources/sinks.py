@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +29,65 @@ def latest_campaigns(rows: DataFrame) -> DataFrame:
     return rows.groupBy("campaign_id").agg(F.max_by(F.struct(*others), "seq").alias("_r")).select("campaign_id", "_r.*").select(*rows.columns)
 
 
+CURRENT = "run_key string, version long"
+
+
+def _run_key(run_id: str) -> str:
+    return f"r{run_id.encode().hex()}"  # safe as a folder name, and never read as a number
+
+
+def _current(spark: SparkSession, path: str) -> DataFrame | None:
+    """(run_key, version): the version of each run that readers take; None before the first write."""
+    try:
+        return spark.read.schema(CURRENT).parquet(f"{path}/current").groupBy("run_key").agg(F.max("version").alias("version"))
+    except AnalysisException:
+        return None
+
+
 def write_campaigns(campaigns: DataFrame, path: str, run_id: str) -> None:
-    """Replace a run's whole set of campaigns, also by none; other runs stay."""
-    campaigns.drop("run_id").write.mode("overwrite").parquet(f"{path}/run_id={quote(run_id, safe='')}")
+    """Replace a run's whole set of campaigns, also by none; other runs stay.
+
+    The set is written as a new version, and only then becomes the current one by a record of one row. So a reader sees
+    the old set or the new one, whole, also while a replacement runs or after one that failed. One writer per run at a time.
+    """
+    spark, key = campaigns.sparkSession, _run_key(run_id)
+    now = _current(spark, path)
+    last = None if now is None else now.filter(F.col("run_key") == key).agg(F.max("version")).first()[0]
+    version = 0 if last is None else last + 1
+    rows = campaigns.drop("run_id").withColumn("run_id", F.lit(run_id))
+    rows.write.mode("overwrite").parquet(f"{path}/data/run_key={key}/version={version}")
+    spark.createDataFrame([(key, version)], CURRENT).coalesce(1).write.mode("append").parquet(f"{path}/current")
 
 
 def read_campaigns(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df if run_id is None else df.filter(F.col("run_id") == run_id)
+    """The current campaigns of all runs or one, with ``run_id``."""
+    now = _current(spark, path)
+    if now is None:
+        raise FileNotFoundError(f"{path}: no campaigns were written")
+    rows = spark.read.parquet(f"{path}/data").withColumn("version", F.col("version").cast("long"))
+    if run_id is not None:
+        # one run: its version is read now, so the scan is pruned to one folder
+        version = now.filter(F.col("run_key") == _run_key(run_id)).agg(F.max("version")).first()[0]
+        rows = rows.filter((F.col("run_key") == _run_key(run_id)) & (F.col("version") == F.lit(version)))
+        return rows.drop("run_key", "version")
+    return rows.join(now, ["run_key", "version"], "left_semi").drop("run_key", "version")
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Delete the versions of each run before its last ``keep`` ones (readers may still hold those); returns how many went."""
+    from pyarrow.fs import FileSelector, FileType
+
+    from hostweave.sources.tailing import open_folder
+
+    now = _current(spark, path)
+    fs, root = open_folder(f"{path}/data")
+    gone = 0
+    for key, version in [] if now is None else now.toLocalIterator():
+        for found in fs.get_file_info(FileSelector(f"{root}/run_key={key}", allow_not_found=True)):
+            if found.type == FileType.Directory and int(found.base_name.removeprefix("version=")) <= version - keep:
+                fs.delete_dir(found.path)
+                gone += 1
+    return gone
 
 
 PREVENTION = (

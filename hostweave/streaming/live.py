@@ -18,7 +18,7 @@ from hostweave.operators.merge import fused_campaigns
 from hostweave.operators.reconstruct import isolation_hosts, reconstruct
 from hostweave.operators.trust import verify_events
 from hostweave.schema import ENVELOPE
-from hostweave.sources.sinks import write_campaigns
+from hostweave.sources.sinks import read_campaigns, write_campaigns
 from hostweave.sources.tailing import TailedLines
 from hostweave.streaming.state import StepState, first_seen_step
 
@@ -94,7 +94,7 @@ def respond_step(spark: SparkSession, campaigns_path: str, proposals_path: str)
     """``foreachBatch`` step: propose (dry run) hosts of the current campaigns that were not proposed yet."""
 
     def step(_: DataFrame, batch_id: int) -> None:
-        hosts = isolation_hosts(reconstruct(spark.read.parquet(campaigns_path).drop("run_id")))
+        hosts = isolation_hosts(reconstruct(read_campaigns(spark, campaigns_path).drop("run_id")))
         seen = _try_read(spark, proposals_path, batch_id)
         fresh = hosts if seen is None else hosts.join(seen, "host_id", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{proposals_path}/batch={batch_id}")

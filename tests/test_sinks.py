@@ -1,4 +1,4 @@
-from hostweave.sources.sinks import read_campaigns, write_campaigns
+from hostweave.sources.sinks import drop_old_versions, read_campaigns, write_campaigns
 
 
 def test_a_run_is_replaced_by_nothing_and_others_stay(spark, tmp_path):
@@ -9,3 +9,24 @@ def test_a_run_is_replaced_by_nothing_and_others_stay(spark, tmp_path):
     write_campaigns(df.limit(0), path, "run/a")
     assert read_campaigns(spark, path, "run/a").count() == 0
     assert [r.run_id for r in read_campaigns(spark, path).collect()] == ["run-b"]
+
+
+def test_readers_keep_the_set_they_began_with(spark, tmp_path):
+    path = str(tmp_path / "campaigns")
+
+    def rows(*ids):
+        return spark.createDataFrame([(i, 1.0) for i in ids], "campaign_id string, score double")
+
+    write_campaigns(rows("a", "b"), path, "1/é")
+    write_campaigns(rows("x"), path, "01")
+    before, before_all = read_campaigns(spark, path, "1/é"), read_campaigns(spark, path)
+    # a replacement that fails half way leaves the current set as it was
+    rows("z").write.parquet(f"{path}/data/run_key=r{'1/é'.encode().hex()}/version=1")
+    assert sorted(r.campaign_id for r in read_campaigns(spark, path, "1/é").collect()) == ["a", "b"]
+    write_campaigns(rows("c"), path, "1/é")
+    assert sorted(r.campaign_id for r in before.collect()) == ["a", "b"]
+    assert sorted((r.run_id, r.campaign_id) for r in before_all.collect()) == [("01", "x"), ("1/é", "a"), ("1/é", "b")]
+    assert sorted((r.run_id, r.campaign_id) for r in read_campaigns(spark, path).collect()) == [("01", "x"), ("1/é", "c")]
+    write_campaigns(rows("d"), path, "1/é")
+    assert drop_old_versions(spark, path) == 1
+    assert [r.campaign_id for r in read_campaigns(spark, path, "1/é").collect()] == ["d"]

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from hostweave.config import FuseConfig
 from hostweave.operators.merge import fused_campaigns
 from hostweave.operators.sessions import gap_sessions
+from hostweave.sources.sinks import read_campaigns
 from hostweave.streaming import live
 from hostweave.streaming.state import StepState, capped_step, session_step
 from tests.model import SCHEMA, auth, campaigns, frame, leak, walk
@@ -30,7 +31,7 @@ def test_recompute_and_respond_loops(spark, tmp_path):
         put(spark, whole.filter(keep), src, n)
         stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(src)
         live.start(stream, both, str(tmp_path / "ckpt")).awaitTermination()
-    got = {(r["campaign_id"], tuple(r["host_ids"])) for r in spark.read.parquet(camps).collect()}
+    got = {(r["campaign_id"], tuple(r["host_ids"])) for r in read_campaigns(spark, camps).collect()}
     assert got == {(c[0], c[1]) for c in campaigns(CHAIN)}
     assert got == {(r["campaign_id"], tuple(r["host_ids"])) for r in fused_campaigns(whole, FuseConfig(), with_evidence=False).collect()}
     proposed = [r["host_id"] for r in spark.read.parquet(props).collect()]
