@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from hostweave.llm import alignment, collocations, packing, subwords
+from hostweave.llm import alignment, collocations, packing, parity_join, subwords
 from hostweave.llm.alignment import aligned, group_labels, piece_count, with_link_counts
 from hostweave.llm.collocations import HatTrie, Sizes, phrase_counts
 from hostweave.llm.packing import first_fit, packed, packed_items, sequences
@@ -245,3 +245,18 @@ def test_empty_tables(spark):
     assert with_link_counts(aligned(docs), piece_count()).count() == 0
     assert collocations.collocations(docs).count() == 0
     assert phrase_counts(docs)[0].count() == 0
+
+
+def test_near_duplicates_of_repeated_rows_and_copies_in_many_batches(spark):
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(r.choice(words) for _ in range(100)) for _ in range(25)]
+    rows = [(1, texts[0])] * 60 + [(2, texts[0] + " end")] * 60
+    # every other text twice, the copies dealt over the partitions: unrelated groups of two must stay apart
+    rows += [(10 + 2 * i + c, t) for i, t in enumerate(texts[1:]) for c in (0, 1)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    got = Counter((x.doc_id, x.component_id) for x in parity_join.near_duplicates(docs).collect())
+    want = Counter({(1, 1): 60, (2, 1): 60})
+    want.update({(10 + 2 * i + c, 10 + 2 * i): 1 for i in range(24) for c in (0, 1)})
+    assert got == want
