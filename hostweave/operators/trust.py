@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType, StructField, StructType
 
 from hostweave.functions.signing import canonical_json, hmac_hex, key_pads, payload_digest, signed_message
 
@@ -156,11 +159,14 @@ def ingest_counts(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 GENESIS = "0" * 64
 
 
+def entry_head(kind: Column, payload: Column) -> Column:
+    """Canonical JSON of a log entry up to the digest of the previous one."""
+    return F.concat(F.lit('{"kind":"'), kind, F.lit('","payload":'), payload, F.lit(',"prev":"'))
+
+
 def entry_text(prev: Column, kind: Column, payload: Column) -> Column:
     """Canonical JSON of a log entry; ``payload`` is canonical JSON text already."""
-    return F.concat(
-        F.lit('{"kind":"'), kind, F.lit('","payload":'), payload, F.lit(',"prev":"'), prev, F.lit('"}')
-    )
+    return F.concat(entry_head(kind, payload), prev, F.lit('"}'))
 
 
 def verify_chain(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -175,24 +181,38 @@ def verify_chain(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.withColumn("valid", linked & (expected == F.col("entry_hash"))).drop("_before")
 
 
+def _chained(tip: str):
+    """Chain sorted entries: ``_new`` marks the first one of a run, ``_head`` is its text up to the previous digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = tip
+        for b in batches:
+            before, made = [], []
+            for new, head in zip(b.column("_new").to_pylist(), b.column("_head").to_pylist(), strict=True):
+                if new:
+                    last = tip
+                before.append(last)
+                # an entry without text has no digest, and so have those that follow it
+                last = None if head is None or last is None else sha256(head + last.encode() + b'"}').hexdigest()
+                made.append(last)
+            rest = b.drop_columns(["_new", "_head"])
+            yield rest.append_column("prev", pa.array(before, pa.string())).append_column("entry_hash", pa.array(made, pa.string()))
+
+    return run
+
+
 def append_chain(entries: DataFrame, tip: str = GENESIS, by: Sequence[str] = ("run_id",)) -> DataFrame:
     """Chain the new entries (seq, kind, payload) of each run onto ``tip``.
 
-    A hash chain is sequential by nature; one run's new entries (one per campaign written) form the array.
+    A hash chain is sequential by nature: a run's entries are sorted and pass through one task, which holds only the last digest.
     """
-    rows = entries.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "payload"))).alias("rows"))
-    start = F.struct(F.lit(tip).alias("tip"), F.array().cast("array<struct<seq:bigint,prev:string,kind:string,payload:string,entry_hash:string>>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        digest = F.sha2(entry_text(acc["tip"], e["kind"], e["payload"]).cast("binary"), 256)
-        made = F.struct(
-            e["seq"].cast("bigint").alias("seq"), acc["tip"].alias("prev"), e["kind"].alias("kind"), e["payload"].alias("payload"),
-            digest.alias("entry_hash"),
-        )
-        return F.struct(digest.alias("tip"), F.array_append(acc["out"], made).alias("out"))
-
-    chained = rows.select(*by, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("e"))
-    return chained.select(*by, "e.*")
+    order = ["seq", "kind", "payload"]
+    w = W.partitionBy(*by).orderBy(*order)
+    rows = entries.select(*by, *order).withColumn("_new", F.row_number().over(w) == 1)
+    rows = rows.withColumn("seq", F.col("seq").cast("bigint")).withColumn("_head", entry_head(F.col("kind"), F.col("payload")).cast("binary"))
+    kept = rows.select(*by, *order).schema
+    schema = StructType([*kept.fields, StructField("prev", StringType()), StructField("entry_hash", StringType())])
+    return rows.mapInArrow(_chained(tip), schema).select(*by, "seq", "prev", "kind", "payload", "entry_hash")
 
 
 def cap_per_second(events: DataFrame, key: Sequence[str], max_per_sec: int, ts: str = "ts") -> DataFrame:

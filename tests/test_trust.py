@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -66,6 +67,24 @@ def test_chain_detects_changes(spark):
     assert [r["seq"] for r in trust.verify_chain(cut_out, ["run_id"]).filter("not valid").collect()] == [3]
 
 
+def test_long_chains(spark):
+    """30,000 entries of one run beside short runs, an unnamed run, and an entry without payload: linear in the entries."""
+    rows = [("long", i, "k", str(i)) for i in range(30_000)] + [(r, i, "k", str(i)) for r in ("a", None) for i in (2, 1)]
+    rows += [("gap", 1, "k", "1"), ("gap", 2, "k", None), ("gap", 3, "k", "3")]
+    begun = time.monotonic()
+    log = trust.append_chain(spark.createDataFrame(rows, "run_id string, seq int, kind string, payload string").repartition(4))
+    assert log.dtypes == [("run_id", "string"), ("seq", "bigint"), ("prev", "string"), ("kind", "string"), ("payload", "string"), ("entry_hash", "string")]
+    found = {(r["run_id"], r["seq"]): (r["prev"], r["entry_hash"]) for r in log.collect()}
+    assert time.monotonic() - begun < 60
+    assert len(found) == len(rows)
+    last = {}
+    for run, seq, _, payload in sorted(rows, key=lambda r: r[1]):
+        prev = last.get(run, "0" * 64)
+        text = None if prev is None or payload is None else '{"kind":"k","payload":' + payload + ',"prev":"' + prev + '"}'
+        last[run] = None if text is None else hashlib.sha256(text.encode()).hexdigest()
+        assert found[run, seq] == (prev, last[run])
+
+
 def test_replay_pipeline(spark):
     rows = [signed(i, p, h, {"user": "svc", "result": "success"}, at=f"2026-01-15T12:00:{10 + i}.000000Z") for i, (p, h) in enumerate([("prod-a", "host-a"), ("prod-b", "host-b")])]
     rows.append({**rows[0], "ingest_seq": 7})
