@@ -486,7 +486,7 @@ def _(spark, d):
     import uuid
 
     path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
-    sinks.write_events(load_telemetry(spark, d).withColumn("ts", c("ts")).repartition("payload_type"), path)
+    sinks.write_events(load_telemetry(spark, d), path)
     return spark.read.parquet(path).groupBy("payload_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_date").alias("n_days"))
 
 

@@ -11,8 +11,11 @@ from hostweave.operators.feed import newest
 
 
 def write_events(df: DataFrame, path: str) -> None:
-    """Append events, laid out by day and type so that readers prune what they do not need."""
-    out = df.withColumn("event_date", F.to_date("ts"))
+    """Append events, laid out by day and type so that readers prune what they do not need.
+
+    Each folder's rows meet before they are written, for few files; a folder too large for one task is dealt to several.
+    """
+    out = df.withColumn("event_date", F.to_date("ts")).hint("rebalance", "event_date", "payload_type")
     out.write.mode("append").partitionBy("event_date", "payload_type").parquet(path)
 
 

@@ -1,3 +1,10 @@
+import re
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+from hostweave.plans import catalog
+from hostweave.session import shared_folder
 from hostweave.sources.sinks import drop_old_versions, read_campaigns, write_campaigns
 
 
@@ -30,3 +37,21 @@ def test_readers_keep_the_set_they_began_with(spark, tmp_path):
     write_campaigns(rows("d"), path, "1/é")
     assert drop_old_versions(spark, path) == 1
     assert [r.campaign_id for r in read_campaigns(spark, path, "1/é").collect()] == ["d"]
+
+
+def test_events_of_one_type_are_written_by_several_tasks(spark, tmp_path):
+    ev = spark.range(4000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 200).alias("ts"), (F.col("id") % 50).alias("user_id"),
+        F.lit("view").alias("event_type"), F.rand(1).alias("value"), F.format_string('{"k": %d}', F.col("id") % 97).alias("props"),
+    )
+    ev.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    known, size = set(folder.glob("events-*")), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "16k")
+    try:
+        found = catalog.QUERIES["s14_written_events"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(size)
+    assert [(r["payload_type"], r["n"], r["n_days"]) for r in found] == [("dns", 4000, ev.select(F.to_date("ts")).distinct().count())]
+    (made,) = set(folder.glob("events-*")) - known
+    assert len({re.match(r"part-(\d+)-", f.name)[1] for f in made.rglob("*.parquet")}) > 1
