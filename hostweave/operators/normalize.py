@@ -26,37 +26,43 @@ def first_of(rec: Column, *names: str) -> Column:
     return F.coalesce(*[not_blank(rec[n]) for n in names])
 
 
-def event_data(rec: Column) -> Column:
-    """``EventData`` as a map; a ``Data`` list of Name/Value pairs is turned into one."""
-    raw = F.from_json(F.coalesce(not_blank(rec["EventData"]), not_blank(rec["event_data"]), F.lit("{}")), "map<string,string>")
-    items = F.filter(F.from_json(raw["Data"], "array<struct<Name:string,Value:string>>"), lambda i: not_blank(i["Name"]).isNotNull())
+def with_event_data(rows: DataFrame, name: str) -> DataFrame:
+    """Add ``EventData`` as a map; a ``Data`` list of Name/Value pairs is turned into one.
+
+    Each step is a column of its own: inside one expression, or a lambda, the text would be parsed once for every use.
+    """
+    rec, raw, items = F.col("rec"), F.col("_raw"), F.col("_items")
+    text = F.coalesce(not_blank(rec["EventData"]), not_blank(rec["event_data"]), F.lit("{}"))
+    listed = F.filter(F.from_json(raw["Data"], "array<struct<Name:string,Value:string>>"), lambda i: not_blank(i["Name"]).isNotNull())
     pairs = F.aggregate(
         items,
         F.create_map().cast("map<string,string>"),
         lambda acc, i: F.map_concat(F.map_filter(acc, lambda k, v: k != i["Name"]), F.create_map(i["Name"], i["Value"])),
     )
-    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, pairs).otherwise(F.coalesce(raw, F.create_map().cast("map<string,string>")))
-
+    data = F.when(F.coalesce(F.size(items), F.lit(0)) > 0, pairs).otherwise(F.coalesce(raw, F.create_map().cast("map<string,string>")))
+    rows = rows.withColumn("_raw", F.from_json(text, "map<string,string>")).withColumn("_items", listed)
+    return rows.withColumn(name, data).drop("_raw", "_items")
 
-def system_field(rec: Column, name: str) -> Column:
-    return not_blank(F.from_json(rec["System"], "map<string,string>")[name])
 
+def system_field(name: str) -> Column:
+    return not_blank(F.col("_system")[name])
 
-def windows_event_id(rec: Column) -> Column:
-    """First present id field, else ``System.EventID`` (plain, or with ``#text``/``Value``)."""
-    nested = system_field(rec, "EventID")
-    inner = F.from_json(nested, "map<string,string>")
-    return normal_kind(F.coalesce(rec["EventID"], rec["event_id"], rec["Id"], rec["id"], inner["#text"], inner["Value"], nested))
 
+def with_windows_fields(rows: DataFrame) -> DataFrame:
+    """Add the raw ``_channel``, ``_kind``, ``_host`` and ``_time`` of Windows records, each first present field, then that of ``System``.
 
-def windows_channel(rec: Column) -> Column:
-    raw = F.coalesce(first_of(rec, "channel", "Channel", "LogName"), system_field(rec, "Channel"), F.lit("security"))
-    return alias_channel(raw, WINDOWS_ALIASES)
-
-
-def windows_host(rec: Column, default: str = "host-a") -> Column:
-    raw = F.coalesce(first_of(rec, "host_id", "Computer", "Hostname", "MachineName"), system_field(rec, "Computer"))
-    return F.coalesce(F.lower(F.split_part(raw, F.lit("."), F.lit(1))), F.lit(default))
+    The id is the first present id field, else ``System.EventID`` (plain, or with ``#text``/``Value``). ``System`` is parsed once.
+    """
+    rec, inner, nested = F.col("rec"), F.col("_inner"), system_field("EventID")
+    rows = rows.withColumn("_system", F.from_json(rec["System"], "map<string,string>")).withColumn("_inner", F.from_json(nested, "map<string,string>"))
+    return rows.withColumns(
+        {
+            "_channel": F.coalesce(first_of(rec, "channel", "Channel", "LogName"), system_field("Channel"), F.lit("security")),
+            "_kind": F.coalesce(rec["EventID"], rec["event_id"], rec["Id"], rec["id"], inner["#text"], inner["Value"], nested),
+            "_host": F.coalesce(first_of(rec, "host_id", "Computer", "Hostname", "MachineName"), system_field("Computer")),
+            "_time": F.coalesce(first_of(rec, "TimeCreated", "ts_utc", "@timestamp"), system_field("TimeCreated")),
+        }
+    ).drop("_system", "_inner")
 
 
 def windows_user(rec: Column, ed: Column) -> Column:
@@ -74,11 +80,6 @@ def windows_source(rec: Column, ed: Column) -> Column:
     return F.coalesce(*top, F.when(nested != "-", nested), F.lit("0.0.0.0"))
 
 
-def windows_time(rec: Column, ingest_ts: str) -> Column:
-    raw = F.coalesce(first_of(rec, "TimeCreated", "ts_utc", "@timestamp"), system_field(rec, "TimeCreated"))
-    return normal_time(raw, ingest_ts)
-
-
 def number(*cols: Column, default: int = 0) -> Column:
     """First value that is present and not zero, as a whole number."""
     picked = F.coalesce(*[F.when(~c.isin("", "0"), c) for c in cols])
@@ -91,17 +92,18 @@ def allowed(df: DataFrame, allowlist: DataFrame, channels: Sequence[str] | None,
     With ``wildcard`` (macOS) a ``*`` entry or an empty list allows every kind of the channel.
     """
     known = allowlist.select("channel", "event_kind", F.lit(True).alias("_on")).distinct()
-    rows = df.join(known, ["channel", "event_kind"], "left")
+    # an allowlist is a few names; joined by key, all rows of a kind would meet in one task
+    rows = df.join(F.broadcast(known), ["channel", "event_kind"], "left")
     ok = F.coalesce("_on", F.lit(False))
     if wildcard:
         per = allowlist.groupBy("channel").agg(F.max(F.col("event_kind") == "*").alias("_any"))
-        rows = rows.join(per, "channel", "left")
+        rows = rows.join(F.broadcast(per), "channel", "left")
         ok = ok | F.coalesce("_any", F.lit(True))
     if channels is not None:
         ok = ok & F.col("channel").isin(*channels)
     else:
         named = allowlist.select("channel", F.lit(True).alias("_named")).distinct()
-        rows = rows.join(named, "channel", "left")
+        rows = rows.join(F.broadcast(named), "channel", "left")
         ok = ok & F.coalesce("_named", F.lit(False))
     return rows.withColumn("allowed", ok).drop("_on", "_any", "_named")
 
@@ -134,14 +136,13 @@ def _mapping_columns(cases: list[tuple[Column, str, dict[str, Column]]]) -> dict
 
 def parse_windows(records: DataFrame, ingest_ts: str, default_host: str = "host-a") -> DataFrame:
     """Fields that all channels share, plus ``ed`` (EventData) for the channel mappings."""
-    rec = F.col("rec")
-    rows = records.withColumn("ed", event_data(rec))
+    rows = with_windows_fields(with_event_data(records, "ed"))
     return rows.select(
         "source", "pos", "rec", "ed",
-        windows_channel(rec).alias("channel"),
-        windows_event_id(rec).alias("event_kind"),
-        windows_host(rec, default_host).alias("host_id"),
-        windows_time(rec, ingest_ts).alias("ts_utc"),
+        alias_channel(F.col("_channel"), WINDOWS_ALIASES).alias("channel"),
+        normal_kind(F.col("_kind")).alias("event_kind"),
+        F.coalesce(F.lower(F.split_part("_host", F.lit("."), F.lit(1))), F.lit(default_host)).alias("host_id"),
+        normal_time(F.col("_time"), ingest_ts).alias("ts_utc"),
     )
 
 
@@ -284,14 +285,13 @@ def normalize_captured(records: DataFrame) -> DataFrame:
     ch = alias_channel(F.coalesce(first_of(rec, "Channel", "channel"), F.lit("")), WINDOWS_ALIASES)
     eid = normal_kind(first_of(rec, "EventID", "event_id"))
     filtering = ch.isin("security", "") & F.coalesce(eid.isin(*FIREWALL_IDS), F.lit(False))
-    data = event_data(rec)
+    data, merged, given = F.col("_data"), F.col("_merged"), F.col("_given")
     extra = F.map_filter(
         F.create_map(*[x for k in PROMOTED for x in (F.lit(k), rec[k])]), lambda k, v: v.isNotNull() & ~F.map_contains_key(data, k)
     )
-    merged = F.map_concat(data, extra)
     host = first_of(rec, "Computer", "Hostname", "hostname", "host")
     time = F.coalesce(first_of(rec, "TimeCreated", "@timestamp", "UtcTime"))
-    given = F.map_filter(
+    put = F.map_filter(
         F.create_map(
             F.lit("channel"), F.when(filtering, "firewall").otherwise(ch), F.lit("Computer"), host, F.lit("TimeCreated"), time,
             F.lit("EventData"), F.when(F.size(merged) > 0, F.to_json(merged)),
@@ -299,7 +299,8 @@ def normalize_captured(records: DataFrame) -> DataFrame:
         lambda k, v: v.isNotNull() & (v != ""),
     )
     rest = F.map_filter(rec, lambda k, v: ~F.map_contains_key(given, k) & ~k.isin("Channel"))
-    return records.withColumn("rec", F.map_concat(rest, given))
+    rows = with_event_data(records, "_data").withColumn("_merged", F.map_concat(data, extra)).withColumn("_given", put)
+    return rows.withColumn("rec", F.map_concat(rest, given)).drop("_data", "_merged", "_given")
 
 
 # --- macOS ---------------------------------------------------------------------------------------

@@ -109,7 +109,7 @@ def _(spark, d):
 
 @query("n06_n07_users_and_sources", f"WITH {W} SELECT pos, coalesce(usr, 'unknown') AS usr, coalesce(wsrc, '0.0.0.0') AS src FROM w")
 def _(spark, d):
-    rows = windows_records(spark, d).withColumn("ed", normalize.event_data(c("rec")))
+    rows = normalize.with_event_data(windows_records(spark, d), "ed")
     return rows.select("pos", normalize.windows_user(c("rec"), c("ed")).alias("usr"), normalize.windows_source(c("rec"), c("ed")).alias("src"))
 
 
@@ -120,7 +120,7 @@ def _(spark, d):
     "ELSE CASE WHEN k % 10 = 0 THEN 'Action=Block,' ELSE '' END || 'DestAddress=' || dst_ip END AS data FROM w",
 )
 def _(spark, d):
-    rows = windows_records(spark, d).withColumn("ed", normalize.event_data(c("rec")))
+    rows = normalize.with_event_data(windows_records(spark, d), "ed")
     pairs = F.transform(F.map_entries("ed"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return rows.select("pos", F.array_join(F.sort_array(pairs), ",").alias("data"))
 
