@@ -16,8 +16,12 @@ D = (a+b)/9 shingles. If the sketch is cut into n > D blocks by shingle, at leas
   document may leave out its hot blocks as long as fewer than that are empty or hot; hot keys then hold only documents
   that are mostly made of them, such as large groups of near copies. As above, one side suffices.
 * Each node is first compared with one representative it shares most blocks with, then STARS times with one of the
-  largest component it shares a key with. Only keys that still hold
-  nodes of different components are spelled out, their minority against the rest.
+  largest component it shares a key with. Then the nodes of each key that still holds different components are dealt, anew in
+  each of DEALS rounds, into hands of about HAND, and compared in those: linear work, in which a node of a large group of near
+  copies meets as many of its partners as one of a small group.
+* Only keys that still hold nodes of different components are spelled out, their minority against the rest, and of a node's
+  only the rarest: as above, it may leave out fewer than n-D of its blocks. All nodes leave out from the same end of one order of
+  the keys (by nodes), so the first key that two linked ones share stays with both.
 
 Every pair is verified on the whole sets. Nothing is capped.
 """
@@ -39,7 +43,9 @@ from hostweave.operators.components import component_labels
 
 SEEDS = 8
 HOT = 8
-STARS = 3
+STARS = 1
+DEALS = 2
+HAND = 16
 SHORT = tuple(f"s{i}" for i in range(8))
 _EMPTY_SET = np.uint64(0x5851F42D4C957F2D)
 
@@ -263,6 +269,22 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     return near.join(one, "u").join(two, "v").select("u", "v", "text", "other").mapInArrow(_verified(size, num, den), "u long, v long")
 
 
+def _close(num: int, den: int) -> Column:
+    """Whether rows ``a`` and ``b`` of a key are of different components and near enough by size and short sketch."""
+    apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SHORT), F.lit(0))
+    limit = F.floor((F.col("a.n") + F.col("b.n")) * (den - num) / (den + num))
+    sizes = F.expr(f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)")
+    return (F.col("a.key") == F.col("b.key")) & (F.col("a.scheme") == F.col("b.scheme")) & (F.col("a.label") != F.col("b.label")) & sizes & (apart <= limit)
+
+
+def _dealt(open_keys: DataFrame, texts: DataFrame, round_: int, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) of near nodes that fall into one of the hands a key's nodes are dealt into."""
+    hand = F.pmod(F.xxhash64("node", "key", F.lit(round_)), F.ceil(F.col("size") / HAND))
+    rows = open_keys.withColumn("hand", hand).join(texts.select("node", "n", *SHORT), "node")
+    on = (F.col("a.hand") == F.col("b.hand")) & (F.col("a.node") < F.col("b.node")) & _close(num, den)
+    return rows.alias("a").join(rows.alias("b"), on).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+
+
 def _labels(edges: DataFrame) -> DataFrame:
     return component_labels(edges).select("node", "label")
 
@@ -299,11 +321,15 @@ def near_duplicates(
             F.min(F.when(known, F.col("local")).otherwise(F.col("_rep"))).alias("rep"), F.count(F.when(F.col("kind") != NOTICE, 1)).alias("count"), F.min("room").alias("room")
         )
     )
-    hot = members.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
-    members = members.join(hot, "key", "left")
-    room = members.groupBy("node", "scheme").agg((F.min("room") - F.coalesce(F.sum(F.when(F.col("hot"), F.col("count"))), F.lit(0))).alias("need"))
-    members = members.drop("room").join(room, ["node", "scheme"]).filter("hot IS NULL OR need <= 0")
-    members = stored(members.select("key", "node", "rep", "count", "scheme", "need"))
+    members = members.join(members.groupBy("key").agg(F.count("*").alias("nodes")), "key")
+    own = W.partitionBy("node", "scheme")
+    last = F.sum("count").over(own.orderBy(F.desc("nodes"), "key").rowsBetween(W.unboundedPreceding, W.currentRow))
+    members = members.withColumn("room", F.min("room").over(own)).withColumn("last", last)
+    hot = F.coalesce(F.sum(F.when(F.col("nodes") > HOT, F.col("count"))).over(own), F.lit(0))
+    members = members.withColumn("hot", hot).withColumn("late", F.col("last") < F.col("room"))
+    members = members.withColumn("out", F.coalesce(F.max(F.when(F.col("late"), F.col("last"))).over(own), F.lit(0)))
+    members = members.filter((F.col("nodes") <= HOT) | (F.col("hot") >= F.col("room")))
+    members = stored(members.select("key", "node", "rep", "count", "scheme", "room", "late", "out"))
     wanted = members.select("node").distinct().join(heads, "node").select("node", "head._id", "head._h")
     # one text per node, however often its row is repeated
     texts = base.join(wanted, same_doc(base, wanted)).groupBy("node").agg(F.first("_text").alias("_text")).mapInArrow(
@@ -317,36 +343,36 @@ def near_duplicates(
     labels = _labels(edges) if not edges.isEmpty() else None
 
     open_keys = None
-    for round_ in range(STARS + 1):
+    for round_ in range(STARS + DEALS + 1):
         label: Column = F.col("node") if labels is None else F.coalesce("label", "node")
-        now = (members if labels is None else members.join(labels, "node", "left")).select("key", "node", "count", "scheme", "need", label.alias("label"))
+        now = (members if labels is None else members.join(labels, "node", "left")).select("key", "node", "count", "scheme", "room", "late", "out", label.alias("label"))
         main = now.groupBy("key", "label").count().groupBy("key")
-        main = main.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main"))
-        open_keys = stored(now.join(main.filter("labels > 1").select("key", "main"), "key"))
-        if round_ == STARS:
+        main = main.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("size"))
+        open_keys = stored(now.join(main.filter("labels > 1").select("key", "main", "size"), "key"))
+        if round_ == STARS + DEALS:
             break
-        # one node of the main component answers for it, another one in every round
-        order = F.xxhash64("node", F.lit(round_))
-        rep = open_keys.filter("label = main").groupBy("key").agg(F.min_by("node", order).alias("rep"))
-        star = open_keys.filter("label != main").join(rep, "key").groupBy("node", "rep").agg(F.sum("count").alias("count"))
-        star = star.groupBy("node").agg(F.max_by("rep", F.struct("count", "rep")).alias("rep")).select(F.col("node").alias("u"), F.col("rep").alias("v"))
-        found = stored(_similar(star, texts, size, num, den))
+        if round_ < STARS:
+            # one node of the main component answers for it, another one in every round
+            order = F.xxhash64("node", F.lit(round_))
+            rep = open_keys.filter("label = main").groupBy("key").agg(F.min_by("node", order).alias("rep"))
+            star = open_keys.filter("label != main").join(rep, "key").groupBy("node", "rep").agg(F.sum("count").alias("count"))
+            near = star.groupBy("node").agg(F.max_by("rep", F.struct("count", "rep")).alias("rep")).select(F.col("node").alias("u"), F.col("rep").alias("v"))
+        else:
+            near = _dealt(open_keys, texts, round_, num, den)
+        found = stored(_similar(near, texts, size, num, den))
         if not found.isEmpty():
             edges = edges.unionByName(found)
             labels = _labels(edges)
-    open_keys = stored(open_keys.join(texts.select("node", "n", *SHORT), "node"))
+    open_keys = stored(open_keys.filter("NOT late").join(texts.select("node", "n", *SHORT), "node"))
     few = open_keys.filter("label != main").alias("a")
     rest = open_keys.alias("b")
-    apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SHORT), F.lit(0))
-    limit = F.floor((F.col("a.n") + F.col("b.n")) * (den - num) / (den + num))
-    sizes = F.expr(f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)")
     # both may be in the minority: such a pair comes up from either side and counts once, from its lesser node's
     once = (F.col("b.label") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.scheme") == F.col("b.scheme")) & (F.col("a.label") != F.col("b.label")) & sizes & once & (apart <= limit)
-    pairs = few.join(rest, on).select(
-        F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"), "a.scheme", "a.count", F.greatest("a.need", "b.need").alias("need")
+    pairs = few.join(rest, _close(num, den) & once).select(
+        F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"), "a.scheme", "a.count",
+        (F.greatest("a.room", "b.room") - F.greatest("a.out", "b.out")).alias("need"),
     )
-    # linked sets agree in as many blocks as either side needs
+    # linked sets agree in as many blocks as either side needs, less those that either left out
     pairs = pairs.groupBy("u", "v", "scheme").agg(F.sum("count").alias("shared"), F.max("need").alias("need"))
     pairs = pairs.filter("shared >= need").select("u", "v").distinct()
     more = stored(_similar(pairs, texts, size, num, den))

@@ -124,6 +124,26 @@ def test_near_duplicates_match_brute_force(spark, seed):
     assert [(x.n_shingles, x.component_id) for x in got] == brute_components(texts)
 
 
+def test_large_group_of_near_copies_is_not_spelled_out(spark, monkeypatch):
+    """Copies with one of two words at each of 12 places, linked where at most two differ: no copy is near all the others."""
+    r, texts = random.Random(7), []
+    for _ in range(400):
+        words = [f"v{i}" for i in range(100)]
+        for k in range(12):
+            words[4 + 8 * k] = f"Q{k}{r.randrange(2)}"
+        texts.append(" ".join(words))
+    compared, similar = [], parity_join._similar
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(parity_join, "_similar", counted)
+    got = parity_join.near_duplicates(spark.createDataFrame(rows(texts), SCHEMA)).orderBy("doc_id").collect()
+    assert [(x.n_shingles, x.component_id) for x in got] == brute_components(texts)
+    assert compared[-1] < len(texts)  # pairs of the last step, where the rest is spelled out
+
+
 def test_sketch_distance_is_a_lower_bound():
     r = np.random.default_rng(1)
     for _ in range(50):
