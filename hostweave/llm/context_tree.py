@@ -32,6 +32,7 @@ BLOCK_BYTES = 16 << 20
 RUN, WORD = 0, 1
 END_WORD = 0x0123456789ABCDEF  # stands for the end of a text among the words' hashes
 _MERGE = 1 << 21
+_STEP = 1 << 16
 
 
 def byte_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,10 +47,10 @@ def byte_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     padded = np.zeros(len(data) + n * (DEPTH + 1), np.uint64)
     padded[np.arange(len(data)) + shift] = LOWER[data]
     at = np.arange(first[-1]) + np.repeat(np.arange(n) * DEPTH + DEPTH, size)
-    run = padded[at]
+    run = padded.copy()
     for i in range(1, DEPTH + 1):
-        run |= padded[at - i] << np.uint64(8 * (DEPTH + 1 - i))
-    return run.astype(np.int64), first
+        run[i:] |= padded[:-i] << np.uint64(8 * (DEPTH + 1 - i))
+    return run[at].astype(np.int64), first
 
 
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -62,6 +63,25 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (k[at], *[np.add.reduceat(v[order], at) for v in values])
 
 
+def _unique(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in order."""
+    k = np.sort(keys)
+    return k[np.append(True, k[1:] != k[:-1])] if len(k) else k
+
+
+def _run_scores(key: np.ndarray, value: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The value of each run, all of which are among the sorted keys.
+
+    They are looked up in order, _STEP at a time: a search in a large table that jumps about waits for memory at every step.
+    A run has 48 bits, so its place in the step fits below it and plain numbers are sorted."""
+    out, place = np.empty(len(runs), value.dtype), np.arange(_STEP)
+    for i in range(0, len(runs), _STEP):
+        part = runs[i : i + _STEP]
+        both = np.sort(part.astype(np.uint64) << np.uint64(16) | place[: len(part)].astype(np.uint64))
+        out[i + (both & np.uint64(_STEP - 1)).astype(np.int64)] = value[np.searchsorted(key, (both >> np.uint64(16)).astype(np.int64))]
+    return out
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for x >= 1/2 (Stirling's series after eight steps of recurrence)."""
     x = np.asarray(x, float)
@@ -169,6 +189,24 @@ def _run_values(shared):
     return run
 
 
+class _Keys:
+    """Distinct keys gathered in one task, merged as they grow."""
+
+    def __init__(self):
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.parts.append(_unique(keys))
+        self.size += len(self.parts[-1])
+        if self.size > _MERGE and len(self.parts) > 1:
+            self.parts = [self.total()]
+            self.size = len(self.parts[0])
+
+    def total(self) -> np.ndarray:
+        return _unique(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.int64)
+
+
 class _Counter:
     """Keys and counts gathered in one task, merged as they grow."""
 
@@ -201,7 +239,7 @@ def _text_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def _distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, counted where ``weight`` is true."""
     seen, n = np.unique(keys[weight], return_counts=True)
-    rest = np.unique(keys[~weight])
+    rest = _unique(keys[~weight])
     return np.append(seen, rest), np.append(n, np.zeros(len(rest), np.int64))
 
 
@@ -225,7 +263,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def told() -> Iterator[pa.RecordBatch]:
         for kind, c in total.items():
-            k = c.total()[0]
+            k = c.total()
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int32)), pa.array(np.full(len(k), kind, np.int8)), pa.array(k)], ["block", "kind", "key"])
 
     for b in batches:
@@ -233,12 +271,12 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in np.unique(of):
             if x != block:
                 yield from told()
-                block, total = x, {RUN: _Counter(), WORD: _Counter()}
+                block, total = x, {RUN: _Keys(), WORD: _Keys()}
             part = b.filter(pa.array(of == x))
             for p in pieces(iter([part]), "_text"):
                 runs, _, words, _ = _text_keys(p.column("_text"))
-                for kind, keys in ((RUN, np.unique(runs)), (WORD, np.unique(words))):
-                    total[kind].add(keys, np.zeros(len(keys), np.int8))
+                total[RUN].add(runs)
+                total[WORD].add(words)
     yield from told()
 
 
@@ -254,9 +292,10 @@ def _scored(tokens: int, distinct: int, kind: pa.DataType):
         for p in pieces(iter(docs.combine_chunks().to_batches()), "_text"):
             runs, first, words, doc = _text_keys(p.column("_text"))
             key, value = known[RUN]
-            score = np.add.reduceat(value[np.searchsorted(key, runs)], first[:-1], dtype=float)
+            score = np.add.reduceat(_run_scores(key, value, runs), first[:-1], dtype=float)
             key, value = known[WORD]
-            c = value[np.searchsorted(key, words)]
+            ordered, c = np.argsort(words), np.empty(len(words), value.dtype)
+            c[ordered] = value[np.searchsorted(key, words[ordered])]
             n = p.num_rows
             out.append(
                 pa.table(

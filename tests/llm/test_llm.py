@@ -350,6 +350,27 @@ def brute_tree(train, depth):
     return score
 
 
+def test_runs_are_looked_up_in_order_and_keys_gathered_by_sorting(monkeypatch):
+    """No search in the model jumps about, and every place gets the value of its own run."""
+    r = np.random.default_rng(3)
+    key = np.unique(r.integers(0, 1 << 48, 5000))
+    key[-1], value, search = (1 << 48) - 1, r.random(len(key)).astype(np.float32), np.searchsorted
+    pick = r.integers(0, len(key), 150_000)  # more than two steps
+
+    def ordered(table, wanted, *more):
+        assert np.all(wanted[1:] >= wanted[:-1])
+        return search(table, wanted, *more)
+
+    monkeypatch.setattr(np, "searchsorted", ordered)
+    assert np.array_equal(context_tree._run_scores(key, value, key[pick]), value[pick])
+    assert len(context_tree._run_scores(key, value, key[:0])) == 0
+    keys = context_tree._Keys()
+    assert len(keys.total()) == 0
+    for part in np.array_split(key[pick], 7):
+        keys.add(part)
+    assert np.array_equal(keys.total(), np.unique(key[pick]))
+
+
 def test_context_tree_matches_brute_force(spark):
     texts = ["the cat sat", "The cat ran", None, "", "a cat été", "sat the cat", "dog", "the the the", "rat a tat", "cat"]
     got = {r.doc_id: r for r in context_tree.scored(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
