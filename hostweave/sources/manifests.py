@@ -9,17 +9,22 @@ from pyspark.sql import Window as W
 from hostweave.functions.timestamps import MICROS_Z
 from hostweave.operators.normalize import apply_aliases
 from hostweave.schema import MANIFEST
+from hostweave.session import cut
 
 
 def parse_manifests(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(manifests, rejected) from (source, text); rejected rows name the missing fields."""
-    rows = docs.withColumn("m", F.from_json("text", MANIFEST)).select("source", F.from_json("text", "map<string,string>").alias("keys"), "m.*")
+    """(manifests, rejected) from (source, text); rejected rows name the missing fields.
+
+    The parsed rows are written once: a filter on parsed fields would parse the text again for every field it names, and so would every reader.
+    """
+    parsed = {"m": F.from_json("text", MANIFEST), "keys": F.from_json("text", "map<string,string>")}
+    rows = docs.withColumns(parsed).select("source", "keys", "m.*")
     missing = F.array_compact(
         F.array(*[F.when(~F.coalesce(F.map_contains_key("keys", n), F.lit(False)), n) for n in ("campaign_id", "hosts", "steps")])
     )
     rows = rows.withColumn("missing", F.when(F.col("keys").isNull(), F.array(F.lit("json"))).otherwise(missing))
-    rows = rows.withColumn("has_truth_hosts", F.map_contains_key("keys", "truth_hosts"))
-    ok = rows.filter(F.size("missing") == 0).drop("missing", "keys")
+    rows = cut(rows.withColumn("has_truth_hosts", F.map_contains_key("keys", "truth_hosts")).drop("keys"))
+    ok = rows.filter(F.size("missing") == 0).drop("missing")
     return ok, rows.filter(F.size("missing") > 0).select("source", "missing")
 
 
