@@ -1,6 +1,7 @@
 """Collocations: frequent phrases of two to four words, counted in HAT-tries.
 
-Texts become units: about ``Sizes.unit_bytes`` of one language's texts as numbers of the unit's own words. A unit's phrases are counted in a
+Texts become units: about ``Sizes.unit_bytes`` of one language's words as numbers of the unit's own words, the most frequent word first. The larger
+units are, the fewer rows leave them: a task fills one for each language side by side. A unit's phrases are counted in a
 HAT-trie: the root leads by first word to hash containers of the remaining words; a container that grows beyond ``burst``
 entries bursts into a node of containers by the next word. When the trie holds ``held`` entries its largest subtrees are
 spilled as sorted runs. Runs meet in partitions by prefix (two words, a prefix's children dealt into ``CHILDREN`` parts, so
@@ -28,6 +29,7 @@ from hostweave.llm.tables import stored
 from hostweave.llm.tokens import LOWER, flat, pieces
 
 BITS = 21  # of a word's number in its unit; three of them make one key
+PLANES = 3  # bytes of a packed one
 LONGEST = 4
 CHILDREN = 16
 UNIT_BITS = 20  # of a unit's number in its task
@@ -38,11 +40,12 @@ WORD, PAIR = 0, 1
 class Sizes:
     """Bounds of memory; the result is the same for any. ``unit_words`` must fit ``BITS``."""
 
-    unit_bytes: int = 4 << 20
+    unit_bytes: int = 16 << 20  # of a language's words with their offsets
     unit_words: int = (1 << BITS) - 8
     burst: int = 4096
     held: int = 1_500_000
     chunk: int = 1 << 18
+    all_bytes: int = 64 << 20  # as ``unit_bytes``, of all languages of a task
 
 
 SIZES = Sizes()
@@ -158,38 +161,54 @@ class HatTrie:
         return out
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes from -1 in three byte planes: most of the two upper ones is zero, so that they compress well."""
+    low = (codes + 1).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return np.ascontiguousarray(low[:, :PLANES].T).tobytes()
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(PLANES, -1)
+    out = np.full(planes.shape[1], -1, np.int32)
+    for i, plane in enumerate(planes):
+        out += plane.astype(np.int32) << 8 * i
+    return out
+
+
 def _units(sizes: Sizes):
     """(unit, lang, own, codes, words, counts): word numbers of a unit's texts, -1 before each piece. Words are counted, and phrases
     begin, at the first ``own`` places; what follows are words that such a phrase may need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << UNIT_BITS, {}, 0
+        number, held, size = TaskContext.get().partitionId() << UNIT_BITS, {}, {}
 
-        def rows() -> Iterator[pa.RecordBatch]:
+        def rows(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal number
-            for lang in sorted(held):
-                text, new = (pa.concat_arrays([x[i] for x in held[lang]]) for i in (0, 1))
-                new = np.flatnonzero(new.to_numpy(zero_copy_only=False))
-                place = np.arange(len(text)) + np.searchsorted(new, np.arange(len(text)), "right")
-                for a in range(0, len(text) + len(new), sizes.unit_words):
-                    z = a + sizes.unit_words + LONGEST - 1
-                    x, y = np.searchsorted(place, (a, z))
-                    coded = text[int(x) : int(y)].dictionary_encode()
-                    codes = np.full(min(z, len(text) + len(new)) - a, -1, np.int32)
-                    codes[place[x:y] - a] = coded.indices.to_numpy()
-                    mine = codes[: sizes.unit_words]
-                    counts = np.bincount(mine[mine >= 0], minlength=len(coded.dictionary))
-                    words = coded.dictionary.cast(pa.large_string()).cast(pa.string())
-                    ends = pa.array([0, len(words)], pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([number]), pa.array([lang]), pa.array([len(mine)], pa.int64()), pa.array([codes.tobytes()], pa.binary()),
-                            pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())),
-                        ],
-                        ["unit", "lang", "own", "codes", "words", "counts"],
-                    )
-                    number += 1
-            held.clear()
+            text, new = (pa.concat_arrays([x[i] for x in held[lang]]) for i in (0, 1))
+            del held[lang], size[lang]
+            new = np.flatnonzero(new.to_numpy(zero_copy_only=False))
+            place = np.arange(len(text)) + np.searchsorted(new, np.arange(len(text)), "right")
+            for a in range(0, len(text) + len(new), sizes.unit_words):
+                z = a + sizes.unit_words + LONGEST - 1
+                x, y = np.searchsorted(place, (a, z))
+                coded = text[int(x) : int(y)].dictionary_encode()
+                codes = np.full(min(z, len(text) + len(new)) - a, -1, np.int32)
+                codes[place[x:y] - a] = coded.indices.to_numpy()
+                mine = codes[: sizes.unit_words]
+                counts = np.bincount(mine[mine >= 0], minlength=len(coded.dictionary))
+                order = np.argsort(-counts, kind="stable")
+                ranks = np.full(len(order) + 1, -1, np.int32)  # the last one is that of -1
+                ranks[order] = np.arange(len(order))
+                words = coded.dictionary.take(pa.array(order)).cast(pa.large_string()).cast(pa.string())
+                ends = pa.array([0, len(words)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([number]), pa.array([lang]), pa.array([len(mine)], pa.int64()), pa.array([_packed(ranks[codes])], pa.binary()),
+                        pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array(counts[order], pa.int64())),
+                    ],
+                    ["unit", "lang", "own", "codes", "words", "counts"],
+                )
+                number += 1
 
         for p in pieces(batches, "_text"):
             data, offsets = flat(p.column("_text"))
@@ -200,12 +219,13 @@ def _units(sizes: Sizes):
             for lang, i in kinds.items():
                 mine = np.flatnonzero(of == i)
                 if len(mine):
-                    held.setdefault(lang, []).append((words.take(pa.array(mine)), pa.array(new[mine])))
-            size += len(data)
-            if size > sizes.unit_bytes:
-                yield from rows()
-                size = 0
-        yield from rows()
+                    part = words.take(pa.array(mine))
+                    held.setdefault(lang, []).append((part, pa.array(new[mine])))
+                    size[lang] = size.get(lang, 0) + part.nbytes
+            while size and (max(size.values()) > sizes.unit_bytes or sum(size.values()) > sizes.all_bytes):
+                yield from rows(max(size, key=size.__getitem__))
+        for lang in sorted(held):
+            yield from rows(lang)
 
     return run
 
@@ -222,7 +242,7 @@ def _counted(codes: np.ndarray, depth: int, at: np.ndarray, sizes: Sizes) -> Ite
 
 def _unit_codes(unit: pa.Table, facts: pa.Table) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
     """(codes with -1 for words that are not frequent, own, number of each code's word, frequent pairs as codes) of one unit."""
-    codes = np.frombuffer(unit.column("codes")[0].as_buffer(), np.int32)
+    codes = _unpacked(unit.column("codes")[0].as_buffer())
     kind, x, y = (facts.column(c).to_numpy() for c in ("kind", "x", "y"))
     words, pairs = kind == WORD, kind == PAIR
     number = np.full(int(codes.max(initial=-1)) + 2, -1, np.int64)  # the last one is that of -1
@@ -286,13 +306,16 @@ def phrase_counts(docs: DataFrame, least: int = 30, lang_col: str = "lang", text
     w = W.partitionBy("word", "lang")
     place = F.shiftleft("unit", BITS).bitwiseOR(F.col("code").cast("long"))
     words = words.withColumn("f", F.sum("n").over(w)).withColumn("place", place).withColumn("number", F.min("place").over(w))
-    words = stored(words.filter(F.col("f") >= least).select("unit", "lang", "code", "word", "f", "place", "number"))
+    # a word's number is the place of one of its rows, which alone tells what the word is
+    spelling = [F.when(F.col("place") == F.col("number"), F.col(c)).alias(c) for c in ("lang", "word", "f")]
+    words = stored(words.filter(F.col("f") >= least).select("unit", "code", "number", *spelling))
     known = words.select("unit", F.lit(WORD).alias("kind"), F.col("code").cast("long").alias("x"), F.col("number").alias("y"))
 
     held = units.select("unit", "own", "codes").groupBy("unit")
     pairs = held.cogroup(known.groupBy("unit")).applyInArrow(_pair_runs(sizes), "unit long, w1 long, w2 long, n long")
-    pairs = pairs.repartition("w1", "w2").withColumn("f", F.sum("n").over(W.partitionBy("w1", "w2")))
-    pairs = stored(pairs.filter(F.col("f") >= least).select("unit", "w1", "w2", "f"))
+    w = W.partitionBy("w1", "w2")
+    pairs = pairs.repartition("w1", "w2").withColumn("f", F.sum("n").over(w)).withColumn("first", F.min("unit").over(w))
+    pairs = stored(pairs.filter(F.col("f") >= least).select("unit", "w1", "w2", F.when(F.col("unit") == F.col("first"), F.col("f")).alias("f")))
     facts = known.unionByName(pairs.select("unit", F.lit(PAIR).alias("kind"), F.col("w1").alias("x"), F.col("w2").alias("y")))
 
     columns = [f"w{c + 1}" for c in range(LONGEST)]
@@ -300,10 +323,10 @@ def phrase_counts(docs: DataFrame, least: int = 30, lang_col: str = "lang", text
     long = long.withColumn("child", F.pmod("w3", F.lit(CHILDREN))).repartition("w1", "w2", "child")
     long = long.groupBy("w1", "w2", "child", *columns[2:]).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     none = F.lit(-1).cast("long")
-    two = pairs.select("w1", "w2", "f").distinct().select("w1", "w2", none.alias("w3"), none.alias("w4"), "f")
+    # a unit that spilled a pair early has it in several rows
+    two = pairs.filter("f is not null").select("w1", "w2", "f").distinct().select("w1", "w2", none.alias("w3"), none.alias("w4"), "f")
     every = two.unionByName(long.select(*columns, "f"))
-    # a word's number is the place of one of its rows
-    spelled = words.filter("place = number").select("number", "lang", "word", "f")
+    spelled = words.filter("word is not null").select("number", "lang", "word", "f")
     for c in columns:
         one = spelled.select(F.col("number").alias(c), F.col("word").alias(f"{c}_word"), *([F.col("lang")] if c == "w1" else []))
         every = every.join(one, c, "inner" if c in columns[:2] else "left")

@@ -223,6 +223,37 @@ def test_collocations_equal_a_plain_version(spark, sizes):
     assert got == plain_collocations(plain, 5, 80, 30)
 
 
+def test_units_of_mixed_languages_are_filled_one_by_one(spark):
+    texts = [f"w{i % 7} x{i} the the. the" for i in range(600)]
+    docs = spark.createDataFrame([(t, "abc"[i % 3]) for i, t in enumerate(texts)], "_text string, lang string").coalesce(1)
+    schema = "unit long, lang string, own long, codes binary, words array<string>, counts array<long>"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        full = docs.mapInArrow(collocations._units(Sizes(unit_bytes=1 << 20)), schema).collect()
+        small = docs.mapInArrow(collocations._units(Sizes(unit_bytes=1 << 20, all_bytes=3000)), schema).collect()
+        each = docs.mapInArrow(collocations._units(Sizes(unit_bytes=3000)), schema).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(u.lang for u in full) == ["a", "b", "c"]
+    # a language's units end at their own size, not when all languages together have it
+    assert max(sum(u.counts) for u in small) < min(sorted(sum(u.counts) for u in each if u.lang == "a")[1:])
+    for units in (full, small, each):
+        assert len({u.unit for u in units}) == len(units)
+        for lang in "abc":
+            mine = [u for u in units if u.lang == lang]
+            want = Counter(w for i, t in enumerate(texts) if "abc"[i % 3] == lang for w in t.replace(".", " ").split())
+            assert sum((Counter(dict(zip(u.words, u.counts, strict=True))) for u in mine), Counter()) == want
+            spelled = [[u.words[c] if c >= 0 else "|" for c in collocations._unpacked(pa.py_buffer(u.codes))] for u in mine]
+            assert " ".join(w for x in spelled for w in x) == " ".join("| " + t.replace(".", " |") for i, t in enumerate(texts) if "abc"[i % 3] == lang)
+            assert all(u.words[0] == "the" and u.counts == sorted(u.counts, reverse=True) for u in mine)
+
+
+def test_packed_codes():
+    codes = np.array([-1, 0, 254, 255, 256, 65534, 65535, (1 << collocations.BITS) - 1], np.int32)
+    assert collocations._unpacked(pa.py_buffer(collocations._packed(codes))).tolist() == codes.tolist()
+    assert len(collocations._packed(codes)) == 3 * len(codes) and not collocations._packed(codes[:0])
+
+
 def test_trie_counts_whatever_its_shape():
     r = random.Random(5)
     for depth in (1, 2, 3, 4):
