@@ -440,7 +440,13 @@ def adapt_flat(records: DataFrame, producers: DataFrame) -> DataFrame:
 
 
 def apply_aliases(events: DataFrame, aliases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Bring ``host_id`` and log-on sources to their persistent names (alias, asset)."""
+    """Bring ``host_id`` and log-on sources to their persistent names (alias, asset).
+
+    Aliases ``by`` run or pack grow with their number, and a guess of their size from compressed files and before ``explode``
+    falls far short, so these are never broadcast.
+    """
+    if by:
+        aliases = aliases.hint("merge")
     own = aliases.select(*by, F.col("alias").alias("host_id"), F.col("asset").alias("_h"))
     peer = aliases.select(*by, F.col("alias").alias("src"), F.col("asset").alias("_s"))
     return (
